@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the text contracts: runs of anything but space and the ASCII control blanks.
@@ -118,17 +118,16 @@ def hot_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, w
     limit = max(total // (4 * n), 64)
     extra = [c for c in right.columns if c != key]
     hot = right.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in extra])
-    cold = right.where(F.col(weight) <= limit).select(F.col(key).cast("string").alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in extra])
+    number = dict(right.dtypes)[key] in ("bigint", "int")
+    as_key = (lambda c: F.col(c).cast("long")) if number else (lambda c: F.col(c).cast("string"))
+    cold = right.where(F.col(weight) <= limit).select(as_key(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in extra])
     j = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    own = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
-    j = j.withColumn("_jk", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), own).otherwise(F.col(key).cast("string")))
+    # where the made-up key should meet a real one, what is found there is not taken
+    own = F.xxhash64(F.col(row_id)) if number else F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
+    done = F.col("_hk").isNotNull() | F.col(key).isNull()
+    j = j.withColumn("_jk", F.when(done, own).otherwise(as_key(key))).withColumn("_done", done)
     j = j.join(cold, F.col("_jk") == F.col("_ck"), "left")
-    return j.select(*left.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in extra])
-
-
-def crc32_fold(text: Column) -> Column:
-    """crc32 of a text's UTF-8 bytes."""
-    return F.crc32(F.encode(text, "UTF-8"))
+    return j.select(*left.columns, *[F.when(F.col("_done"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in extra])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
