@@ -148,13 +148,14 @@ class Encoder:
             self.pieces[piece] = got
         return got
 
-    def unit(self, unit: str) -> bytes:
-        got = self.old_units.get(unit)
+    def unit(self, word: str) -> bytes:
+        """Ids of a space and a word."""
+        got = self.old_units.get(word)
         if got is None:
-            got = b"".join([self.piece(p) for p in self.cut(unit)])
+            got = b"".join([self.piece(p) for p in self.cut(" " + word)])
         if len(self.units) >= self.cap:
             self.units, self.old_units = {}, self.units
-        self.units[unit] = got
+        self.units[word] = got
         return got
 
     def __call__(self, text: str | None) -> bytes:
@@ -165,12 +166,22 @@ class Encoder:
             return np.array(self.made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         get, unit = self.units.get, self.unit
-        return self.unit(first) + b"".join([get(u) or unit(u) for u in [" " + x for x in rest]])
+        return b"".join([self.piece(p) for p in self.cut(first)] + [get(u) or unit(u) for u in rest])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file; a Python worker keeps it, with what it remembers, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _write(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, held, size, number = [], [], 0, 0
 
