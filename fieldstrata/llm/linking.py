@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, partitions, stored
+from .common import discard, hot_join, partitions, stored
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -26,9 +26,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         big = hot_join(spark, both.where("v > u"), low, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         big = stored(spark, big, "large-star")
         # small star: a node's smaller neighbours, and the node, move to the smallest of them
+        discard(low)
         low = stored(spark, big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         moved = hot_join(spark, big, low.where("n > 1"), "u", "n", "v").where("m is not null and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(spark, moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        old, e = e, stored(spark, moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(low, big, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
@@ -36,35 +38,52 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
-def link(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 4, closing_factor: int = 4) -> DataFrame:
+def link(
+    spark: SparkSession,
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    early: Callable[[Column, Column], Column] | None = None,
+    small: int = 24,
+    star_rounds: int = 8,
+) -> DataFrame:
     """Components of the graph in which two members of a common bucket are linked if ``verify`` keeps the pair.
 
-    ``members`` is a stored table (bucket, id) without repeated rows. ``verify`` takes pairs (a, b) and
-    returns the (a, b) that hold. The result equals that of verifying all pairs of every bucket, without
-    making them: first each bucket's smallest id is compared with all its members; while buckets still
-    hold several components, a member outside the bucket's largest component becomes the next centre;
-    when the pairs left are few (at most ``closing_factor`` a member row) or after ``star_rounds``,
-    every member outside the largest component is compared with the members of other components.
-    Pairs inside one component are never made. Returns (id, comp) of ids that have a link.
+    ``members`` is a stored table (bucket, id, n and what ``early`` reads) without repeated rows; n counts
+    the bucket's members. ``verify`` takes pairs (a, b) and returns those that hold; ``early`` is a cheap
+    test on two members that every pair to keep passes. The result equals that of verifying all pairs of
+    every bucket. Buckets of at most ``small`` members give all their pairs. In a larger one first the member
+    that meets most others in its buckets is compared with all; while the bucket holds several components, a
+    member outside its largest becomes the next centre. When few pairs are left (half a member row each), or
+    after ``star_rounds``, every member outside the largest component is compared with those of other
+    components. Pairs inside one component are never made. Returns (id, comp) of ids that have a link.
     """
-    rows = members.count()
-    centre = stored(spark, members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")), "centres")
-    pairs = hot_join(spark, members, centre, "bucket", "n", "id").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    comp = components(spark, verify(pairs))
+    extra = [c for c in members.columns if c not in ("bucket", "n")]
+    groups = members.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct(*extra)).alias("l"))
+    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, small), lambda y: early(x, y) if early else F.lit(True)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
+    links = verify(groups.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct())
+    large = members.where(F.col("n") > small).select("bucket", "id", "n")
+    if not large.isEmpty():
+        met = large.groupBy("id").agg(F.sum("n").alias("met"))
+        large = stored(spark, large.join(met, "id"), "large-buckets")
+        centre = stored(spark, large.groupBy("bucket").agg(F.max_by("id", F.struct("met", F.col("id"))).alias("centre"), F.first("n").alias("n")), "centres")
+        pairs = hot_join(spark, large.select("bucket", "id"), centre, "bucket", "n", "id").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        links = stored(spark, links.union(verify(pairs.distinct())), "links")
+    comp = stored(spark, components(spark, links), "components")
     for step in range(1, star_rounds + 1):
-        comp = stored(spark, comp, "components")
-        mc = stored(spark, members.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("c")), "members")
+        if large.isEmpty():
+            break
+        mc = stored(spark, large.join(comp, "id", "left").select("bucket", "id", "met", F.coalesce("comp", "id").alias("c")), "members")
         parts = mc.groupBy("bucket", "c").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
         open_ = stored(spark, open_, "open")
-        left = open_.agg(F.sum((F.col("n") - F.col("n_main")) * F.col("n"))).first()[0] or 0
+        left, rows = open_.agg(F.sum((F.col("n") - F.col("n_main")) * F.col("n")), F.sum("n")).first()
         if not left:
             break
         live = stored(spark, hot_join(spark, mc, open_, "bucket", "n", "id").where("main is not null"), "live")
-        last = left <= closing_factor * rows + 100_000 or step == star_rounds
+        last = left <= rows // 2 + 20_000 or step == star_rounds
         minor = live.where("c != main")
         if not last:
-            nxt = minor.groupBy("bucket").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(step))).alias("x"), F.first("n").alias("n"))
+            nxt = minor.groupBy("bucket").agg(F.max_by(F.struct("id", "c"), F.struct(F.when(F.lit(step % 2 == 1), F.col("met")).otherwise(0), F.xxhash64("id", F.lit(step)))).alias("x"), F.first("n").alias("n"))
             nxt = stored(spark, nxt.select("bucket", F.col("x.id").alias("centre"), F.col("x.c").alias("cc"), "n"), "centres")
             pairs = hot_join(spark, live.select("bucket", "id", "c"), nxt, "bucket", "n", "id").where("c != cc").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         else:
@@ -73,6 +92,7 @@ def link(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame],
             y = live.select("bucket", F.col("id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
             pairs = x.join(y, ["bucket", "salt"]).where("cx != cy and (in_main or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
         found = verify(pairs.distinct())
+        discard(mc, open_, live)
         # the new links join whole components: the next components are found among those
         ends = found.join(comp.withColumnsRenamed({"id": "a", "comp": "ca"}), "a", "left").join(comp.withColumnsRenamed({"id": "b", "comp": "cb"}), "b", "left")
         ends = stored(spark, ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct(), "joins")
@@ -81,7 +101,7 @@ def link(spark: SparkSession, members: DataFrame, verify: Callable[[DataFrame],
             sizes = stored(spark, comp.groupBy("comp").agg(F.count("*").alias("k")).join(merged, F.col("comp") == F.col("old")).select("comp", "new", "k"), "merged-sizes")
             moved = hot_join(spark, comp, sizes, "comp", "k", "id").select("id", F.coalesce("new", "comp").alias("comp"))
             single = merged.join(comp, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))
-            comp = moved.union(single)
+            comp = stored(spark, moved.union(single), "components")
         if last:
             break
     return comp

@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(spark, signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "distinct-texts")
     keyed = texts.where("size(bands) > 0").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     full = stored(spark, keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full-buckets")
-    members = hot_join(spark, keyed, full, "bucket", "n", "id").where("n is not null").select("bucket", "id")
+    members = hot_join(spark, keyed, full, "bucket", "n", "id").where("n is not null").select("bucket", "id", "n")
     members = stored(spark, members, "members")
     wanted = members.select("id").distinct()
     candidates = stored(spark, src.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
