@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a (spark, sf_dir) function under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    return QUERIES["track_lengths"](spark, sf_dir)
+
+
+from . import geometry, ingest, joins, planning, text  # noqa: E402, F401
