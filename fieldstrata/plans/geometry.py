@@ -159,3 +159,36 @@ def x03_same_vertices(spark, sf_dir):
     a = v.groupBy("geom").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("a"))
     b = v.withColumn("seq", -F.col("seq")).groupBy("geom").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("b"))
     return a.join(b, "geom").where("a = b").agg(F.count("*").alias("geometries"), F.sum(F.size("a")).cast("long").alias("points"))
+
+
+@query(f"WITH {d.SPRINGS} SELECT upload AS id, lon AS x, lat AS y, 4326 AS srid FROM springs")
+def s05_s07_wkb_round_trip(spark, sf_dir):
+    from ..functions import shapes
+
+    p = d.springs(spark, sf_dir).select(F.col("upload").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return shapes.wkb_to_points(shapes.points_to_wkb(p, 4326))
+
+
+@query()
+def a19_convex_hull(spark, sf_dir):
+    from ..functions import shapes
+
+    return shapes.convex_hulls(d.track_vertices(spark, sf_dir))
+
+
+@query()
+def g10_simplify(spark, sf_dir):
+    from ..functions import shapes
+
+    return shapes.simplify(d.track_vertices(spark, sf_dir), 20.0)
+
+
+@query()
+def u07_annotation_rows(spark, sf_dir):
+    """Markups written as nested annotation XML, one document an image, and flattened again."""
+    from ..functions import shapes
+
+    m = d.markup_log(spark, sf_dir)
+    one = F.format_string('<gobject type="rect" name="m%s"><vertex x="%s" y="%s"/><gobject type="label" name="op"/></gobject>', "number", "x", "y")
+    docs = m.groupBy(F.col("image").alias("doc")).agg(F.concat(F.lit("<image>"), F.array_join(F.sort_array(F.collect_list(one)), ""), F.lit("</image>")).alias("xml"))
+    return shapes.flatten_annotations(docs)

@@ -1 +1,139 @@
-"""Queries."""
+"""Queries that join: keys, spatial, as-of."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import catalog as c
+from ..operators import spatial as s
+from ..sources import datasets as d
+from .registry import query
+
+
+@query(f"WITH {d.SPRINGS}, {d.IMAGES} SELECT upload, count(image) AS images, min(image) AS first FROM springs LEFT JOIN images USING (upload) GROUP BY upload")
+def j01_report_images(spark, sf_dir):
+    i = d.images(spark, sf_dir).select("upload", "image")
+    return d.springs(spark, sf_dir).select("upload").join(i, "upload", "left").groupBy("upload").agg(F.count("image").alias("images"), F.min("image").alias("first"))
+
+
+@query(f"WITH {d.TRACKS}, t AS (SELECT track, count(*) AS n FROM points GROUP BY track) SELECT event_id AS video, n AS track_points FROM events LEFT JOIN t ON track = user_id WHERE event_type = 'view'")
+def j02_video_track(spark, sf_dir):
+    t = d.track_points(spark, sf_dir).groupBy("track").agg(F.count("*").alias("track_points"))
+    v = d.table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("video"), F.col("user_id").alias("track"))
+    return v.join(t, "track", "left").select("video", "track_points")
+
+
+@query("SELECT c_custkey AS upload, s_suppkey AS person, s_name AS name FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE (c_custkey + s_suppkey) % 3 = 0")
+def j03_credits(spark, sf_dir):
+    """People credited on reports through the bridge table, those of type 0."""
+    cu, su = d.table(spark, sf_dir, "customer"), d.table(spark, sf_dir, "supplier")
+    bridge = cu.join(su, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", ((F.col("c_custkey") + F.col("s_suppkey")) % 3).alias("kind"))
+    return bridge.where("kind = 0").join(su.select("s_suppkey", "s_name"), "s_suppkey").select(F.col("c_custkey").alias("upload"), F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"))
+
+
+@query("SELECT c_custkey AS upload, CASE WHEN c_custkey % 10 = 0 THEN 'NA' ELSE n_name END AS type_label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 7 <> 0 AND c_custkey % 10 <> 0")
+def j04_coded_values(spark, sf_dir):
+    code = F.when(F.col("c_custkey") % 10 == 0, "NA").when(F.col("c_custkey") % 7 == 0, "unknown").otherwise(F.col("c_nationkey").cast("string"))
+    rows = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload"), code.alias("type"))
+    domain = d.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"))
+    return c.decode_domain(rows, "type", domain).select("upload", "type_label")
+
+
+@query("SELECT o_orderkey AS image FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def j05_cascade_delete(spark, sf_dir):
+    gone = d.table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return d.table(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").select(F.col("o_orderkey").alias("image"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (3, 5, 8, 13, 21)")
+def j06_delete_by_list(spark, sf_dir):
+    ids = spark.range(1).select(F.explode(F.split(F.lit("3;5;8;13;21"), ";").cast("array<long>")).alias("p_partkey"))
+    return d.table(spark, sf_dir, "part").join(F.broadcast(ids), "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@query(f"WITH {d.SPRINGS}, z(name, a, b, h) AS (VALUES ('west', -180, -112, 8), ('mountain', -112, -100, 7), ('centre', -100, 0, 6), ('east', 0, 180, -3)) SELECT upload, name AS zone, TIMESTAMP '2024-01-15 12:00:00' + to_hours(h) AS utc FROM springs JOIN z ON lon >= a AND lon < b")
+def j07_time_zone(spark, sf_dir):
+    """Zone by longitude band, then local noon as UTC."""
+    zones = spark.createDataFrame([("west", -180.0, -112.0, 8), ("mountain", -112.0, -100.0, 7), ("centre", -100.0, 0.0, 6), ("east", 0.0, 180.0, -3)], "zone string, a double, b double, h int")
+    j = d.springs(spark, sf_dir).join(F.broadcast(zones), (F.col("lon") >= F.col("a")) & (F.col("lon") < F.col("b")))
+    at = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"))
+    return j.select("upload", "zone", at.alias("utc"))
+
+
+INSIDE = f"{d.SITES}, {d.POLYGONS}, e AS (SELECT geom, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM polygons WINDOW w AS (PARTITION BY geom, ring ORDER BY seq))"
+
+
+@query(f"WITH {INSIDE} SELECT site, geom FROM sites s JOIN e ON ((e.y < s.y AND y2 >= s.y) OR (y2 < s.y AND e.y >= s.y)) AND e.x + (s.y - e.y) / (y2 - e.y) * (x2 - e.x) < s.x GROUP BY site, geom HAVING count(*) % 2 = 1")
+def j08_points_in_polygons(spark, sf_dir):
+    return s.points_in_polygons(d.sites(spark, sf_dir), d.polygons(spark, sf_dir))
+
+
+@query(f"WITH {d.MARKUPS}, b AS (SELECT image, number, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM markups GROUP BY image, number) SELECT a.image, a.number AS first, b.number AS second, a.x >= b.x AND a.y >= b.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h AS inside FROM b a JOIN b ON a.image = b.image AND a.number < b.number AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
+def j09_box_overlaps(spark, sf_dir):
+    b = d.markup_log(spark, sf_dir).groupBy("image", "number").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"))
+    o = b.select("image", *[F.col(k).alias(f"{k}_") for k in ("number", "x", "y", "w", "h")])
+    j = b.join(o, "image").where("number < number_ and x < x_ + w_ and x_ < x + w and y < y_ + h_ and y_ < y + h")
+    return j.select("image", F.col("number").alias("first"), F.col("number_").alias("second"), F.expr("x >= x_ and y >= y_ and x + w <= x_ + w_ and y + h <= y_ + h_").alias("inside"))
+
+
+CROSS = "(x2 - x) * (v2 - v) - (u2 - u) * (y2 - y) <> 0 AND ((v - y) * (u2 - u) - (u - x) * (v2 - v)) / ((y2 - y) * (u2 - u) - (x2 - x) * (v2 - v)) > 0 AND ((v - y) * (u2 - u) - (u - x) * (v2 - v)) / ((y2 - y) * (u2 - u) - (x2 - x) * (v2 - v)) < 1 AND ((v - y) * (x2 - x) - (u - x) * (y2 - y)) / ((y2 - y) * (u2 - u) - (x2 - x) * (v2 - v)) > 0 AND ((v - y) * (x2 - x) - (u - x) * (y2 - y)) / ((y2 - y) * (u2 - u) - (x2 - x) * (v2 - v)) < 1"
+
+
+@query(f"WITH {d.TRACKS}, s AS (SELECT track AS geom, seq, lon AS x, lat AS y, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY track ORDER BY seq)), t AS (SELECT geom, seq AS k, x AS u, y AS v, x2 AS u2, y2 AS v2 FROM s WHERE x2 IS NOT NULL) SELECT geom, count(*) AS crossings FROM s JOIN t USING (geom) WHERE x2 IS NOT NULL AND seq < k AND {CROSS} GROUP BY geom")
+def j10_g08_self_crossings(spark, sf_dir):
+    """Tracks that are not simple, with the number of strict crossings of their segments."""
+    return s.crossing_counts(d.track_vertices(spark, sf_dir), 60.0)
+
+
+NEAR = "6378137 * atan2(sqrt(pow(cos(radians(b.y)) * sin(radians(b.x - a.x)), 2) + pow(cos(radians(a.y)) * sin(radians(b.y)) - sin(radians(a.y)) * cos(radians(b.y)) * cos(radians(b.x - a.x)), 2)), sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(b.x - a.x)))"
+
+
+@query(f"WITH {d.SITES}, p AS (SELECT a.site AS left, b.site AS right, {NEAR} AS metres FROM sites a JOIN sites b ON a.site % 2 = 0 AND b.site % 2 = 1 AND abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1) SELECT \"left\", \"right\", round(metres, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY \"left\" ORDER BY round(metres, 6), \"right\") AS k FROM p WHERE metres <= 40000) WHERE k = 1")
+def j12_nearest_within(spark, sf_dir):
+    p = d.sites(spark, sf_dir)
+    n = s.nearest(s.within_distance(p.where("site % 2 = 0"), p.where("site % 2 = 1"), 40_000.0))
+    return n.select("left", "right", F.round("metres", 3).alias("metres"))
+
+
+@query(f"WITH {d.TRACKS} SELECT user_id AS track, event_id AS item, lon, lat FROM (SELECT user_id, event_id, ts + INTERVAL 1 HOUR AS t FROM events WHERE event_type = 'view') v ASOF LEFT JOIN points p ON v.user_id = p.track AND v.t >= p.ts")
+def j13_position_on_track(spark, sf_dir):
+    v = d.table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("track"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("event_id").alias("item"))
+    return s.position_at(d.track_points(spark, sf_dir), v)
+
+
+@query(f"WITH {d.SPRINGS}, g AS (SELECT *, greatest(ceil((lon + 180) / 360 * 8) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 4) - 1, 0) AS cy FROM springs) SELECT count(*) AS pairs FROM g a JOIN g b ON a.cx = b.cx AND a.cy = b.cy AND a.upload % 50 = 0 AND b.upload % 50 = 1")
+def j14_same_geohash_cell(spark, sf_dir):
+    g = d.springs(spark, sf_dir).select("upload", geo.geohash(F.col("lon"), F.col("lat"), 1).alias("code"))
+    a, b = g.where("upload % 50 = 0").select("code"), g.where("upload % 50 = 1").select("code")
+    return a.join(b, "code").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {d.SPRINGS} SELECT event_id AS video, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, lat) AS lat FROM events LEFT JOIN springs ON upload = user_id WHERE event_type = 'view'")
+def j16_inherited_position(spark, sf_dir):
+    v = d.table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("video"), F.col("user_id").alias("upload"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("own"))
+    return v.join(d.springs(spark, sf_dir), "upload", "left").select("video", F.coalesce("own", "lat").alias("lat"))
+
+
+@query(f"WITH {d.SPRINGS} SELECT upload, lon, 'spring' AS kind FROM springs UNION ALL SELECT user_id, value, 'event' FROM events")
+def x01_concatenate(spark, sf_dir):
+    e = d.table(spark, sf_dir, "events").select(F.col("user_id").alias("upload"), F.col("value").alias("lon"), F.lit("event").alias("kind"))
+    return d.springs(spark, sf_dir).select("upload", "lon", F.lit("spring").alias("kind")).unionByName(e)
+
+
+COVER = f"{d.POLYGONS}, b AS (SELECT geom, min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM polygons GROUP BY geom), k AS (SELECT geom, i AS cx, j AS cy FROM b, LATERAL (SELECT unnest(range(floor(a)::INT, floor(c)::INT + 1)) AS i) x, LATERAL (SELECT unnest(range(floor(b)::INT, floor(d)::INT + 1)) AS j) y)"
+
+
+@query(f"WITH {COVER}, l AS (SELECT DISTINCT cx, cy FROM k WHERE geom < 13), r AS (SELECT DISTINCT cx, cy FROM k WHERE geom > 11) SELECT 'union' AS op, count(*) AS cells FROM (FROM l UNION FROM r) UNION ALL SELECT 'intersection', count(*) FROM (FROM l INTERSECT FROM r) UNION ALL SELECT 'difference', count(*) FROM (FROM l EXCEPT FROM r)")
+def x02_cell_cover_sets(spark, sf_dir):
+    """Union, intersection and difference of two areas as sets of cells."""
+    p = d.polygons(spark, sf_dir).groupBy("geom").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"))
+    k = p.select("geom", F.explode(s.box_cells(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 1.0)).alias("k")).select("geom", "k.cx", "k.cy")
+    left, right = k.where("geom < 13").select("cx", "cy").distinct(), k.where("geom > 11").select("cx", "cy").distinct()
+    n = lambda df, op: df.agg(F.lit(op).alias("op"), F.count("*").alias("cells"))
+    return n(left.union(right).distinct(), "union").unionByName(n(left.intersect(right), "intersection")).unionByName(n(left.subtract(right), "difference"))
+
+
+@query("SELECT DISTINCT p_brand FROM part")
+def x04_distinct_types(spark, sf_dir):
+    return d.table(spark, sf_dir, "part").select("p_brand").distinct()
