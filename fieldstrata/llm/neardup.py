@@ -52,7 +52,7 @@ def bag_signatures(shingle: np.ndarray, row: np.ndarray, weight: np.ndarray, n_r
             act = np.flatnonzero((weight > low) & todo[row])
             if not len(act):
                 break
-            seed = mix(shingle[act] ^ (np.uint64(width * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
+            seed = mix(shingle[act] ^ (np.uint64((low + width) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
             stop, owner, reach = limit[row[act]], row[act], weight[act]
             x = np.zeros(len(act))
             step = 0
