@@ -43,8 +43,8 @@ def link(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     early: Callable[[Column, Column], Column] | None = None,
+    closing: Callable[[DataFrame], DataFrame] | None = None,
     small: int = 24,
-    star_rounds: int = 8,
 ) -> DataFrame:
     """Components of the graph in which two members of a common bucket are linked if ``verify`` keeps the pair.
 
@@ -52,59 +52,44 @@ def link(
     the bucket's members. ``verify`` takes pairs (a, b) and returns those that hold; ``early`` is a cheap
     test on two members that every pair to keep passes. The result equals that of verifying all pairs of
     every bucket. Buckets of at most ``small`` members give all their pairs. In a larger one first the member
-    that meets most others in its buckets is compared with all; while the bucket holds several components, a
-    member outside its largest becomes the next centre. When few pairs are left (half a member row each), or
-    after ``star_rounds``, every member outside the largest component is compared with those of other
-    components. Pairs inside one component are never made. Returns (id, comp) of ids that have a link.
+    that meets most others in its buckets is compared with all. Where a bucket still holds several components,
+    every member outside its largest is compared with those of other components: ``closing`` names the pairs
+    that could hold, from rows (bucket, id, c: component, main: the bucket's largest); without it all of them
+    that pass ``early`` are taken. Pairs inside one component are never made. Returns (id, comp) of ids that
+    have a link.
     """
     extra = [c for c in members.columns if c not in ("bucket", "n")]
     groups = members.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct(*extra)).alias("l"))
     each = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, small), lambda y: early(x, y) if early else F.lit(True)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
     links = verify(groups.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct())
-    large = members.where(F.col("n") > small).select("bucket", "id", "n")
-    if not large.isEmpty():
-        met = large.groupBy("id").agg(F.sum("n").alias("met"))
-        large = stored(spark, large.join(met, "id"), "large-buckets")
-        centre = stored(spark, large.groupBy("bucket").agg(F.max_by("id", F.struct("met", F.col("id"))).alias("centre"), F.first("n").alias("n")), "centres")
-        pairs = hot_join(spark, large.select("bucket", "id"), centre, "bucket", "n", "id").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        links = stored(spark, links.union(verify(pairs.distinct())), "links")
+    large = members.where(F.col("n") > small)
+    if large.isEmpty():
+        return components(spark, links)
+    met = large.groupBy("id").agg(F.sum("n").alias("met"))
+    large = stored(spark, large.join(met, "id"), "large-buckets")
+    centre = stored(spark, large.groupBy("bucket").agg(F.max_by("id", F.struct("met", F.col("id"))).alias("centre"), F.first("n").alias("n")), "centres")
+    pairs = hot_join(spark, large.select("bucket", "id"), centre, "bucket", "n", "id").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    links = stored(spark, links.union(verify(pairs.distinct())), "links")
     comp = stored(spark, components(spark, links), "components")
-    for step in range(1, star_rounds + 1):
-        if large.isEmpty():
-            break
-        mc = stored(spark, large.join(comp, "id", "left").select("bucket", "id", "met", F.coalesce("comp", "id").alias("c")), "members")
-        parts = mc.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = stored(spark, open_, "open")
-        left, rows = open_.agg(F.sum((F.col("n") - F.col("n_main")) * F.col("n")), F.sum("n")).first()
-        if not left:
-            break
-        live = stored(spark, hot_join(spark, mc, open_, "bucket", "n", "id").where("main is not null"), "live")
-        last = left <= rows // 2 + 20_000 or step == star_rounds
-        minor = live.where("c != main")
-        if not last:
-            nxt = minor.groupBy("bucket").agg(F.max_by(F.struct("id", "c"), F.struct(F.when(F.lit(step % 2 == 1), F.col("met")).otherwise(0), F.xxhash64("id", F.lit(step)))).alias("x"), F.first("n").alias("n"))
-            nxt = stored(spark, nxt.select("bucket", F.col("x.id").alias("centre"), F.col("x.c").alias("cc"), "n"), "centres")
-            pairs = hot_join(spark, live.select("bucket", "id", "c"), nxt, "bucket", "n", "id").where("c != cc").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        else:
-            salts = max(8, partitions(spark) // 4)
-            x = minor.select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-            y = live.select("bucket", F.col("id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-            pairs = x.join(y, ["bucket", "salt"]).where("cx != cy and (in_main or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = verify(pairs.distinct())
-        discard(mc, open_, live)
-        # the new links join whole components: the next components are found among those
-        ends = found.join(comp.withColumnsRenamed({"id": "a", "comp": "ca"}), "a", "left").join(comp.withColumnsRenamed({"id": "b", "comp": "cb"}), "b", "left")
-        ends = stored(spark, ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct(), "joins")
-        if not ends.isEmpty():
-            merged = stored(spark, components(spark, ends).withColumnsRenamed({"id": "old", "comp": "new"}), "merged")
-            sizes = stored(spark, comp.groupBy("comp").agg(F.count("*").alias("k")).join(merged, F.col("comp") == F.col("old")).select("comp", "new", "k"), "merged-sizes")
-            moved = hot_join(spark, comp, sizes, "comp", "k", "id").select("id", F.coalesce("new", "comp").alias("comp"))
-            single = merged.join(comp, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("comp"))
-            comp = stored(spark, moved.union(single), "components")
-        if last:
-            break
-    return comp
+    mc = stored(spark, large.join(comp, "id", "left").select("bucket", *extra, F.coalesce("comp", "id").alias("c")), "members")
+    parts = mc.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = stored(spark, open_, "open")
+    if open_.isEmpty():
+        return comp
+    live = stored(spark, hot_join(spark, mc, open_, "bucket", "n", "id").where("main is not null"), "live")
+    discard(mc, open_)
+    if closing:
+        pairs = closing(live)
+    else:
+        salts = max(8, partitions(spark) // 4)
+        x = live.where("c != main").select("bucket", F.struct(*extra).alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        y = live.select("bucket", F.struct(*extra).alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+        test = F.col("cx") != F.col("cy")
+        test = test & early(F.col("x"), F.col("y")) if early else test
+        pairs = x.join(y, ["bucket", "salt"]).where(test & (F.col("in_main") | (F.col("x.id") < F.col("y.id")))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    found = verify(pairs.distinct())
+    return comp if found.isEmpty() else components(spark, links.union(found))
 
 
 def salted_pairs(spark: SparkSession, pairs: DataFrame, texts: DataFrame, chunk: int = 256) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, hot_join, mix, shingle_hashes, stored, words
+from .common import WordHashes, documents, hot_join, mix, partitions, shingle_hashes, stored, words
 from .linking import link, salted_pairs
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 26, 5
@@ -135,6 +135,40 @@ def _verify(k: int, threshold: float):
     return run
 
 
+def _elements(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingle, _, weight = bags([text], hashes, k)
+                level = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                e = mix(np.repeat(shingle, weight) + level.astype(np.uint64) * _GOLD).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), doc, np.int64)), pa.array(e), pa.array(np.full(len(e), len(e), np.int32))], names=["id", "e", "size"])
+
+    return run
+
+
+def prefix_pairs(spark: SparkSession, live: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ids in different components that can reach the threshold, a outside a bucket's largest.
+
+    A bag's elements (shingle and occurrence) are ordered by how many of the rows hold them, rare first. Two
+    bags of Jaccard ``threshold`` or more share an element among the first size - ceil(threshold * size) + 1
+    of either, so only rows that meet in such a prefix are paired; none is lost.
+    """
+    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("minor"))
+    ids = stored(spark, ids, "live-ids")
+    el = stored(spark, texts.join(ids.select("id"), "id").mapInArrow(_elements(k), "id long, e long, size int"), "elements")
+    held = stored(spark, el.groupBy("e").agg(F.count("*").alias("n")), "held")
+    ranked = hot_join(spark, el, held, "e", "n", "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "e")))
+    # the margin keeps rounding from shortening a prefix
+    first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).where("n > 1")
+    first = stored(spark, first.select("id", "e", "n").join(ids, "id"), "prefixes")
+    salts = max(8, partitions(spark) // 4)
+    x = first.where("minor").select("e", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    y = first.select("e", F.col("id").alias("b"), F.col("c").alias("cb"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    return x.join(y, ["e", "salt"]).where("ca != cb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of near copies of every row: (id, class_id, class_size, is_representative).
 
@@ -161,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verify(pairs: DataFrame) -> DataFrame:
         return stored(spark, salted_pairs(spark, pairs, candidates).mapInArrow(_verify(k, threshold), "a long, b long"), "links")
 
-    comp = stored(spark, link(spark, members, verify), "classes")
+    closing = lambda live: prefix_pairs(spark, live, candidates, k, threshold)
+    comp = stored(spark, link(spark, members, verify, closing=closing), "classes")
     classes = texts.join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("comp", "rep").alias("class_id"), "n")
     classes = stored(spark, classes, "text-classes")
     out = hot_join(spark, signed.select("id", "digest").distinct(), classes, "digest", "n", "id").select("id", "class_id")
