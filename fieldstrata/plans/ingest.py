@@ -109,7 +109,7 @@ def d02_utc_by_offset(spark, sf_dir):
     return d.table(spark, sf_dir, "events").select("event_id", (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (3600 + F.col("event_id") % 10 * 900).cast("decimal(18,6)"))).alias("utc"))
 
 
-@query("SELECT o_orderkey, o_orderdate + INTERVAL 1 YEAR + INTERVAL 2 MONTH + INTERVAL 3 DAY + INTERVAL 4 HOUR + INTERVAL 5 MINUTE + INTERVAL 6 SECOND AS adjusted FROM orders")
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 14 MONTH + INTERVAL 3 DAY + INTERVAL 4 HOUR + INTERVAL 5 MINUTE + INTERVAL 6 SECOND AS adjusted FROM orders")
 def d03_adjust_time(spark, sf_dir):
     i = F.make_interval(F.lit(1), F.lit(2), F.lit(0), F.lit(3), F.lit(4), F.lit(5), F.lit(6))
     return d.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate") + i).alias("adjusted"))
