@@ -83,12 +83,12 @@ def a17_projection(spark, sf_dir):
     return p.groupBy("channel", F.col("pos").cast("long").alias("pos")).agg(F.max("v").cast("double").alias("hi"), F.min("v").cast("double").alias("lo"))
 
 
-@query(f"WITH {d.MARKUPS}, c AS (SELECT image, number, op_no, x, y, w, h, radians((image % 360)::DOUBLE) AS a FROM markups), k AS (SELECT *, abs(w / 2 * cos(a)) + abs(h / 2 * sin(a)) AS ex, abs(w / 2 * sin(a)) + abs(h / 2 * cos(a)) AS ey FROM c) SELECT image, number, op_no, round(x - ex, 6) AS left, round(y - ey, 6) AS top, round(2 * ex, 6) AS width, round(2 * ey, 6) AS height FROM k")
+@query(f"WITH {d.MARKUPS}, c AS (SELECT image, number, op_no, x, y, w, h, radians((image % 360)::DOUBLE) AS a FROM markups), k AS (SELECT *, abs(w / 2 * cos(a)) + abs(h / 2 * sin(a)) AS ex, abs(w / 2 * sin(a)) + abs(h / 2 * cos(a)) AS ey FROM c) SELECT image, number, op_no, round(x - ex, 6) + 0 AS left, round(y - ey, 6) + 0 AS top, round(2 * ex, 6) AS width, round(2 * ey, 6) AS height FROM k")
 def m02_oriented_boxes(spark, sf_dir):
-    """Axis-aligned bounds of boxes turned about their centres."""
+    """Axis-aligned bounds of boxes turned about their centres; adding 0 makes a negative zero positive."""
     m = d.markup_log(spark, sf_dir)
     left, top, w, h = g.turned_bounds(F.col("x"), F.col("y"), F.col("w"), F.col("h"), (F.col("image") % 360).cast("double"))
-    return m.select("image", "number", "op_no", F.round(left, 6).alias("left"), F.round(top, 6).alias("top"), F.round(w, 6).alias("width"), F.round(h, 6).alias("height"))
+    return m.select("image", "number", "op_no", (F.round(left, 6) + 0).alias("left"), (F.round(top, 6) + 0).alias("top"), F.round(w, 6).alias("width"), F.round(h, 6).alias("height"))
 
 
 @query(f"WITH {d.MARKUPS} SELECT image, number, op_no, (x - 10) / 0.5e0 AS px, (y - 20) / 0.5e0 AS py, w / 0.5e0 AS pw FROM markups")
