@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = stored(spark, link(spark, members, verify, closing=closing), "classes")
     classes = texts.join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("comp", "rep").alias("class_id"), "n")
     classes = stored(spark, classes, "text-classes")
-    out = hot_join(spark, signed.select("id", "digest").distinct(), classes, "digest", "n", "id").select("id", "class_id")
-    sizes = stored(spark, classes.groupBy("class_id").agg(F.sum("n").alias("class_size")), "class-sizes")
+    out = stored(spark, hot_join(spark, signed.select("id", "digest").distinct(), classes, "digest", "n", "id").select("id", "class_id"), "memberships")
+    sizes = stored(spark, out.groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
     out = hot_join(spark, out, sizes.withColumn("n", F.col("class_size")), "class_id", "n", "id")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("is_representative"))
 

@@ -208,7 +208,7 @@ def test_near_duplicates_equal_brute_force(spark):
                 par[y] = x
     assert {i: x.class_id for i, x in got.items()} == {i: find(i) for i in par}
     sizes = Counter(find(i) for i in par)
-    assert all(x.class_size == sizes[x.class_id] for x in got.values()) and max(sizes.values()) > 24
+    assert all(x.class_size == sizes[x.class_id] for x in got.values()) and max(sizes.values()) > 20
 
 
 def test_components(spark):
