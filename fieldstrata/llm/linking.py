@@ -53,9 +53,9 @@ def link(
     test on two members that every pair to keep passes. The result equals that of verifying all pairs of
     every bucket. Buckets of at most ``small`` members give all their pairs. In a larger one first the member
     that meets most others in its buckets is compared with all. Where a bucket still holds several components,
-    every member outside its largest is compared with those of other components: ``closing`` names the pairs
-    that could hold, from rows (bucket, id, c: component, main: the bucket's largest); without it all of them
-    that pass ``early`` are taken. Pairs inside one component are never made. Returns (id, comp) of ids that
+    every member outside its largest is compared with those of other components: ``closing`` gives links
+    that hold and join such components, from rows (bucket, id, c: component, main: the bucket's largest, n);
+    without it all pairs that pass ``early`` are verified. Pairs inside one component are never made. Returns (id, comp) of ids that
     have a link.
     """
     extra = [c for c in members.columns if c not in ("bucket", "n")]
@@ -80,7 +80,7 @@ def link(
     live = stored(spark, hot_join(spark, mc, open_, "bucket", "n", "id").where("main is not null"), "live")
     discard(mc, open_)
     if closing:
-        pairs = closing(live)
+        found = closing(live)
     else:
         salts = max(8, partitions(spark) // 4)
         x = live.where("c != main").select("bucket", F.struct(*extra).alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
@@ -88,7 +88,7 @@ def link(
         test = F.col("cx") != F.col("cy")
         test = test & early(F.col("x"), F.col("y")) if early else test
         pairs = x.join(y, ["bucket", "salt"]).where(test & (F.col("in_main") | (F.col("x.id") < F.col("y.id")))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    found = verify(pairs.distinct())
+        found = verify(pairs.distinct())
     return comp if found.isEmpty() else components(spark, links.union(found))
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, hot_join, mix, partitions, shingle_hashes, stored, words
+from .common import WordHashes, documents, hot_join, mix, shingle_hashes, stored, words
 from .linking import link, salted_pairs
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 26, 5
+#: Elements that a block of rows holds, and what a row counts for besides its elements.
+BLOCK_ROOM, ROW_ROOM = 200_000, 150
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,30 +146,86 @@ def _elements(k: int):
                 shingle, _, weight = bags([text], hashes, k)
                 level = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 e = mix(np.repeat(shingle, weight) + level.astype(np.uint64) * _GOLD).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), doc, np.int64)), pa.array(e), pa.array(np.full(len(e), len(e), np.int32))], names=["id", "e", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(e)], pa.int32()), pa.array(e))], names=["id", "e"])
 
     return run
 
 
-def prefix_pairs(spark: SparkSession, live: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ids in different components that can reach the threshold, a outside a bucket's largest.
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], shared: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """How many of the ``shared`` elements (sorted) each row of a has in common with each row of b.
+
+    An element occurs once in a row at most, so the counts are products of 0/1 tables, made by slices of columns.
+    """
+
+    def placed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        on = shared[at] == flat
+        order = np.argsort(at[on], kind="stable")
+        return at[on][order], owner[on][order]
+
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    sides = placed(a), placed(b)
+    for low in range(0, len(shared), columns):
+        tables = []
+        for (at, owner), n in zip(sides, out.shape, strict=True):
+            i, j = np.searchsorted(at, [low, low + columns])
+            table = np.zeros((n, columns), np.float32)
+            table[owner[i:j], at[i:j] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _compare(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between rows that ask and rows of a block; one for each two components is enough."""
+        asks, own = rows[rows["asks"]], rows[~rows["asks"]]
+        if not len(asks) or not len(own):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        once = rows.drop_duplicates("id")
+        element, held = np.unique(np.concatenate(once["e"].tolist()), return_counts=True)
+        both = overlaps(asks["e"].tolist(), own["e"].tolist(), element[held > 1]).astype(np.float64)
+        size_a, size_b = asks["e"].map(len).to_numpy(), own["e"].map(len).to_numpy()
+        similar = both / np.maximum(size_a[:, None] + size_b - both, 1) >= threshold
+        i, j = np.nonzero(similar & (asks["c"].to_numpy()[:, None] != own["c"].to_numpy()))
+        found = pd.DataFrame({"a": asks["id"].to_numpy()[i], "b": own["id"].to_numpy()[j], "ca": asks["c"].to_numpy()[i], "cb": own["c"].to_numpy()[j]})
+        return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return run
+
+
+def closing_links(spark: SparkSession, live: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join ids of different components, a outside a bucket's largest component.
 
     A bag's elements (shingle and occurrence) are ordered by how many of the rows hold them, rare first. Two
     bags of Jaccard ``threshold`` or more share an element among the first size - ceil(threshold * size) + 1
-    of either, so only rows that meet in such a prefix are paired; none is lost.
+    of either. The rows are laid in blocks of bounded size, those with one largest component together; a row
+    asks only the blocks in which some row's first elements hold one of its own, and a block answers all
+    who ask it by one product of tables. No pairs are made; no link is lost.
     """
-    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("minor"))
+    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("minor"), F.max_by("main", F.struct("n", "bucket")).alias("home"))
     ids = stored(spark, ids, "live-ids")
-    el = stored(spark, texts.join(ids.select("id"), "id").mapInArrow(_elements(k), "id long, e long, size int"), "elements")
-    held = stored(spark, el.groupBy("e").agg(F.count("*").alias("n")), "held")
-    ranked = hot_join(spark, el, held, "e", "n", "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "e")))
+    room = F.size("e") + ROW_ROOM  # what a row takes of a block
+    rows = stored(spark, texts.join(ids.select("id"), "id").mapInArrow(_elements(k), "id long, e array<long>").join(ids, "id"), "bags")
+    homes = stored(spark, rows.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.sum(room) / BLOCK_ROOM).alias("blocks")), "homes")
+    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = stored(spark, hot_join(spark, rows, homes, "home", "n", "id").select("id", "c", "minor", "e", block.alias("block")), "blocks")
+    el = rows.select("id", "minor", "block", F.size("e").alias("size"), F.explode("e").alias("e"))
+    held = stored(spark, el.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    ranked = hot_join(spark, el, held, "e", "n", "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "e")))
     # the margin keeps rounding from shortening a prefix
     first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).where("n > 1")
-    first = stored(spark, first.select("id", "e", "n").join(ids, "id"), "prefixes")
-    salts = max(8, partitions(spark) // 4)
-    x = first.where("minor").select("e", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    y = first.select("e", F.col("id").alias("b"), F.col("c").alias("cb"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    return x.join(y, ["e", "salt"]).where("ca != cb").select("a", "b").distinct()
+    first = stored(spark, first.select("id", "minor", "block", "size", "e"), "prefixes")
+    asks = first.where("minor").select("id", "size", "e").join(first.select("e", "block").distinct(), "e").select("id", "size", "block").distinct()
+    asks = stored(spark, asks, "asks")
+    asked = stored(spark, asks.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.sum(F.col("size") + ROW_ROOM) / BLOCK_ROOM).cast("int").alias("chunks")), "asked")
+    dealt = hot_join(spark, asks, asked, "block", "n", "id").select("id", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+    asking = dealt.join(rows.select("id", "c", "e"), "id").select("block", "chunk", "id", "c", "e", F.lit(True).alias("asks"))
+    answering = rows.join(asked.select("block", "chunks"), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "c", "e", F.lit(False).alias("asks"))
+    return stored(spark, asking.union(answering).groupBy("block", "chunk").applyInPandas(_compare(threshold), "a long, b long"), "closing-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -195,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verify(pairs: DataFrame) -> DataFrame:
         return stored(spark, salted_pairs(spark, pairs, candidates).mapInArrow(_verify(k, threshold), "a long, b long"), "links")
 
-    closing = lambda live: prefix_pairs(spark, live, candidates, k, threshold)
+    closing = lambda live: closing_links(spark, live, candidates, k, threshold)
     comp = stored(spark, link(spark, members, verify, closing=closing), "classes")
     classes = texts.join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("comp", "rep").alias("class_id"), "n")
     classes = stored(spark, classes, "text-classes")

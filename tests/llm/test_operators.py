@@ -211,6 +211,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(x.class_size == sizes[x.class_id] for x in got.values()) and max(sizes.values()) > 20
 
 
+def test_overlaps_count_shared_elements():
+    g = np.random.default_rng(3)
+    rows = [np.unique(g.integers(0, 300, n)) for n in (0, 1, 40, 90, 200)]
+    shared = np.unique(g.integers(0, 300, 150))
+    got = neardup.overlaps(rows, rows[1:], shared, columns=16)
+    assert got.tolist() == [[len({*a} & {*b} & {*shared}) for b in rows[1:]] for a in rows]
+    assert not neardup.overlaps(rows, rows, shared[:0]).any()
+
+
 def test_components(spark):
     g = random.Random(6)
     edges = [(g.randrange(200), g.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)]
