@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, hot_join, mix, shingle_hashes, stored, words
@@ -200,28 +200,23 @@ def _compare(threshold: float):
 def closing_links(spark: SparkSession, live: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Links (a, b) that join ids of different components, a outside a bucket's largest component.
 
-    A bag's elements (shingle and occurrence) are ordered by how many of the rows hold them, rare first. Two
-    bags of Jaccard ``threshold`` or more share an element among the first size - ceil(threshold * size) + 1
-    of either. The rows are laid in blocks of bounded size, those with one largest component together; a row
-    asks only the blocks in which some row's first elements hold one of its own, and a block answers all
-    who ask it by one product of tables. No pairs are made; no link is lost.
+    The rows are laid in blocks of bounded size, those with one largest component together. A row outside the
+    largest component of a bucket asks every block that holds a member of that bucket, once however many
+    buckets they share, and a block answers all who ask it by one product of tables over the bags' elements
+    (shingle and occurrence). No pairs are made; no link is lost.
     """
-    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("minor"), F.max_by("main", F.struct("n", "bucket")).alias("home"))
+    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max_by("main", F.struct("n", "bucket")).alias("home"))
     ids = stored(spark, ids, "live-ids")
     room = F.size("e") + ROW_ROOM  # what a row takes of a block
     rows = stored(spark, texts.join(ids.select("id"), "id").mapInArrow(_elements(k), "id long, e array<long>").join(ids, "id"), "bags")
     homes = stored(spark, rows.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.sum(room) / BLOCK_ROOM).alias("blocks")), "homes")
     block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = stored(spark, hot_join(spark, rows, homes, "home", "n", "id").select("id", "c", "minor", "e", block.alias("block")), "blocks")
-    el = rows.select("id", "minor", "block", F.size("e").alias("size"), F.explode("e").alias("e"))
-    held = stored(spark, el.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "held")
-    ranked = hot_join(spark, el, held, "e", "n", "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "e")))
-    # the margin keeps rounding from shortening a prefix
-    first = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).where("n > 1")
-    first = stored(spark, first.select("id", "minor", "block", "size", "e"), "prefixes")
-    asks = first.where("minor").select("id", "size", "e").join(first.select("e", "block").distinct(), "e").select("id", "size", "block").distinct()
-    asks = stored(spark, asks, "asks")
-    asked = stored(spark, asks.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.sum(F.col("size") + ROW_ROOM) / BLOCK_ROOM).cast("int").alias("chunks")), "asked")
+    rows = stored(spark, hot_join(spark, rows, homes, "home", "n", "id").select("id", "c", "e", room.alias("room"), block.alias("block")), "blocks")
+    holders = live.select("bucket", "id").join(rows.select("id", "block"), "id").groupBy("bucket").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
+    outside = hot_join(spark, live.where("c != main").select("bucket", "id"), stored(spark, holders, "holders"), "bucket", "n", "id")
+    asks = outside.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")).join(rows.select("id", "room"), "id")
+    asks = stored(spark, asks.select("id", "room", F.explode("blocks").alias("block")), "asks")
+    asked = stored(spark, asks.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.sum("room") / BLOCK_ROOM).cast("int").alias("chunks")), "asked")
     dealt = hot_join(spark, asks, asked, "block", "n", "id").select("id", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
     asking = dealt.join(rows.select("id", "c", "e"), "id").select("block", "chunk", "id", "c", "e", F.lit(True).alias("asks"))
     answering = rows.join(asked.select("block", "chunks"), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "c", "e", F.lit(False).alias("asks"))
