@@ -102,11 +102,12 @@ def j13_position_on_track(spark, sf_dir):
     return s.position_at(d.track_points(spark, sf_dir), v)
 
 
-@query(f"WITH {d.SPRINGS}, g AS (SELECT *, greatest(ceil((lon + 180) / 360 * 8) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 4) - 1, 0) AS cy FROM springs) SELECT count(*) AS pairs FROM g a JOIN g b ON a.cx = b.cx AND a.cy = b.cy AND a.upload % 50 = 0 AND b.upload % 50 = 1")
+@query(f"WITH {d.SPRINGS}, g AS (SELECT *, greatest(ceil((lon + 180) / 360 * 8) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 4) - 1, 0) AS cy FROM springs) SELECT count(*) AS pairs FROM g a JOIN g b ON a.cx = b.cx AND a.cy = b.cy AND a.upload % 2 = 0 AND b.upload % 2 = 1")
 def j14_same_geohash_cell(spark, sf_dir):
+    """Pairs of an even and an odd upload in one cell, counted without making them."""
     g = d.springs(spark, sf_dir).select("upload", geo.geohash(F.col("lon"), F.col("lat"), 1).alias("code"))
-    a, b = g.where("upload % 50 = 0").select("code"), g.where("upload % 50 = 1").select("code")
-    return a.join(b, "code").agg(F.count("*").alias("pairs"))
+    n = g.groupBy("code").agg(F.count_if(F.col("upload") % 2 == 0).alias("even"), F.count_if(F.col("upload") % 2 == 1).alias("odd"))
+    return n.agg(F.coalesce(F.sum(F.col("even") * F.col("odd")), F.lit(0)).alias("pairs"))
 
 
 @query(f"WITH {d.SPRINGS} SELECT event_id AS video, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, lat) AS lat FROM events LEFT JOIN springs ON upload = user_id WHERE event_type = 'view'")
