@@ -172,6 +172,31 @@ def test_fuzzy_lines(spark):
     assert texts[2] == "own line two here" and texts[90] is None and texts[91] == ""
 
 
+def test_short_lines_share_a_segment_key():
+    g = random.Random(8)
+    for _ in range(3000):
+        a = "".join(g.choice("abcd ") for _ in range(g.randrange(5, 25)))
+        b = list(a)
+        for _ in range(g.randrange(1, 5)):
+            at = g.randrange(len(b))
+            b[at : at + g.randrange(2)] = g.choice(["", "e", "a", "bc"])
+            b = b or ["a"]
+        b = "".join(b)
+        if a != b and len(b) <= lines.EXACT and lines.edit_similarity(a, b) >= 0.8:
+            assert {*lines.segment_keys(a)} & {*lines.segment_keys(b)}, (a, b)
+
+
+def test_fuzzy_lines_of_all_lengths(spark):
+    short = ["green moss", "a cold spring", "water flows here", "moss grows on the stone"]
+    rows = [(i, x) for i, x in enumerate(short)] + [(10 + i, x[:4] + "x" + x[5:]) for i, x in enumerate(short)]
+    for k, n in enumerate((8, 11, 30, 101)):
+        w = prose(n, 50 + k).split()
+        rows += [(20 + k, " ".join(w)), (30 + k, " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]]))]
+    g = {x.doc_id: x for x in lines.line_groups(frame(spark, rows)).collect()}
+    assert {i for i, x in g.items() if not x.kept} == {*range(10, 14), *range(30, 34)}
+    assert all(g[i].group_id == g[i - 10].group_id for i in (*range(10, 14), *range(30, 34)))
+
+
 def test_bag_signatures_estimate_weighted_jaccard():
     g = np.random.default_rng(5)
     shingle = g.integers(0, 2**63, 400).astype(np.uint64)
