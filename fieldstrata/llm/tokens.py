@@ -112,9 +112,7 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
 def _make(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -122,8 +120,8 @@ class Encoder:
 
     The pre-tokenizer cuts at every space between words, so the ids of a text are those of its
     space-separated units; units and pre-tokens met before are remembered (bounded, two generations).
-    Texts in which a space stands beside other blanks or at an end, or with unusual characters, go to the
-    library in one piece.
+    Texts with two blanks in a row or one at an end, with an added token or with unusual characters, go to
+    the library in one piece.
     """
 
     def __init__(self, path: str, cap: int = 400_000):
@@ -132,7 +130,8 @@ class Encoder:
         self.made, self.cap = _make(path), cap
         self.units, self.old_units, self.pieces, self.old_pieces = {}, {}, {}, {}
         plain = [chr(c) for c in (10, *range(0x20, 0x7F), *range(0xA1, 0x250))]
-        self.odd = regex.compile(r"\s |\s$| \s|^\s|[^\x20-\x7e\n\xa1-\u024f]").search
+        added = [regex.escape(t.content) for t in self.made.get_added_tokens_decoder().values()]
+        self.odd = regex.compile("|".join([r"\s\s|\s$|^\s|[^\x20-\x7e\n\xa1-\u024f]", *added])).search
         # where the library cuts a text of these characters, and how it writes them
         self.cut = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").findall
         self.spelt = {ord(c): "".join(p for p, _ in self.made.pre_tokenizer.pre_tokenize_str(c)) for c in plain}

@@ -56,6 +56,18 @@ def test_token_table(spark):
     assert tokens.token_table(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_token_fast_path_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, made = tokens.Encoder(path), Tokenizer.from_file(path)
+    added = [t.content for t in made.get_added_tokens_decoder().values()]
+    texts = ["one two\n\nthree four", "a\n\n\nb c", "a\tb\t\tc", "one\ntwo three", "a b\n", *[f"end {t} start{t}x" for t in added], "x  y", "it's 12 o'clock"]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == made.encode(t, add_special_tokens=False).ids, t
+
+
 def test_automaton_finds_what_brute_force_finds():
     g = random.Random(2)
     made = licenses.Automaton([("t", list("abcab")), ("u", list("bcabd"))], {"a b": "ab", "b": "b"})
