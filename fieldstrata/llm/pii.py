@@ -26,6 +26,8 @@ PATTERNS = {
 #: \1 of the card pattern stands for the only group that captures.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 32
+#: Attempts after which a surrogate that keeps its format gets longer, by a digit an attempt.
+KEEPS_FORMAT = 6
 
 
 def kind_of(m: Column) -> Column:
@@ -67,14 +69,16 @@ _SYLLABLES = {
 }
 
 
-def _name_word(word: Column, digest: Column, index: Column, female: Column) -> Column:
-    """A name of three syllables in the word's script, ended by gender, in the word's case."""
+def _name_word(word: Column, digest: Column, index: Column, female: Column, attempt: Column) -> Column:
+    """A name of four syllables, one more an attempt, in the word's script, ended by gender, in the word's case."""
     v = lambda j: F.conv(F.substr(digest, index * 8 + j, F.lit(1)), 16, 10).cast("int")
+    later = F.substr(digest, index * 32 + 17, F.least(attempt, F.lit(32)))
+    more = lambda table: F.array_join(F.transform(F.filter(F.split(later, ""), lambda c: c != ""), lambda c: F.element_at(table, F.conv(c, 16, 10).cast("int") + 1)), "")
     out = None
     for script, test in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
         syllables, male_end, female_end = _SYLLABLES[script]
         table = F.array(*[F.lit(s) for s in syllables])
-        made = F.concat(*[F.element_at(table, v(j) + 1) for j in (1, 2, 3, 4)], F.when(female, female_end).otherwise(male_end))
+        made = F.concat(*[F.element_at(table, v(j) + 1) for j in (1, 2, 3, 4)], more(table), F.when(female, female_end).otherwise(male_end))
         out = made if out is None and not test else F.when(word.rlike(test), made) if out is None else out.when(word.rlike(test), made) if test else out.otherwise(made)
     return F.when(word == F.upper(word), F.upper(out)).when(word == F.lower(word), out).otherwise(F.initcap(out))
 
@@ -84,11 +88,13 @@ def surrogate(kind: Column, body: Column, norm: Column, female: Column, attempt:
 
     Letters become letters of the same case, digits digits, marks and the top-level domain stay; octets stay
     octets; names keep script, number of words, case and gender. As the k-th letter or digit depends on
-    the entity and k only, mentions in other formats get the same surrogate in their own format.
+    the entity and k only, mentions in other formats get the same surrogate in their own format. With the
+    attempts names get more syllables, the others more digits (in front of an address, after a colon for
+    octets), so that there is a surrogate of its own for every entity however many there are.
     """
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
     octets = F.array_join(F.transform(F.split(body, r"\."), lambda o, i: (F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
-    names = F.array_join(F.transform(F.split(body, " "), lambda w, i: _name_word(w, digest, i, female)), " ")
+    names = F.array_join(F.transform(F.split(body, " "), lambda w, i: _name_word(w, digest, i, female, attempt)), " ")
     # counted over letters and digits only, so that separators do not shift what follows them
     head = F.when(kind == "email", F.regexp_extract(body, r"\A(.*)\.[^.]*\z", 1)).otherwise(body)
     hexadecimal = kind.isin("hex", "secret") & body.rlike(r"\A([0-9a-f]+|[0-9A-F]+)\z")
@@ -100,7 +106,9 @@ def surrogate(kind: Column, body: Column, norm: Column, female: Column, attempt:
 
     spelt = F.aggregate(F.split(head, ""), start, step, lambda acc: acc["s"])
     tail = F.when(kind == "email", F.regexp_extract(body, r"\.[^.]*\z", 0)).otherwise("")
-    return F.when(kind == "ip", octets).when(kind == "name", names).otherwise(F.concat(spelt, tail))
+    more = F.translate(F.substr(digest, F.lit(65), F.least(F.greatest(attempt - KEEPS_FORMAT, F.lit(0)), F.lit(64))), "abcdef", "123456")
+    made = F.when(kind == "ip", F.concat(octets, F.when(more != "", F.concat(F.lit(":"), more)).otherwise("")))
+    return made.when(kind == "name", names).when(kind == "email", F.concat(more, spelt, tail)).otherwise(F.concat(spelt, more))
 
 
 def _mention(m: Column) -> Column:

@@ -115,6 +115,18 @@ def test_surrogates_stay_distinct(spark):
     assert done.select("s").distinct().count() == 20
 
 
+def test_surrogates_never_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = spark.createDataFrame([("email", f"{a}@{b}.co") for a in letters for b in letters], "kind string, norm string")
+    again = pii.assign(spark, full, "k")
+    done = full.join(again, ["kind", "norm"], "left").select("norm", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
+    rows = done.collect()
+    assert len({r.s for r in rows} - {r.norm for r in rows}) == 676
+    one = spark.createDataFrame([("name", "Anna Smith", a) for a in range(4)], "kind string, norm string, attempt int")
+    got = [r.s for r in one.select("attempt", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.col("attempt"), "k").alias("s")).orderBy("attempt").collect()]
+    assert [len(x.split()[0]) for x in got] == [9, 11, 13, 15] and [len(x.split()[1]) for x in got] == [9, 11, 13, 15]
+
+
 def test_tiling_counts_reordered_passages():
     item = list(range(1, 31))
     got = decontam.tile(item, item[20:] + [99] + item[10:20] + [98] + item[:10], 5)
