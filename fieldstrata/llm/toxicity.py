@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from .common import documents, words
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTEND = 64, 32, 6, 8, 8
+#: Longer words take several places in the windows.
+LONGEST = 40
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
 #: Bounds of the training sample: documents of either label, and characters of a document.
 PER_CLASS, SAMPLE_CHARS, EPOCHS, RATE = 1_000, 20_000, 12, 0.01
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$|(?<=\w)[#*$%&!|.,;:]+$")
+_PART = re.compile(r"[^\W_]+|[\W_]+")
 
 
 def plain(word: str) -> str:
@@ -26,13 +29,29 @@ def plain(word: str) -> str:
     return w if w.isalnum() else _EDGE.sub("", w) or w
 
 
+def units(text: str | None) -> list[str]:
+    """The words of a text; those over ``LONGEST`` in pieces, which together hold all of their characters.
+
+    A long word is cut where letters or digits meet marks; what is still too long gives pieces that share two
+    characters with the next, so every trigram is in one.
+    """
+    found = words(text)
+    if all(len(w) <= LONGEST for w in found):
+        return found
+    out = []
+    for w in found:
+        for part in _PART.findall(w) if len(w) > LONGEST else [w]:
+            out += [part[i : i + LONGEST] for i in range(0, len(part) - 2, LONGEST - 2)] if len(part) > LONGEST else [part]
+    return out
+
+
 def word_row(word: str) -> int:
     return zlib.crc32(word.encode()) % WORD_ROWS
 
 
 def char_rows(word: str) -> list[int]:
     """Rows of the character trigrams of a word, with marks for its ends."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [zlib.crc32(w[i : i + 3].encode()) % CHAR_ROWS for i in range(len(w) - 2)] or [0]
 
 
@@ -155,7 +174,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
     window is drawn for each text, later the highest is taken; labels weigh so that both count alike.
     """
     net, g = Network(seed), np.random.default_rng(seed)
-    texts = [[plain(w) for w in words(t)] for t, _ in rows]
+    texts = [[plain(w) for w in units(t)] for t, _ in rows]
     labels = np.array([y for _, y in rows], np.float32)
     if not len(rows) or labels.min() == labels.max():
         net.p["o"][:] = 0
@@ -232,7 +251,7 @@ class Scorer:
         if len(self.seen) > self.cap:
             self.clear()
         seen, before = self.seen, len(self.seen)
-        split = [words(t) for t in texts]
+        split = [units(t) for t in texts]
         # raw words are numbered; words that look alike to the network share its vectors by value only
         flat = np.array([seen.setdefault(w, len(seen)) for ws in split for w in ws], np.int64)
         if len(seen) > before:

@@ -352,3 +352,17 @@ def test_pipeline(spark):
 
     r = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert r and r[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(r, r[1:], strict=False))
+
+
+def test_toxicity_reads_long_words_to_the_end():
+    assert toxicity.char_rows("a" * 40 + "stupid") != toxicity.char_rows("a" * 40 + "lovely")
+    long = "stone/river_" * 30 + "idiot" + "日本語の文章" * 40
+    got = toxicity.units(f"one two {long} end")
+    assert got[:2] == ["one", "two"] and got[-1] == "end" and "idiot" in toxicity.units("stone/river_" * 30 + "idiot_moss")
+    assert max(map(len, got)) <= toxicity.LONGEST
+    seen = {w[i : i + 3] for w in got for i in range(len(w) - 2)}
+    assert all("語の文章日本語"[i : i + 3] in seen for i in range(5))
+    rows = [("stone river " + prose(20, i) + (" idiot" if i % 2 else " flower") + " moss", i % 2) for i in range(400)]
+    score = toxicity.Scorer(toxicity.train(rows))
+    bad, good = score(["stone_river_" * 10 + "idiot_moss", "stone_river_" * 10 + "flower_moss"])
+    assert bad > 0.5 > good
