@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the text contracts: runs of anything but space and the ASCII control blanks.
@@ -94,12 +96,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/fieldstrata/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written as Parquet in the shared folder and read again: lineage ends here."""
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables made by ``stored`` inside, but for those with ``keep``, are deleted at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCOPES.pop())
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The rows of ``df``, written as Parquet in the shared folder and read again: lineage ends here.
+
+    With ``keep`` the table outlives the innermost ``temporary``, and belongs to the next one if there is one.
+    """
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    scopes = _SCOPES[: len(_SCOPES) - keep]
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
@@ -139,5 +160,37 @@ def hot_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, w
     return j.select(*left.columns, *[F.when(F.col("_done"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in extra])
 
 
+def hot_match(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, weight: str, test: Column) -> DataFrame:
+    """Inner join on ``key`` of the rows that pass ``test``, that no single key can slow down.
+
+    ``right`` is a stored table, one row a key; its column ``weight`` counts the rows of ``left`` with that key. As
+    in ``hot_join`` keys above a share of the rows are broadcast, the others meet by shuffle; rows of ``left`` whose
+    key is not in ``right`` or that fail the test are not carried on.
+    """
+    n = partitions(spark)
+    limit = max((right.agg(F.sum(weight)).first()[0] or 0) // (4 * n), 64)
+    extra = [c for c in right.columns if c not in (key, weight)]
+    side = right.withColumnRenamed(key, "_mk").select("_mk", *extra, weight)
+    hot = F.broadcast(side.where(F.col(weight) > limit).drop(weight))
+    cold = side.where(F.col(weight) <= limit).drop(weight)
+    a = left.join(hot, (F.col(key) == F.col("_mk")) & test).drop("_mk")
+    rest = left.join(F.broadcast(hot.select("_mk")), F.col(key) == F.col("_mk"), "left_anti")
+    return a.unionByName(rest.join(cold, (F.col(key) == F.col("_mk")) & test).drop("_mk"))
+
+
+#: Rows of one number or short key each up to which a table counts as small enough to broadcast.
+SMALL_TABLE = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``gone`` (one long column of distinct ids, stored); rows without one stay.
+
+    Up to ``SMALL_TABLE`` ids are broadcast, so that no text moves; more meet the documents by shuffle.
+    """
+    ids = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    ids = F.broadcast(ids) if ids.count() <= SMALL_TABLE else ids
+    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

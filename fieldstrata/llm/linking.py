@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hot_join, partitions, stored
+from .common import discard, hot_join, hot_match, partitions, stored
+
+#: What a block of rows holds in units of size, and what a row counts for besides its size.
+BLOCK_ROOM, ROW_ROOM = 200_000, 150
+#: Buckets up to this many members give the pairs of their components; larger ones go through blocks.
+SMALL = 24
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -38,62 +46,139 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
-def link(
-    spark: SparkSession,
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    early: Callable[[Column, Column], Column] | None = None,
-    closing: Callable[[DataFrame], DataFrame] | None = None,
-    small: int = 24,
-) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, id) in order, repeated rows taken once, those of a bucket with another row here, and those at
+    the ends, with n: the bucket's rows in the batch."""
+    held, first = None, True
+
+    def out(bucket: np.ndarray, ids: np.ndarray, n: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32))], names=["bucket", "id", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held is not None:
+            bucket, ids = np.concatenate([held[0], bucket]), np.concatenate([held[1], ids])
+        once = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])])
+        bucket, ids = bucket[once], ids[once]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        n = np.diff(np.append(starts, len(bucket)))
+        size = np.repeat(n, n)
+        last = starts[-1]
+        held = (bucket[last:][-1:], ids[last:][-1:], size[last])
+        keep = size > 1
+        keep[0] |= first
+        keep[-1] = False
+        first = False
+        yield out(bucket, ids, size, keep)
+    if held is not None:  # the last row may go on in the next partition
+        yield out(held[0], held[1], np.array([max(held[2], 2)]), np.array([True]))
+
+
+def crowded(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """Rows (bucket, id, n) of ``keyed`` (bucket, id) whose bucket may have another row.
+
+    One sort by ranges of (bucket, id), so a frequent bucket is dealt over several tasks; each task passes
+    over its rows once. Rows alone in their bucket go, but for the two ends of a task's range. n is the number of
+    the bucket's rows seen together: its size or, for buckets beyond a batch or a range, a part of it.
+    """
+    n = partitions(spark)
+    return keyed.repartitionByRange(n, "bucket", "id").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long, n int")
+
+
+def _joined(spark: SparkSession, e: DataFrame, links: DataFrame) -> DataFrame:
+    """``e`` with the components c joined that links (ca, cb) connect."""
+    merged = components(spark, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b"))
+    weights = e.groupBy(F.col("c").alias("id")).agg(F.count("*").alias("w"))
+    merged = stored(spark, merged.join(weights, "id").select(F.col("id").alias("c"), "comp", "w"), "joined-components")
+    out = hot_join(spark, e, merged, "c", "w", "id")
+    return stored(spark, out.withColumn("c", F.coalesce("comp", "c")).drop("comp", "w"), "joined")
+
+
+def link(spark: SparkSession, members: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Components of the graph in which two members of a common bucket are linked if ``verify`` keeps the pair.
 
-    ``members`` is a stored table (bucket, id, n and what ``early`` reads) without repeated rows; n counts
-    the bucket's members. ``verify`` takes pairs (a, b) and returns those that hold; ``early`` is a cheap
-    test on two members that every pair to keep passes. The result equals that of verifying all pairs of
-    every bucket. Buckets of at most ``small`` members give all their pairs. In a larger one first the member
-    that meets most others in its buckets is compared with all. Where a bucket still holds several components,
-    every member outside its largest is compared with those of other components: ``closing`` gives links
-    that hold and join such components, from rows (bucket, id, c: component, main: the bucket's largest, n);
-    without it all pairs that pass ``early`` are verified. Pairs inside one component are never made. Returns (id, comp) of ids that
-    have a link.
+    ``members`` is a stored table (bucket, id, n) from ``crowded``, ``sizes`` has (id, size) of every id; ``verify`` takes pairs
+    with columns a, b and returns those rows that hold. First every id is compared with one other, the
+    centre of its fullest bucket: the member that meets most others. Then buckets that still hold several components
+    are looked at: small ones give the pairs of ids of different components, larger ones go through blocks. There
+    ``payload`` adds to rows with an id what ``compare`` reads, and ``compare`` gives links (a, b, ca, cb) between
+    rows that ask and rows of the block, one for each two components. First each asks one block, as that settles most,
+    then the rest asks all. The components are those of verifying all pairs of every bucket, but pairs inside one
+    component are not made, and between the steps an id is one row. Returns (id, comp) of ids that have a link.
+    """
+    heads = members.groupBy("id").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("best"), F.sum("n").alias("met"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
+    heads = stored(spark, heads, "heads")
+    centres = heads.groupBy("best").agg(F.max_by("id", F.struct("met", "id")).alias("centre"), F.count("*").alias("w"))
+    centres = stored(spark, centres, "centres")
+    e = stored(spark, hot_join(spark, heads, centres, "best", "w", "id").drop("w", "best", "met"), "with-centres")
+    found = verify(e.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    linked = found.select(F.col("b").alias("id"), F.col("a").alias("to"))
+    e = stored(spark, e.join(linked, "id", "left").withColumn("c", F.coalesce("to", "id")).drop("to"), "starred")
+    discard(heads, centres)
+
+    # open small buckets: pairs of different components
+    x = e.select(F.explode("buckets").alias("k"), "id", "c").select("k.bucket", "k.n", "id", "c")
+    lists = x.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_list(F.struct("id", "c")).alias("l"))
+    lists = lists.where(f"lo != hi and k <= {SMALL}")
+    pair = lambda p, q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b"), F.when(p["id"] < q["id"], p["c"]).otherwise(q["c"]).alias("ca"), F.when(p["id"] < q["id"], q["c"]).otherwise(p["c"]).alias("cb"))
+    each = F.flatten(F.transform("l", lambda p, i: F.transform(F.filter(F.slice("l", i + 2, SMALL), lambda q: q["c"] != p["c"]), lambda q: pair(p, q))))
+    found = verify(stored(spark, lists.select(F.explode(each).alias("p")).select("p.*").distinct(), "small-pairs"))
+    if not found.isEmpty():
+        e = _joined(spark, e, found)
+    large = F.exists("buckets", lambda k: k["n"] > SMALL // 2)  # also remainders at the ends of batches
+    if not e.where(large).isEmpty():
+        e = _blocks(spark, e, sizes)
+        for whole in (False, True):
+            found = _closing(spark, e, payload, compare, whole)
+            if found is None:
+                break
+            if not found.isEmpty():
+                e = _joined(spark, e, found)
+    return e.select("id", F.col("c").alias("comp"))
+
+
+def _blocks(spark: SparkSession, e: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Lays the rows in blocks of bounded size, those with one centre together: adds room and block."""
+    e = stored(spark, e.join(sizes.select("id", (F.col("size") + ROW_ROOM).alias("room")), "id"), "roomed")
+    homes = stored(spark, e.groupBy("centre").agg(F.count("*").alias("w"), F.ceil(F.sum("room") / BLOCK_ROOM).alias("blocks")), "homes")
+    block = F.xxhash64("centre", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return stored(spark, hot_join(spark, e, homes, "centre", "w", "id").withColumn("block", block).drop("blocks", "w"), "blocks")
+
+
+def _closing(spark: SparkSession, e: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame], whole: bool) -> DataFrame | None:
+    """Links (a, b, ca, cb) that join ids of different components, a outside a bucket's largest component; None
+    if no larger bucket is open.
+
+    A row outside the largest component of a bucket asks every block that holds a member of that bucket, once
+    however many buckets they share (without ``whole`` it asks one block only), and a block answers all who
+    ask it. No pairs are made; with ``whole`` no link is lost.
     """
-    extra = [c for c in members.columns if c not in ("bucket", "n")]
-    groups = members.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct(*extra)).alias("l"))
-    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, small), lambda y: early(x, y) if early else F.lit(True)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))))
-    links = verify(groups.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct())
-    large = members.where(F.col("n") > small)
-    if large.isEmpty():
-        return components(spark, links)
-    met = large.groupBy("id").agg(F.sum("n").alias("met"))
-    large = stored(spark, large.join(met, "id"), "large-buckets")
-    centre = stored(spark, large.groupBy("bucket").agg(F.max_by("id", F.struct("met", F.col("id"))).alias("centre"), F.first("n").alias("n")), "centres")
-    pairs = hot_join(spark, large.select("bucket", "id"), centre, "bucket", "n", "id").where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    links = stored(spark, links.union(verify(pairs.distinct())), "links")
-    comp = stored(spark, components(spark, links), "components")
-    mc = stored(spark, large.join(comp, "id", "left").select("bucket", *extra, F.coalesce("comp", "id").alias("c")), "members")
-    parts = mc.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = stored(spark, open_, "open")
+    x = e.select(F.explode("buckets").alias("k"), "id", "c", "block").select("k.bucket", "id", "c", "block")
+    parts = x.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.collect_set("block").alias("blocks"))
+    open_ = parts.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("w"), F.count("*").alias("parts"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    open_ = stored(spark, open_.where(f"parts > 1 and w > {SMALL}").drop("parts"), "open")
     if open_.isEmpty():
-        return comp
-    live = stored(spark, hot_join(spark, mc, open_, "bucket", "n", "id").where("main is not null"), "live")
-    discard(mc, open_)
-    if closing:
-        found = closing(live)
-    else:
-        salts = max(8, partitions(spark) // 4)
-        x = live.where("c != main").select("bucket", F.struct(*extra).alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        y = live.select("bucket", F.struct(*extra).alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-        test = F.col("cx") != F.col("cy")
-        test = test & early(F.col("x"), F.col("y")) if early else test
-        pairs = x.join(y, ["bucket", "salt"]).where(test & (F.col("in_main") | (F.col("x.id") < F.col("y.id")))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        found = verify(pairs.distinct())
-    return comp if found.isEmpty() else components(spark, links.union(found))
+        return None
+    outside = hot_match(spark, x.drop("block"), open_, "bucket", "w", F.col("c") != F.col("main"))
+    asks = outside.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    if not whole:
+        asks = asks.withColumn("blocks", F.slice("blocks", F.pmod(F.xxhash64("id"), F.size("blocks")).cast("int") + 1, 1))
+    asks = stored(spark, asks.join(e.select("id", "c", "room"), "id").select("id", "c", "room", F.explode("blocks").alias("block")), "asks")
+    asked = asks.groupBy("block").agg(F.count("*").alias("w"), F.ceil(F.sum("room") / BLOCK_ROOM).cast("int").alias("chunks"))
+    asked = stored(spark, asked, "asked")
+    needed = asks.select("id").union(e.join(asked.select("block"), "block", "left_semi").select("id")).distinct()
+    data = stored(spark, payload(needed), "payload")
+    dealt = hot_join(spark, asks, asked, "block", "w", "id").select("id", "c", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+    answer = e.join(asked.select("block", "chunks"), "block").select("id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"))
+    met = dealt.unionByName(answer).join(data, "id")
+    found = met.groupBy("block", "chunk").applyInPandas(compare, "a long, b long, ca long, cb long")
+    return stored(spark, found, "closing-links")
 
 
 def salted_pairs(spark: SparkSession, pairs: DataFrame, texts: DataFrame, chunk: int = 256) -> DataFrame:
-    """Pairs (a, b) with the text of either: (a, b, text_a, text_b).
+    """Pairs (a, b, more) with the text of either added: text_a, text_b.
 
     ``texts`` (id, text) has one row an id. A centre with many pairs is dealt out over copies of its row,
     one for about ``chunk`` pairs, so no task holds more than a few chunks of one centre.
@@ -103,4 +188,4 @@ def salted_pairs(spark: SparkSession, pairs: DataFrame, texts: DataFrame, chunk:
     dealt = hot_join(spark, pairs, counts, "a", "n", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / chunk)).cast("int")).drop("n")
     copies = texts.join(counts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / chunk) - 1).cast("int"))).alias("salt"))
     b_side = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return dealt.join(b_side, "b").join(copies, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    return dealt.join(b_side, "b").join(copies, ["a", "salt"]).select(*pairs.columns, "text_a", "text_b")

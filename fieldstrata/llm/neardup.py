@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, hot_join, mix, shingle_hashes, stored, words
-from .linking import link, salted_pairs
+from .common import WordHashes, documents, hot_join, mix, shingle_hashes, stored, temporary, without, words
+from .linking import crowded, link, salted_pairs
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 26, 5
-#: Elements that a block of rows holds, and what a row counts for besides its elements.
-BLOCK_ROOM, ROW_ROOM = 200_000, 150
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +107,8 @@ def _sign(k: int, bands: int, rows: int):
                 some[row] = True
                 flat = pa.array(keys[some].reshape(-1))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.ListArray.from_arrays(offsets, flat)], names=["id", "digest", "bands"])
+                size = pa.array(np.bincount(row, weights=weight, minlength=end - at).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), size, pa.ListArray.from_arrays(offsets, flat)], names=["id", "digest", "size", "bands"])
                 at = end
 
     return run
@@ -131,9 +130,9 @@ def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            keep = [i for i in range(len(a)) if overlap(ta[i], tb[i], hashes, k) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            ta, tb = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
+            keep = [overlap(x, y, hashes, k) >= threshold for x, y in zip(ta, tb, strict=True)]
+            yield batch.drop_columns(["text_a", "text_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -184,7 +183,7 @@ def _compare(threshold: float):
         """Links between rows that ask and rows of a block; one for each two components is enough."""
         asks, own = rows[rows["asks"]], rows[~rows["asks"]]
         if not len(asks) or not len(own):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "ca", "cb")})
         once = rows.drop_duplicates("id")
         element, held = np.unique(np.concatenate(once["e"].tolist()), return_counts=True)
         both = overlaps(asks["e"].tolist(), own["e"].tolist(), element[held > 1]).astype(np.float64)
@@ -192,37 +191,11 @@ def _compare(threshold: float):
         similar = both / np.maximum(size_a[:, None] + size_b - both, 1) >= threshold
         i, j = np.nonzero(similar & (asks["c"].to_numpy()[:, None] != own["c"].to_numpy()))
         found = pd.DataFrame({"a": asks["id"].to_numpy()[i], "b": own["id"].to_numpy()[j], "ca": asks["c"].to_numpy()[i], "cb": own["c"].to_numpy()[j]})
-        return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
+        return found.drop_duplicates(["ca", "cb"])
 
     return run
 
 
-def closing_links(spark: SparkSession, live: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Links (a, b) that join ids of different components, a outside a bucket's largest component.
-
-    The rows are laid in blocks of bounded size, those with one largest component together. A row outside the
-    largest component of a bucket asks every block that holds a member of that bucket, once however many
-    buckets they share, and a block answers all who ask it by one product of tables over the bags' elements
-    (shingle and occurrence). No pairs are made; no link is lost.
-    """
-    ids = live.groupBy("id").agg(F.first("c").alias("c"), F.max_by("main", F.struct("n", "bucket")).alias("home"))
-    ids = stored(spark, ids, "live-ids")
-    room = F.size("e") + ROW_ROOM  # what a row takes of a block
-    rows = stored(spark, texts.join(ids.select("id"), "id").mapInArrow(_elements(k), "id long, e array<long>").join(ids, "id"), "bags")
-    homes = stored(spark, rows.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.sum(room) / BLOCK_ROOM).alias("blocks")), "homes")
-    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = stored(spark, hot_join(spark, rows, homes, "home", "n", "id").select("id", "c", "e", room.alias("room"), block.alias("block")), "blocks")
-    holders = live.select("bucket", "id").join(rows.select("id", "block"), "id").groupBy("bucket").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
-    outside = hot_join(spark, live.where("c != main").select("bucket", "id"), stored(spark, holders, "holders"), "bucket", "n", "id")
-    asks = outside.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")).join(rows.select("id", "room"), "id")
-    asks = stored(spark, asks.select("id", "room", F.explode("blocks").alias("block")), "asks")
-    asked = stored(spark, asks.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.sum("room") / BLOCK_ROOM).cast("int").alias("chunks")), "asked")
-    dealt = hot_join(spark, asks, asked, "block", "n", "id").select("id", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
-    asking = dealt.join(rows.select("id", "c", "e"), "id").select("block", "chunk", "id", "c", "e", F.lit(True).alias("asks"))
-    answering = rows.join(asked.select("block", "chunks"), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "c", "e", F.lit(False).alias("asks"))
-    return stored(spark, asking.union(answering).groupBy("block", "chunk").applyInPandas(_compare(threshold), "a long, b long"), "closing-links")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of near copies of every row: (id, class_id, class_size, is_representative).
 
@@ -237,26 +210,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # an id without words gets a digest of its own, so it is never grouped
     src = src.select("id", "text", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.md5("text")).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))).alias("digest"))
-    signed = stored(spark, src.mapInArrow(_sign(k, bands, rows), "id long, digest string, bands array<long>"), "signatures")
-    texts = stored(spark, signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "distinct-texts")
-    keyed = texts.where("size(bands) > 0").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    full = stored(spark, keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full-buckets")
-    members = hot_join(spark, keyed, full, "bucket", "n", "id").where("n is not null").select("bucket", "id", "n")
-    members = stored(spark, members, "members")
-    wanted = members.select("id").distinct()
-    candidates = stored(spark, src.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return stored(spark, salted_pairs(spark, pairs, candidates).mapInArrow(_verify(k, threshold), "a long, b long"), "links")
-
-    closing = lambda live: closing_links(spark, live, candidates, k, threshold)
-    comp = stored(spark, link(spark, members, verify, closing=closing), "classes")
-    classes = texts.join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("comp", "rep").alias("class_id"), "n")
-    classes = stored(spark, classes, "text-classes")
-    out = stored(spark, hot_join(spark, signed.select("id", "digest").distinct(), classes, "digest", "n", "id").select("id", "class_id"), "memberships")
-    sizes = stored(spark, out.groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
-    out = hot_join(spark, out, sizes.withColumn("n", F.col("class_size")), "class_id", "n", "id")
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("is_representative"))
+    with temporary():
+        signed = stored(spark, src.mapInArrow(_sign(k, bands, rows), "id long, digest string, size long, bands array<long>"), "signatures")
+        texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        texts = stored(spark, texts, "distinct-texts")
+        keyed = texts.where("size(bands) > 0").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+        members = stored(spark, crowded(spark, keyed), "members")
+        candidates = src.select("id", "text").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        candidates = stored(spark, candidates, "candidate-texts")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            pairs = salted_pairs(spark, pairs, candidates)
+            schema = ", ".join(f"{c} long" for c in pairs.columns if not c.startswith("text_"))
+            return stored(spark, pairs.mapInArrow(_verify(k, threshold), schema), "links")
+
+        def payload(ids: DataFrame) -> DataFrame:
+            return candidates.join(ids, "id", "left_semi").mapInArrow(_elements(k), "id long, e array<long>")
+
+        sizes = texts.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
+        comp = stored(spark, link(spark, members, sizes, verify, payload, _compare(threshold)), "classes")
+        # a component is named by its smallest id
+        names = stored(spark, comp.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("w")), "class-names")
+        comp = hot_join(spark, comp, names, "comp", "w", "id").select("id", "class_id")
+        classes = texts.join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n")
+        classes = stored(spark, classes, "text-classes")
+        out = stored(spark, hot_join(spark, signed.select("id", "digest").distinct(), classes, "digest", "n", "id").select("id", "class_id"), "memberships")
+        sizes = stored(spark, out.groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
+        out = hot_join(spark, out, sizes.withColumn("n", F.col("class_size")), "class_id", "n", "id")
+        out = out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("is_representative"))
+        return stored(spark, out, "near-duplicates", keep=True)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +246,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("not is_representative").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each class stays, that with the smallest doc_id; repeated rows of that doc_id stay too, and
+    rows without a doc_id; null and empty texts are classes of their own."""
+    with temporary():
+        gone = stored(spark, near_duplicates(docs).where("not is_representative").select("doc_id"), "copies", keep=True)
+    return without(docs, gone)
