@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, hot_join, stored
+from .common import SMALL_TABLE, WORD, documents, hot_join, stored, temporary
 
 #: A document's hash has 60 bits; each refinement splits the boundary bucket by the next 12.
 BITS, LEVEL_BITS = 60, 12
@@ -39,24 +39,34 @@ def targets(sizes: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
-    """What the mix takes of each document: (doc_id, size, source_size, target, taken).
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+
+
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    h = F.coalesce(doc_hash(F.col("doc_id")), F.lit(0)).alias("h")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source").cast("string")).alias("key"), h, *more)
+
+
+def _by_source(spark: SparkSession, left: DataFrame, table: DataFrame) -> DataFrame:
+    """Left join with one row a source: broadcast where there are at most ``SMALL_TABLE`` // 10 sources."""
+    if table.count() <= SMALL_TABLE // 10:
+        return left.join(F.broadcast(table), "key", "left")
+    return hot_join(spark, left, table, "key", "n", "doc_id")
 
-    A source's target is whole rounds over all its documents and a rest. For the rest, words are summed by
-    source and the top 12 bits of a hash of the doc_id; the bucket in which the sum passes the rest is
-    split by the next 12 bits, and so on: five small histograms give the largest hash threshold whose
-    documents do not exceed the rest. The next hash is added if that brings the source nearer to its
-    target. Documents are then kept by comparing hashes; nothing is sorted. A document of no words takes
-    none. Null sources are one source. Rows without a doc_id share a hash. Repeated rows of one doc_id are
-    taken alike. Extra columns are ignored.
+
+def thresholds(spark: SparkSession, d: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
+    """What a source gives, one row a source: (key, source_size, target, rounds, below, n).
+
+    ``d`` is a stored table (doc_id, key, h, size). A source's target is whole rounds over all its documents and
+    a rest. For the rest, words are summed by source and the top 12 bits of a hash of the doc_id; the bucket in
+    which the sum passes the rest is split by the next 12 bits, and so on: five small histograms give the largest
+    hash threshold whose documents do not exceed the rest. The next hash is added if that brings the source nearer
+    to its target.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.coalesce(doc_hash(F.col("doc_id")), F.lit(0)).alias("h"))
-    d = d.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
-    d = stored(spark, d, "sizes")
-    sizes = d.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    t = targets(sizes.select("source", "source_size"), cap).withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
+    sizes = d.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    source = F.when(F.col("key") != "-", F.substr("key", F.lit(2)))
+    t = targets(sizes.select(source.alias("source"), "source_size"), cap).withColumn("key", _source_key(F.col("source")))
     t = t.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
     counts = sizes.select(F.col("key").alias("k2"), "n")
@@ -71,7 +81,7 @@ def mix_sources(docs: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
         if before == BITS:
             in_edge = d.select("key", "h", "size")
         else:
-            in_edge = hot_join(spark, d.select("key", "h", "size", "doc_id"), edge.select("key", "prefix", "n"), "key", "n", "doc_id").where(F.shiftright("h", before) == F.col("prefix"))
+            in_edge = _by_source(spark, d, edge.select("key", "prefix", "n")).where(F.shiftright("h", before) == F.col("prefix"))
         hist = in_edge.groupBy("key", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"))
         hist = hist.join(edge.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"))
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
@@ -83,15 +93,33 @@ def mix_sources(docs: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
         if shift:
             edge = edge.where("passed").drop("passed")
     edge = stored(spark, edge, "edge")
-    at = hot_join(spark, d.select("key", "h", "size", "doc_id"), edge, "key", "n", "doc_id").where("h = prefix").groupBy("key").agg(F.sum("size").alias("next"))
+    at = _by_source(spark, d, edge.select("key", "prefix", "n")).where("h = prefix").groupBy("key").agg(F.sum("size").alias("next"))
     cut = edge.join(at.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
     # below the threshold, and the threshold itself where that comes nearer
     nearer = F.col("next").isNotNull() & (F.col("under") + F.col("next") - F.col("rest") < F.col("rest") - F.col("under"))
     cut = cut.select(F.col("key").alias("k2"), F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
     t = t.join(cut, F.col("key") == F.col("k2"), "left").select("key", "source_size", "target", "rounds", F.when(F.col("rest") > 0, F.coalesce("below", F.lit(1 << BITS))).otherwise(F.lit(0)).alias("below"), "n")
-    out = hot_join(spark, d.select("doc_id", "size", "h", "key"), stored(spark, t, "thresholds"), "key", "n", "doc_id")
-    taken = F.col("size") * (F.col("rounds") + (F.col("h") < F.col("below")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return t
+
+
+def mix_sources(docs: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
+    """What the mix takes of each document: (doc_id, size, source_size, target, taken).
+
+    Documents are kept by comparing a hash of their doc_id with their source's threshold (``thresholds``); nothing is
+    sorted. A document of no words takes none. Null sources are one source. Rows without a doc_id share a
+    hash. Repeated rows of one doc_id and source are taken as often as each other. Extra columns are ignored.
+    """
+    spark = docs.sparkSession
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    with temporary():
+        d = stored(spark, _keyed(docs, size.alias("size")), "sizes", keep=True)
+        t = stored(spark, thresholds(spark, d, cap), "thresholds", keep=True)
+    return _by_source(spark, d, t).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+
+
+def times() -> Column:
+    """How often the mix takes a document of hash h."""
+    return F.col("rounds") + (F.col("h") < F.col("below")).cast("long")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +158,12 @@ FROM c
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: none to three rows."""
-    plan = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    kept = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    """Every row as often as the mix takes it: none to three times; rows without a word are not taken, null sources
+    are one source, repeated rows are taken each."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    with temporary():
+        d = stored(spark, _keyed(docs, size.alias("size")), "sizes")
+        t = stored(spark, thresholds(spark, d), "thresholds", keep=True)
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("some"))
+    rows = _by_source(spark, rows, t).where(F.col("some") & (times() > 0))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times()))).select("row.*")

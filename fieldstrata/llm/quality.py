@@ -31,20 +31,22 @@ def _at(a: Column, b: Column, f) -> Column:
     return F.zip_with(a, b, f)
 
 
-def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the shares the rules use.
 
     Null texts count as empty; all figures are 0 there. Windows of three words are compared by 64-bit
     hashes, sorted inside the row together with their places; a text without a repeated window skips the sort.
+    With ``whole`` a column ``row`` carries all columns of the input.
     """
     text = F.coalesce(text_col, F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    more = ["row"] if whole else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), *[F.struct(*docs.columns).alias(c) for c in more])
     plain = F.regexp_replace("t", f"[{BLANK}]+", "")
     hashes = F.transform(F.regexp_extract_all("t", F.lit(f"[^{BLANK}]+"), F.lit(0)), lambda w: F.xxhash64(w))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{BLANK}]"))
-    d = d.select("doc_id", "t", plain.alias("p"), hashes.alias("w"), lines.alias("l"))
+    d = d.select("doc_id", "t", plain.alias("p"), hashes.alias("w"), lines.alias("l"), *more)
     three = _at(_at("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b)), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    d = d.select("doc_id", "t", "p", "l", F.size("w").alias("n"), F.when(F.size("w") >= 3, F.slice(three, 1, F.greatest(F.size("w") - 2, F.lit(1)))).otherwise(F.array().cast("array<bigint>")).alias("g"))
+    d = d.select("doc_id", "t", "p", "l", *more, F.size("w").alias("n"), F.when(F.size("w") >= 3, F.slice(three, 1, F.greatest(F.size("w") - 2, F.lit(1)))).otherwise(F.array().cast("array<bigint>")).alias("g"))
     # places of windows that are found again: neighbours in the order of (hash, place)
     ordered = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     d = d.withColumn("s", F.when(F.size("g") > F.size(F.array_distinct("g")), ordered))
@@ -57,6 +59,7 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     letters = F.length(F.regexp_replace("p", r"\P{L}+", ""))
     d = d.select(
         "doc_id",
+        *more,
         F.col("n").cast("long").alias("n_words"),
         F.length("p").cast("long").alias("word_chars"),
         (F.length("p") - F.length(F.translate("p", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -138,19 +141,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     needs. A row is kept if it does not fail the base and its posterior ``quality`` is 0.5 or more.
     Null and empty texts have no words and fail. Repeated rows are judged one by one, alike.
     """
-    spark = docs.sparkSession
     d = base_columns(docs, id_col, text_col)
-    d = stored(spark, d.select("*", *votes(d)), "quality")
+    d, quality, failed = _fitted(docs.sparkSession, d.select("*", *votes(d)))
+    out = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality.alias("quality"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def _fitted(spark: SparkSession, voted: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The rows with their votes, stored, and what the fit over all of them makes of a row: quality, failed."""
+    d = stored(spark, voted, "quality")
     names = list(RULES)
     counted = d.where("n_words > 0").groupBy(*names).count().collect()
     prior, rates = fit(sorted(((tuple(r[n] for n in names), r["count"]) for r in counted), key=repr))
     score = F.lit(math.log(prior / (1 - prior)))
     for name, (x, y) in zip(names, rates, strict=True):
         score = score + F.when(F.col(name) == 1, math.log(x / y)).when(F.col(name) == 0, math.log((1 - x) / (1 - y))).otherwise(0.0)
-    quality = 1 / (1 + F.exp(-score))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality.alias("quality"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    return d, 1 / (1 + F.exp(-score)), failed
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +165,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows without a doc_id cannot be told apart and go."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """Documents that the rules keep, row by row; null and empty texts fail, repeated rows are judged alike.
+
+    The rows are stored with their votes, so that the verdict is a filter and no text is shuffled.
+    """
+    d = base_columns(docs, whole=True)
+    d, quality, failed = _fitted(spark, d.select("*", *votes(d)))
+    return d.where(~failed & (quality >= 0.5)).select("row.*")
