@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldstrata.llm import decontam, mixing, neardup, quality, tokens
-from fieldstrata.llm.common import stored
+from fieldstrata.llm.common import discard, stored, temporary
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -28,5 +28,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token index of what the pipeline keeps of ``documents``: (doc_id, start, n_tokens, ids_crc32)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = docs
+        with temporary():
+            docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if hasattr(before, "_scratch"):
+            discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # the token files hold all that it returns
+    discard(docs)
+    return out
