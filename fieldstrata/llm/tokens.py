@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,6 +111,9 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return doc_ids, lengths, ids, start
 
 
+_CLOSING = ".,;:!?)\"'"
+
+
 def _make(path: str):
     from tokenizers import Tokenizer
 
@@ -124,24 +129,31 @@ class Encoder:
     the library in one piece.
     """
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 600_000):
         import regex
 
         self.made, self.cap = _make(path), cap
         self.units, self.old_units, self.pieces, self.old_pieces = {}, {}, {}, {}
         plain = [chr(c) for c in (10, *range(0x20, 0x7F), *range(0xA1, 0x250))]
-        added = [regex.escape(t.content) for t in self.made.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("|".join([r"\s\s|\s$|^\s|[^\x20-\x7e\n\xa1-\u024f]", *added])).search
+        self.unusual = re.compile(r"[^\x20-\x7e\n\xa1-\u024f]").search
+        self.apart = ["  ", " \n", "\n ", "\n\n", *(t.content for t in self.made.get_added_tokens_decoder().values())]
         # where the library cuts a text of these characters, and how it writes them
         self.cut = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").findall
         self.spelt = {ord(c): "".join(p for p, _ in self.made.pre_tokenizer.pre_tokenize_str(c)) for c in plain}
 
+    def odd(self, text: str) -> bool:
+        """Whether the units of a text might not give its ids."""
+        return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.apart) or self.unusual(text) is not None
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.made.model.tokenize(piece.translate(self.spelt))]).tobytes()
+
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             got = self.old_pieces.get(piece)
             if got is None:
-                got = np.array([t.id for t in self.made.model.tokenize(piece.translate(self.spelt))], "<u4").tobytes()
+                got = self.ids(piece)
             if len(self.pieces) >= self.cap:
                 self.pieces, self.old_pieces = {}, self.pieces
             self.pieces[piece] = got
@@ -151,7 +163,12 @@ class Encoder:
         """Ids of a space and a word."""
         got = self.old_units.get(word)
         if got is None:
-            got = b"".join([self.piece(p) for p in self.cut(" " + word)])
+            if word.isalpha():  # one piece, remembered as a unit only
+                got = self.ids(" " + word)
+            elif (core := word.rstrip(_CLOSING)).isalpha():  # the marks after a word are a piece of their own
+                got = (self.units.get(core) or self.unit(core)) + self.piece(word[len(core) :])
+            else:
+                got = b"".join([self.piece(p) for p in self.cut(" " + word)])
         if len(self.units) >= self.cap:
             self.units, self.old_units = {}, self.units
         self.units[word] = got
