@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,19 @@ def tile(item: list[int], doc: list[int], least: int = SEED_WORDS) -> list[tuple
 
 
 class Index:
-    """Seeds of a block of benchmark items: word numbers, and the places of each run of SEED_WORDS words."""
+    """Seeds of a block of benchmark items: word numbers, and the places of each run of ``k`` words.
 
-    def __init__(self, items: list[tuple[int, str | None]], k: int = SEED_WORDS):
+    With ``only`` the index is for the items of just k words, which match whole.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], k: int = SEED_WORDS, only: bool = False):
         self.k, self.words, self.items = k, {}, {}
         places: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in tokens(text)]
-            if item_id is None or len(ids) < k:
+            found = tokens(text)
+            if item_id is None or len(found) < k or only and len(found) > k:
                 continue
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in found]
             self.items[item_id] = ids
             for at, h in enumerate(self.hashes(np.array(ids, np.uint64)).tolist()):
                 places.setdefault(h, []).append((item_id, at))
@@ -143,26 +148,25 @@ class Index:
 
 def _scan(shared, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        get = index.words.get
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):  # by about 2 million characters
-                end, size, flat, starts = at, 0, [], []
+                end, size, split = at, 0, []
                 while end < len(texts) and (end == at or size < 2_000_000):
-                    starts.append(len(flat))
-                    flat += [get(w, 0) for w in tokens(texts[end])]
-                    flat.append(0)
+                    split.append(tokens(texts[end]))
                     size += len(texts[end] or "")
                     end += 1
-                ids = np.array(flat, np.uint64)
-                places, values = index.hits(ids)
-                row = np.searchsorted(np.array(starts), places, side="right") - 1
+                starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in split])[:-1]])
                 out = []
-                for r in np.unique(row).tolist():
-                    on = row == r
-                    out += [(doc_ids[at + r], *m) for m in index.matches(ids, places[on], values[on], coverage)]
+                for index in shared.value:
+                    get = index.words.get
+                    ids = np.array([n for x in split for n in (*map(get, x, repeat(0)), 0)], np.uint64)
+                    places, values = index.hits(ids)
+                    row = np.searchsorted(starts, places, side="right") - 1
+                    for r in np.unique(row).tolist():
+                        on = row == r
+                        out += [(doc_ids[at + r], *m) for m in index.matches(ids, places[on], values[on], coverage)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "item_words", "covered_words", "tiles"])
                 at = end
@@ -178,7 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     the text around the runs is tiled greedily, so that passages in another order count and no word
     counts twice. The benchmark's index goes to all tasks if its texts have at most ``block_chars``
     characters; a larger one is dealt into blocks of about that size, each scanned in a pass of its own.
-    Items of fewer words than a seed, null and empty texts match nothing. Rows without an id are left out;
+    Items of fewer words than a seed
+    match where they stand whole; null and empty texts match nothing. Rows without an id are left out;
     repeated rows of a pair give one row. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -188,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = Index([(r[0], r[1]) for r in part.collect()], seed_words)
+        rows = [(r[0], r[1]) for r in part.collect()]
+        index = [i for i in (Index(rows, seed_words), *(Index(rows, k, True) for k in range(1, seed_words))) if i.items]
         pairs = src.mapInArrow(_scan(spark.sparkContext.broadcast(index), coverage), "doc_id long, item_id long, item_words long, covered_words long, tiles long")
         found = pairs if found is None else found.union(pairs)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered_words", "item_words", "tiles")).alias("x"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldstrata.llm import archives, common, decontam, licenses, lines, mixing, neardup, pii, quality, tokens, toxicity
+from fieldstrata.llm import archives, common, decontam, licenses, lines, linking, mixing, neardup, pii, quality, tokens, toxicity
 from fieldstrata.llm.linking import components
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +45,6 @@ def test_token_table(spark):
 
     rows = [(3, "two  spaces and\nlines "), (1, "café 日本 ² it's"), (2, prose(3000, 1)), (3, "same id"), *BLANK]
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     got = tokens.token_table(frame(spark, rows)).orderBy("start").collect()
     want, at = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
@@ -140,14 +139,14 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(1, item), (2, None), (3, "short item"), (4, prose(30, 8))], "item_id long, text string")
     rows = [(1, prose(60, 1)), (2, f"{prose(20, 2)} {item.upper()} tail"), (3, " ".join([*w[20:], "x", *w[:20]])), (4, "short item"), *BLANK]
     r = {(x.doc_id, x.item_id): x for x in decontam.contaminated(frame(spark, rows), items).collect()}
-    assert set(r) == {(2, 1), (3, 1)} and r[3, 1].tiles == 2 and r[3, 1].coverage == 1.0
+    assert set(r) == {(2, 1), (3, 1), (4, 3)} and r[3, 1].tiles == 2 and r[3, 1].coverage == 1.0
     blocks = decontam.contaminated(frame(spark, rows), items, block_chars=100)
     assert {(x.doc_id, x.item_id) for x in blocks.collect()} == set(r)
 
 
 def test_arc_versions_and_warc(spark):
     for version in "12":
-        got = list(archives.read_arc(archives.write_arc("n", [("http://a/ b".replace(" ", "%20"), "1.2.3.4", "20240102030405", "text/html", b"x\ny\n"), ("u", "-", "20240102030405", "t", b"")], version)))
+        _, *got = archives.read_arc(archives.write_arc("n", [("http://a/ b".replace(" ", "%20"), "1.2.3.4", "20240102030405", "text/html", b"x\ny\n"), ("u", "-", "20240102030405", "t", b"")], version))
         assert [g["body"] for g in got] == [b"x\ny\n", b""] and got[0]["archive-length"] == "4"
     html = "<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\né</p>"
     pages = spark.createDataFrame([(1, "http://x/ y", html), (2, None, html), (3, "u", None), (4, "u", ""), (5, "v", "z")], "page_id long, url string, html string").withColumn("n", F.lit(0))
@@ -156,6 +155,78 @@ def test_arc_versions_and_warc(spark):
     assert r[1].payload_bytes == len(html.encode()) and r[1].payload_digest == archives.base32_sha1(html.encode())
 
 
+def test_archives_of_bytes_types_and_faults(spark, tmp_path):
+    latin = "HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\ncaf\u00e9 \u00df".encode("latin-1")
+    good = archives.write_arc("a.arc", [("http://x/", "1.2.3.4", "20010203040506", "text/html", latin), ("dns:x", "1.2.3.4", "20010203040506", "text/dns", b"x A 1.2.3.4"), ("http://x/2", "-", "2001ab", "text/html", latin), ("http://x/3", "-", "20010203", "text/html", latin)])
+    rows = [("a.arc", good), ("cut.arc", good[: len(good) - 20]), ("odd.arc", good[:150] + b"no header here\n"), ("empty.arc", b""), ("null.arc", None)]
+    arcs = spark.createDataFrame(rows, "name string, arc binary")
+    wrong = sorted(r.error for r in archives.rejects(arcs).collect())
+    assert len(wrong) == 4 and wrong[0].startswith("a.arc") and "date" in wrong[0] and any("beyond" in w for w in wrong)
+    path = str(tmp_path / "warc")
+    archives.write_warc(spark, arcs.where("name = 'a.arc'"), path)
+    got = {r.uri: r for r in archives.read_warc(spark, path).collect()}
+    assert {u: r.record_type for u, r in got.items()} == {None: "warcinfo", "http://x/": "revisit", "dns:x": "resource", "http://x/3": "response"} or got["http://x/"].record_type == "response"
+    assert got["http://x/3"].payload_bytes == got["http://x/"].payload_bytes == 6 and got["http://x/3"].payload_digest == archives.base32_sha1("caf\u00e9 \u00df".encode("latin-1"))
+
+
+def test_mix_stage_keeps_sources_apart(spark):
+    docs = spark.createDataFrame([(1, "x", "a b " * 50), (1, "y", "c d")] + [(i, "z", prose(40, i)) for i in range(2, 40)], "doc_id long, source string, text string")
+    took = {(r.doc_id, r["size"], r.source_size): r for r in mixing.mix_sources(docs).collect()}
+    rows = Counter((r.doc_id, r.source) for r in mixing.stage(spark, docs, SF).collect())
+    for source, size in (("x", 100), ("y", 2)):
+        r = next(r for r in took.values() if r.doc_id == 1 and r["size"] == size)
+        assert rows[1, source] * size == r.taken
+
+
+def test_token_fuzz_against_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, made, g = tokens.Encoder(path, cap=500), Tokenizer.from_file(path), random.Random(4)
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "'s", "'", '"', "don't", "I'll", ".", ",", "!?", "12", "3.5", "\u00e9", "\u00df", "\u00aa", "\u00ba", "\u00b2", "\u00bc", "\u00d7", "<|endoftext|>", "<|", "\t", "\r", "\u65e5\u672c", "\u017f", "\u01c5", "\u024f", "\u2026", "_", "-", "x)", "(y", "'re", "'LL", *map(chr, range(0xA0, 0x250, 7))]
+    for _ in range(20_000):
+        t = "".join(g.choice(parts) for _ in range(g.randrange(1, 12)))
+        assert np.frombuffer(encode(t), "<u4").tolist() == made.encode(t, add_special_tokens=False).ids, t
+
+
+def test_fuzzy_lines_of_a_repeated_doc_id(spark):
+    rows = [(1, "first line of one\nsecond line here"), (1, "another text"), (1, "first line of one\nsecond line here"), (2, "second line here"), *BLANK]
+    df = frame(spark, rows)
+    g = lines.line_groups(df)
+    kept = {(r.doc_id, r.line, r.kept) for r in g.collect()}
+    assert kept == {(1, 0, True), (1, 1, True), (2, 0, False)}
+    assert sorted(r.text or "" for r in lines.drop_lines(df, g).where("doc_id < 3").collect()) == sorted(["", *[t for _, t in rows[:3]]])
+
+
+def test_fuzzy_lines_recall(spark):
+    """Pairs of the distinct lines of the documents at 0.8 or more, by brute force: at least 0.9 share a key."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    once = sorted({n for t in texts for x in (t or "").split("\n") if (n := lines.normalise(x)) and len(n) < 2000}, key=len)
+    count = lines._histograms(once)
+    sizes, keys = np.array([len(x) for x in once]), [set(k) for k in lines.candidate_keys(once)]
+    near = found = 0
+    for i in range(len(once)):
+        high = np.searchsorted(sizes, sizes[i] / 0.8 + 1e-9, side="right")
+        d = count[i + 1 : high] - count[i]
+        if not len(d):
+            continue
+        edits = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+        for j in (np.flatnonzero(edits <= 0.2 * sizes[i + 1 : high] + 1e-9) + i + 1).tolist():
+            if lines.edit_similarity(once[i], once[j], 0.8) >= 0.8:
+                near, found = near + 1, found + bool(keys[i] & keys[j])
+    assert near >= 20 and found >= 0.9 * near
+
+
+def test_crowded_keeps_buckets_with_company(spark):
+    g = random.Random(5)
+    rows = [(g.randrange(300), i) for i in range(400)] + [(7, i) for i in range(1000, 4000)] + [(900, 1), (900, 1)]
+    got = {(r.bucket, r.id) for r in linking.crowded(spark, spark.createDataFrame(rows, "bucket long, id long").repartition(5)).collect()}
+    by = Counter(b for b, _ in set(rows))
+    want = {r for r in rows if by[r[0]] > 1}
+    assert want <= got and len(got - want) <= 2 * 4  # besides the ends of a task's range
+
+
 def test_mix_targets(spark):
     rows = [(i, prose(10 + i % 50, i)) for i in range(300)] + BLANK
     df = frame(spark, rows).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))
