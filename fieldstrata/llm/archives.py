@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,33 +40,37 @@ def write_arc(name: str, records: list[tuple[str, str, str, str, bytes]], versio
 
 
 def read_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC archive after its version block; header fields are those that the block names.
+    """Records of an ARC archive; header fields are those that the version block names.
 
-    Bodies are taken by their declared lengths, whatever they hold. Raises ValueError on a header line
-    with another number of fields or a length beyond the archive.
+    Bodies are taken by their declared lengths, whatever they hold. The version block comes first, as a record with
+    ``version``. A header line with another number of fields, a length that is none or one beyond the archive ends
+    it with a record that has an ``error``: where the next would begin cannot be told.
     """
     at, names = 0, None
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        known = names or FIELDS["1"].lower().split(" ")
+        fields = line.rsplit(" ", len(known) - 1)
+        length = int(fields[-1]) if re.fullmatch("[0-9]+", fields[-1], re.ASCII) else -1
+        fault = "header line not ended" if end < 0 else "header line without a length" if length < 0 else "length beyond the archive" if end + 1 + length > len(data) else ""
+        if not fault and names and len(fields) != len(names):
+            fault = f"header line of {len(fields)} instead of {len(names)} fields"
+        if fault:
+            yield {"offset": at, "url": line[:200], "error": fault}
+            return
+        body = data[end + 1 : end + 1 + length]
         if names is None:
-            fields = line.split(" ")
-            length = int(fields[-1])
-            block = data[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
+            block = body.decode("utf-8", "replace").split("\n")
             version = block[0].split(" ")[0]
-            names = [n.lower() for n in (block[1] if len(block) > 1 and block[1] else FIELDS[version]).split(" ")]
+            names = [n.lower() for n in (block[1].strip() if len(block) > 1 and block[1].strip() else FIELDS.get(version, FIELDS["1"])).split(" ")]
+            lead = line.split(" ")
+            yield {"url": lead[0], "ip-address": lead[1] if len(lead) > 1 else "-", "archive-date": lead[2] if len(lead) > 2 else "", "content-type": "application/warc-fields", "offset": at, "body": body, "version": version}
         else:
-            fields = line.rsplit(" ", len(names) - 1)
-            if len(fields) != len(names):
-                raise ValueError(f"ARC header line with {len(fields)} of {len(names)} fields")
-            record = dict(zip(names, fields, strict=True))
-            length = int(record["archive-length"])
-            if end + 1 + length > len(data):
-                raise ValueError("ARC record beyond the archive")
-            yield record | {"offset": at, "body": data[end + 1 : end + 1 + length]}
+            yield dict(zip(names, fields, strict=True)) | {"offset": at, "body": body}
         at = end + 1 + length
 
 
@@ -86,13 +91,14 @@ def _to_arc(version: str):
         held, size = [], 0
 
         def archive() -> pa.RecordBatch:
-            name = f"pages-{held[0][5]}.arc"
+            name = f"pages-{TaskContext.get().partitionId():05d}-{held[0][5]}.arc"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_arc(name, [h[:5] for h in held], version)], pa.binary())], names=["name", "arc"])
 
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 payload = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: {page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                told = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{told}Content-Length: {len(payload)}\r\n\r\n".encode()
                 held.append((_field(url or "") or "-", "0.0.0.0", "20240101000000", "text/html", head + payload, page_id))
                 size += len(head) + len(payload)
                 if size >= ARC_BYTES:
@@ -109,76 +115,94 @@ def pages_to_arc(pages: DataFrame, version: str = "1") -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_to_arc(version), "name string, arc binary")
 
 
-SCHEMA = "page_id long, record_id string, uri string, date string, ip string, http_head string, payload string, payload_bytes long, payload_digest string, block_digest string"
+SCHEMA = "page_id long, record_id string, kind string, uri string, date string, ip string, content_type string, http_head binary, payload binary, payload_bytes long, payload_digest string, block_digest string, error string"
+
+
+def _record(name: str, r: dict) -> tuple:
+    """A row of SCHEMA; one with an error if the record cannot be converted."""
+    if "error" in r:
+        return (None, None, None, r["url"], None, None, None, None, None, None, None, None, f"{name} at {r['offset']}: {r['error']}")
+    stamp = r.get("archive-date", "")[:14]
+    try:
+        when = datetime.datetime.strptime(stamp.ljust(14, "0"), "%Y%m%d%H%M%S")
+    except ValueError:
+        return (None, None, None, r["url"], None, None, None, None, None, None, None, None, f"{name} at {r['offset']}: date {stamp!r}")
+    head, payload = split_http(r["body"])
+    kind = "warcinfo" if "version" in r else "response" if head else "resource"
+    if kind != "response":
+        head, payload = b"", r["body"]
+    page = re.search(rb"(?mi)^x-page-id: (\d+|-\d+)\r?$", head)
+    record_id = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{name} {r["offset"]} {r["url"]} {stamp}')}>"
+    media = "application/http;msgtype=response" if kind == "response" else r.get("content-type") or "application/octet-stream"
+    ip = r.get("ip-address", "-")
+    return (int(page[1]) if page else None, record_id, kind, r["url"], f"{when:%Y-%m-%dT%H:%M:%SZ}", ip, media, head, payload, len(payload), base32_sha1(payload), base32_sha1(r["body"]), None)
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for _, k in fields]
     for batch in batches:
         for name, arc in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = []
-            for r in read_arc(arc.as_py()):
-                head, payload = split_http(r["body"])
-                when = datetime.datetime.strptime(r["archive-date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S")
-                page = re.search(rb"(?mi)^x-page-id: (\d+|-\d+)\r?$", head)
-                page_id = int(page[1]) if page else None
-                key = f"{name} {r['offset']} {r['url']} {r['archive-date']}" if page is None else f"page {page_id}"
-                rows.append((page_id, f"<urn:uuid:{uuid.uuid5(_SPACE, key)}>", r["url"], f"{when:%Y-%m-%dT%H:%M:%SZ}", r["ip-address"], head.decode("utf-8", "replace"), payload.decode("utf-8", "replace"), len(payload), base32_sha1(payload), base32_sha1(r["body"])))
+            rows = [_record(name, r) for r in read_arc(arc.as_py() or b"")]
             if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64() if n in ("page_id", "payload_bytes") else pa.string() for n in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in fields])
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
-    """Records of ARC archives (name, arc) with the identifiers, timestamps and digests that WARC asks for.
+    """Records of ARC archives (name, arc) with the identifiers, timestamps, types and digests that WARC asks for.
 
-    Record ids are name-based UUIDs of the page or, where the record names none, of the archive, place, URL
-    and date, so that a second conversion gives the same ids.
+    Version blocks are warcinfo, HTTP answers response, all else (DNS answers, bare bodies) resource with its own
+    content type. Payloads are bytes. Record ids are name-based UUIDs of archive, place, URL and date, so a second
+    conversion gives the same. What cannot be converted is a row with ``error`` and nothing to write.
     """
     return archives.select("name", "arc").mapInArrow(_convert, SCHEMA)
 
 
-def warc_text(revisit: Column) -> Column:
-    """A WARC record without its closing blank lines. Revisits hold the HTTP head only."""
-    n = lambda c: F.length(F.encode(c, "UTF-8"))
+def rejects(archives: DataFrame) -> DataFrame:
+    """(uri, error) of the records that cannot be converted."""
+    return arc_to_records(archives).where("error is not null").select("uri", "error")
+
+
+def warc_bytes(revisit: Column) -> Column:
+    """A WARC record without its closing blank lines, as bytes. Revisits hold the HTTP head only."""
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
-    length = n("http_head") + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    return F.concat(
+    length = F.octet_length("http_head") + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
+    named = F.col("kind") != "warcinfo"
+    fields = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Type", F.when(revisit, "revisit").otherwise(F.col("kind"))),
         line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("uri")),
-        line("WARC-IP-Address", F.col("ip")),
+        F.when(named, line("WARC-Target-URI", F.col("uri"))).otherwise(line("WARC-Filename", F.regexp_replace("uri", "^filedesc://", ""))),
+        F.when(named & (F.col("ip") != "-"), line("WARC-IP-Address", F.col("ip"))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(~revisit, line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("block_digest")))).otherwise(""),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.col("response_record_id")), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.col("response_record_id")), line("X-Payload-Length", F.col("payload_bytes").cast("string")), F.coalesce(line("X-Refers-To-Page", F.col("refers_to").cast("string")), F.lit("")))).otherwise(""),
+        line("Content-Type", F.col("content_type")),
         line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
-        F.col("http_head"),
-        F.when(revisit, "").otherwise(F.col("payload")),
     )
+    return F.concat(F.encode(fields, "UTF-8"), F.col("http_head"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
 
 
 def write_warc(spark: SparkSession, archives: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Converts ARC archives and writes WARC files of about 32 MB under ``path``.
 
-    Of equal payloads of at least ``least_bytes`` bytes the record with the largest page_id is the response
-    and the others refer to it. First the digests that occur again are counted; they are joined to the
-    records so that no frequent payload meets in one task. The records are text; Spark's text writer ends each
-    with the two blank lines that close a WARC record, and commits files task by task.
+    Of HTTP answers with equal payloads of at least ``least_bytes`` bytes the one with the largest page_id (of equal
+    ones that with the largest record id) is the response and the others refer to it. First the digests that occur again are counted; they are joined to the
+    records so that no frequent payload meets in one task. Spark's text writer takes the bytes as they are,
+    ends each record with the two blank lines that close it, and commits files task by task. Records with an error are
+    not written (``rejects``).
     """
-    records = arc_to_records(archives)
-    twice = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "record_id")).alias("x"), F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"))
+    records = arc_to_records(archives).where("error is null")
+    twice = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest").agg(F.max(F.struct("page_id", "record_id")).alias("x"), F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"))
     sums = stored(spark, twice.select("payload_digest", F.col("x.page_id").alias("refers_to"), F.col("x.record_id").alias("response_record_id"), "n", "bytes"), "payloads")
     total = sums.agg(F.sum("n"), F.sum("bytes")).first()
     per_file = max(1, int(WARC_BYTES // max((total[1] or 0) / max(total[0] or 1, 1) + 600, 1)))
     again = stored(spark, sums.where("n > 1").drop("bytes"), "again")
     joined = hot_join(spark, records, again, "payload_digest", "n", "record_id")
-    revisit = F.col("refers_to").isNotNull() & (F.col("record_id") != F.col("response_record_id"))
-    joined.select(warc_text(revisit).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    revisit = (F.col("kind") == "response") & F.coalesce(F.col("record_id") != F.col("response_record_id"), F.lit(False))
+    joined.select(warc_bytes(revisit).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -200,17 +224,17 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batch.column(0):
             rows = []
             for fields, block in parse_warc(data.as_py()):
-                head, payload = split_http(block)
+                head, payload = split_http(block) if fields["content-type"].startswith("application/http") else (b"", block)
                 page = re.search(rb"(?mi)^x-page-id: (-?\d+)\r?$", head)
                 kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response":
+                if kind != "revisit":
                     size = len(payload)
                     if base32_sha1(payload) != digest:
                         raise ValueError("payload and digest differ")
                 else:
-                    size = int(re.search(rb"(?mi)^content-length: (\d+)\r?$", head)[1])
+                    size = int(fields["x-payload-length"])
                 refers = fields.get("x-refers-to-page")
-                rows.append((int(page[1]) if page else None, size, digest, kind, int(refers) if refers else None, fields["warc-record-id"], fields["warc-target-uri"]))
+                rows.append((int(page[1]) if page else None, size, digest, kind, int(refers) if refers else None, fields["warc-record-id"], fields.get("warc-target-uri")))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri"])
@@ -225,14 +249,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def convert_pages(pages: DataFrame, version: str = "1", path: str | None = None) -> DataFrame:
     """Pages as ARC archives, converted to WARC files and read back, a row a page.
 
-    Null html is an empty payload, a null url is written as "-". Rows without a page_id are left out; of
-    repeated rows of a page_id with equal html, each is a record, and one record id answers for them.
-    Extra columns are ignored.
+    Null html is an empty payload, a null url is written as "-". Rows without a page_id have a record without one
+    and come after all others as responses. Repeated rows of a page_id are records of their own; of those with equal
+    html one is the response. Extra columns are ignored.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_warc(spark, pages_to_arc(pages.where("page_id is not null"), version), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_warc(spark, pages_to_arc(pages, version), path)
+    return read_warc(spark, path).where("record_type != 'warcinfo'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
