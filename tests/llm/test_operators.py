@@ -80,6 +80,22 @@ def test_automaton_finds_what_brute_force_finds():
             assert size == max((n for n in range(i + 2) if tuple(text[i + 1 - n : i + 1]) in subs), default=0)
 
 
+def test_templates_inside_others_are_found():
+    made = licenses.Automaton([("short", list("abcde")), ("long", list("xabcdeyzwv"))], {})
+    spans = made.scan(list("xabcde"))[1]
+    assert ("short", 1.0) in {(made.templates[t][0], c) for t, _, _, c in spans}
+    two = next(t for label, t in licenses.TEMPLATES if label == "bsd-2-clause")
+    third = next(t for label, t in licenses.TEMPLATES if label == "bsd-3-clause")
+    cut = two.index("THIS SOFTWARE")
+    auto = licenses.automaton()
+    of = lambda text: {auto.templates[s[0]][0] for s in auto.scan(licenses.tokens(text))[1] if s[3] >= 0.8}
+    assert {"bsd", "bsd-2-clause", "bsd-3-clause"} <= of(two[:cut] + third + " " + two[cut:])
+    # other holders' names, years and line breaks in between
+    assert "mit" in of("(c) 2020 Someone " + next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 900).replace("AUTHORS", "OWNERS OF IT").replace(". ", ".\n * "))
+    assert "cc-by-sa" in of("text licensed under CC BY-SA 3.0.") and "cc-by-nc" not in of("text licensed under CC BY-SA 3.0.")
+    assert "cc-by-nc-nd" in of("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0")
+
+
 def test_license_labels(spark):
     rows = [(1, "x y Released under the MIT License. z"), (2, "licensed under CC BY-NC 4.0; all rights reserved"), *BLANK]
     r = {x.doc_id: x for x in licenses.scan_licenses(frame(spark, rows)).collect()}
