@@ -199,17 +199,15 @@ class Automaton:
         for i, size, state in blocks:
             at, before = i - size + 1, len(open_)
             for _, end in sorted(self.places[state]):
-                best = None
+                best, most = None, size
                 for chain in reversed(open_[:before]):
                     if chain[1] < at - gap - 1:
                         break
-                    if chain[2] < end and chain[1] < i and (best is None or chain[3] > best[3]):
-                        best = chain
-                if best is None:
-                    open_.append([at, i, end, size, False])
-                else:
+                    if chain[2] < end and chain[1] < i and (n := chain[3] + min(size, end - chain[2], i - chain[1])) > most:
+                        best, most = chain, n
+                if best is not None:
                     best[4] = True
-                    open_.append([best[0], i, end, best[3] + min(size, end - best[2], i - best[1]), False])
+                open_.append([best[0] if best else at, i, end, most, False])
         return [(c[0], c[1], c[3]) for c in open_ if not c[4]]
 
 
