@@ -67,5 +67,7 @@ def geohash_bounds(code: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A coordinate as text, whole numbers without a decimal point."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A coordinate as text in fixed notation, whole numbers without a decimal point."""
+    t = x.cast("string")
+    fixed = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(t.contains("E") & (F.abs(x) < 1e19), fixed).otherwise(F.regexp_replace(t, r"\.0$", ""))

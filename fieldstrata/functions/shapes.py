@@ -7,61 +7,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
 
-def parse_wkb(data: bytes) -> tuple[str, int | None, list[list[tuple[float, float]]]]:
-    """(type, srid, rings) of a little-endian WKB or EWKB; further dimensions are stepped over and dropped.
+def parse_wkb(data: bytes) -> dict | None:
+    """A geometry (type, srid, parts) from little-endian WKB or EWKB; further dimensions are stepped over and dropped.
 
-    Collections give the rings of their parts. Big-endian input raises ValueError.
+    The parts of collections inside collections become the outer one's. Bytes that are no such geometry give None.
     """
 
-    def one(at: int) -> tuple[str, int | None, list, int]:
+    def one(at: int) -> tuple[str, int | None, list[dict], int]:
         order, code = struct.unpack_from("<BI", data, at)
-        if order != 1:
-            raise ValueError("only little-endian WKB is read")
+        kind = code & 0xFF
+        if order != 1 or kind not in TYPES:
+            raise ValueError("no little-endian WKB")
         at, srid = at + 5, None
         dims = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
         if code & 0x20000000:
             (srid,) = struct.unpack_from("<I", data, at)
             at += 4
-        kind = code & 0xFF
 
         def points(n: int, at: int) -> tuple[list, int]:
-            got = np.frombuffer(data, "<f8", n * dims, at).reshape(n, dims)[:, :2]
-            return [tuple(map(float, p)) for p in got], at + 8 * n * dims
+            got = np.frombuffer(data, "<f8", n * dims, at).reshape(n, dims)[:, :2].tolist()
+            return [{"x": x, "y": y} for x, y in got], at + 8 * n * dims
 
         if kind == 1:
             pts, at = points(1, at)
-            return TYPES[kind], srid, [pts], at
+            return TYPES[kind], srid, [{"type": "Point", "rings": [pts]}], at
         (n,) = struct.unpack_from("<I", data, at)
         at += 4
-        rings = []
+        parts: list[dict] = []
         if kind == 2:
             pts, at = points(n, at)
-            rings.append(pts)
+            if n == 1:
+                raise ValueError("a line of one vertex")
+            parts = [{"type": "LineString", "rings": [pts]}] if n else []
         elif kind == 3:
+            rings = []
             for _ in range(n):
                 (m,) = struct.unpack_from("<I", data, at)
                 pts, at = points(m, at + 4)
                 rings.append(pts)
+            parts = [{"type": "Polygon", "rings": rings}] if n else []
         else:
             for _ in range(n):
                 _, _, more, at = one(at)
-                rings += more
-        return TYPES[kind], srid, rings, at
+                parts += more
+        return TYPES[kind], srid, parts, at
 
-    return one(0)[:3]
+    try:
+        kind, srid, parts, _ = one(0)
+    except (struct.error, ValueError):
+        return None
+    return {"type": kind, "srid": srid, "parts": parts}
 
 
-def make_wkb(kind: str, rings: list[list[tuple[float, float]]], srid: int | None = None) -> bytes:
-    """Little-endian WKB of a point, line or polygon; with ``srid`` EWKB."""
+def make_wkb(kind: str, srid: int | None, parts: list[dict], extended: bool = False) -> bytes:
+    """Little-endian WKB; with ``extended`` and an SRID, EWKB."""
     code = {v: k for k, v in TYPES.items()}[kind]
-    head = struct.pack("<BI", 1, code | (0x20000000 if srid is not None else 0)) + (struct.pack("<I", srid) if srid is not None else b"")
-    flat = lambda r: np.array(r, "<f8").tobytes()
+    flag = 0x20000000 if extended and srid is not None else 0
+    head = struct.pack("<BI", 1, code | flag) + (struct.pack("<I", srid) if flag else b"")
+    flat = lambda r: np.array([(v["x"], v["y"]) for v in r], "<f8").tobytes()
+    if code > 3:
+        return head + struct.pack("<I", len(parts)) + b"".join(make_wkb(p["type"], None, [p]) for p in parts)
+    if not len(parts):
+        return head + struct.pack("<I", 0)
+    rings = parts[0]["rings"]
     if code == 1:
         return head + flat(rings[0])
     if code == 2:
@@ -69,25 +84,17 @@ def make_wkb(kind: str, rings: list[list[tuple[float, float]]], srid: int | None
     return head + struct.pack("<I", len(rings)) + b"".join(struct.pack("<I", len(r)) + flat(r) for r in rings)
 
 
-def points_to_wkb(points: DataFrame, srid: int | None = None) -> DataFrame:
-    """(id, wkb) of (id, x, y)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "wkb": [make_wkb("Point", [[(x, y)]], srid) for x, y in zip(b["x"], b["y"], strict=True)]})
-
-    return points.select("id", "x", "y").mapInPandas(run, "id long, wkb binary")
-
-
-def wkb_to_points(rows: DataFrame) -> DataFrame:
-    """(id, x, y, srid) of point WKB."""
+def from_wkb_batch(data: pa.Array) -> list[dict | None]:
+    """Geometries of a batch; where all have the size and head of a point, they are read in one go."""
+    raw = data.to_pylist()
+    if raw and all(d is not None and len(d) == 21 and d[:5] == b"\x01\x01\x00\x00\x00" for d in raw):
+        xy = np.frombuffer(b"".join(raw), np.dtype([("head", "V5"), ("x", "<f8"), ("y", "<f8")]))
+        return [{"type": "Point", "srid": None, "parts": [{"type": "Point", "rings": [[{"x": x, "y": y}]]}]} for x, y in zip(xy["x"].tolist(), xy["y"].tolist(), strict=True)]
+    return [None if d is None else parse_wkb(d) for d in raw]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [parse_wkb(bytes(w)) for w in b["wkb"]]
-            yield pd.DataFrame({"id": b["id"], "x": [g[2][0][0][0] for g in got], "y": [g[2][0][0][1] for g in got], "srid": pd.array([g[1] for g in got], "Int32")})
 
-    return rows.select("id", "wkb").mapInPandas(run, "id long, x double, y double, srid int")
+def to_wkb_batch(geoms: pa.Array, extended: bool) -> list[bytes | None]:
+    return [None if v is None or v["type"] is None else make_wkb(v["type"], v["srid"], v["parts"], extended) for v in geoms.to_pylist()]
 
 
 def hull(points: np.ndarray) -> np.ndarray:

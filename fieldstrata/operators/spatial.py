@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle
+from ..functions.geometry import bounds
 from .measures import segments
 
 
@@ -37,6 +38,22 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0
     return hits.groupBy("site", "geom").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("site", "geom")
 
 
+def box_pairs(shapes: DataFrame, size: float) -> DataFrame:
+    """Pairs (id < id_) of geometries (id, g) whose bounds meet: (id, g, id_, g_).
+
+    Bounds are dealt to the cells they touch; a pair is made in one cell only, that of the lower left corner of the
+    overlap. Choose ``size`` near the bounds' own.
+    """
+    b = shapes.withColumn("b", bounds(F.col("g"))).where("b is not null")
+    k = b.select("id", "b", F.explode(box_cells(F.col("b.minx"), F.col("b.miny"), F.col("b.maxx"), F.col("b.maxy"), size)).alias("k"))
+    o = k.select(F.col("id").alias("id_"), F.col("b").alias("b_"), "k")
+    j = k.join(o, "k").where("id < id_ and b.minx <= b_.maxx and b_.minx <= b.maxx and b.miny <= b_.maxy and b_.miny <= b.maxy")
+    own = (F.col("k.cx") == cell(F.greatest("b.minx", "b_.minx"), size)) & (F.col("k.cy") == cell(F.greatest("b.miny", "b_.miny"), size))
+    pairs = j.where(own).select("id", "id_")
+    other = shapes.select(F.col("id").alias("id_"), F.col("g").alias("g_"))
+    return pairs.join(shapes.select("id", "g"), "id").join(other, "id_").select("id", "g", "id_", "g_")
+
+
 def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """Pairs (left, right, metres) of points at most ``metres`` apart on the sphere, away from the poles.
 

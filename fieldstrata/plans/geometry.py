@@ -161,14 +161,6 @@ def x03_same_vertices(spark, sf_dir):
     return a.join(b, "geom").where("a = b").agg(F.count("*").alias("geometries"), F.sum(F.size("a")).cast("long").alias("points"))
 
 
-@query(f"WITH {d.SPRINGS} SELECT upload AS id, lon AS x, lat AS y, 4326 AS srid FROM springs")
-def s05_s07_wkb_round_trip(spark, sf_dir):
-    from ..functions import shapes
-
-    p = d.springs(spark, sf_dir).select(F.col("upload").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return shapes.wkb_to_points(shapes.points_to_wkb(p, 4326))
-
-
 @query()
 def a19_convex_hull(spark, sf_dir):
     from ..functions import shapes

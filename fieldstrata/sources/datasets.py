@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import adapters
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +54,54 @@ def track_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_points(spark, sf_dir).select(F.col("track").alias("geom"), F.lit(0).alias("ring"), "seq", F.col("lon").alias("x"), F.col("lat").alias("y"))
 
 
+#: One text for each geometry type; @a,b stands for the vertex (x + a, y + b).
+SHAPE_TEXTS = [
+    "POINT (@0,0)",
+    "LINESTRING (@0,0, @3,4, @3,10)",
+    "POLYGON ((@0,0, @6,0, @6,6, @0,6, @0,0), (@1,1, @2,1, @2,2, @1,1))",
+    "MULTIPOINT ((@0,0), (@5,5))",
+    "MULTILINESTRING ((@0,0, @1,1, @0,0), (@2,0, @5,4))",
+    "MULTIPOLYGON (((@0,0, @2,0, @0,2, @0,0)), ((@4,4, @8,4, @8,8, @4,4), (@6,5, @7,5, @7,6, @6,5)))",
+    "GEOMETRYCOLLECTION (POINT (@0,0), LINESTRING (@0,0, @3,4))",
+]
+
+
+def filled(text: str, k: str) -> Column:
+    """A text with its vertices put in, for the shape of key column ``k``."""
+    x, y = F.col(k) % 1000 - 500, F.col(k) * 7 % 160 - 80
+    pieces = []
+    for i, piece in enumerate(re.split(r"@(\d+),(\d+)", text)):
+        pieces.append(F.lit(piece) if i % 3 == 0 else (x + int(piece)).cast("string") if i % 3 == 1 else F.concat(F.lit(" "), (y + int(piece)).cast("string")))
+    return F.concat(*pieces)
+
+
+def filled_sql(text: str, k: str) -> str:
+    """The same in SQL."""
+    text = re.sub(r"@(\d+),(\d+)", rf"' || ({k} % 1000 - 500 + \1) || ' ' || ({k} * 7 % 160 - 80 + \2) || '", text)
+    return f"('{text}')"
+
+
+def by_kind(values: list, k: str) -> str:
+    """SQL for a value by the shape's type: 0 to 6 in the order of SHAPE_TEXTS."""
+    return f"CASE {k} % 7 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, t): a geometry text for every part, in turn of the seven types."""
+    texts = F.lit(None).cast("string")
+    for i, t in enumerate(SHAPE_TEXTS):
+        texts = F.when(F.col("p_partkey") % 7 == i, filled(t, "p_partkey")).otherwise(texts)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), texts.alias("t"))
+
+
+def shape_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, g): the same as geometries."""
+    return shapes(spark, sf_dir).select("id", adapters.read_ewkt(F.col("t")).alias("g"))
+
+
+SHAPES = "shapes AS (SELECT p_partkey AS id, " + by_kind([filled_sql(t, "p_partkey") for t in SHAPE_TEXTS], "p_partkey") + " AS t FROM part)"
+
+
 #: Offsets of the ring vertices of every nation's polygon; even nations have the hole too.
 OUTER, HOLE = [(0, 0), (3, 0), (3, 3), (1, 3), (0, 2), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
 

@@ -65,14 +65,6 @@ def test_wkt_reader(spark):
     assert got[2].rings == [] and got[3] is None and got[4] is None
 
 
-def test_wkb_round_trip_and_big_endian():
-    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
-    for kind, rings in (("Point", [[(1.0, 2.0)]]), ("LineString", [ring]), ("Polygon", [ring, ring])):
-        assert shapes.parse_wkb(shapes.make_wkb(kind, rings, 4326)) == (kind, 4326, rings)
-    with pytest.raises(ValueError):
-        shapes.parse_wkb(b"\x00" + shapes.make_wkb("Point", [[(1.0, 2.0)]])[1:])
-
-
 def test_hull_and_simplify():
     g = np.random.default_rng(1).random((200, 2))
     h = shapes.hull(g)
