@@ -148,14 +148,47 @@ def keep_simple(points: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(v: DataFrame, tolerance: float) -> DataFrame:
-    """Vertices of each line that remain within ``tolerance``; a line is held whole in its task."""
+def _kept(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
+    return pdf[keep_simple(pdf[["x", "y"]].to_numpy(), tolerance)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        return pdf[keep_simple(pdf[["x", "y"]].to_numpy(), tolerance)]
 
-    return v.select("geom", "seq", "x", "y").groupBy("geom").applyInPandas(run, "geom long, seq int, x double, y double")
+def simplify(v: DataFrame, tolerance: float, limit: int = 100_000) -> DataFrame:
+    """Vertices of each line that remain within ``tolerance`` by Douglas-Peucker.
+
+    Lines of up to ``limit`` vertices are done whole in a task. Longer ones are first cut at the farthest vertex of each
+    piece, found by an aggregation over all tasks, until no piece is longer; that is what the method does
+    anyway, so the result is the same.
+    """
+    p = v.select(F.col("geom").cast("long").alias("geom"), F.col("seq").cast("int").alias("seq"), "x", "y")
+    ends = p.groupBy("geom").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "seq").alias("pa"), F.max_by(F.struct("x", "y"), "seq").alias("pb"))
+    long = ends.where(F.col("n") > limit)
+    schema = "geom long, seq int, x double, y double"
+    whole = p.join(long.select("geom"), "geom", "left_anti").groupBy("geom").applyInPandas(lambda pdf: _kept(pdf, tolerance), schema)
+    if long.isEmpty():
+        return whole
+    open_, done = p.join(F.broadcast(long), "geom"), []
+    dx, dy = F.col("pb.x") - F.col("pa.x"), F.col("pb.y") - F.col("pa.y")
+    qx, qy, size = F.col("x") - F.col("pa.x"), F.col("y") - F.col("pa.y"), F.sqrt(dx * dx + dy * dy)
+    far = F.when(size > 0, F.abs(dx * qy - dy * qx) / size).otherwise(F.sqrt(qx * qx + qy * qy))
+    while not open_.where(F.col("n") > limit).isEmpty():
+        inner = open_.where((F.col("n") > limit) & (F.col("seq") > F.col("a")) & (F.col("seq") < F.col("b")))
+        cut = inner.groupBy("geom", "a").agg(F.max_by(F.struct("seq", "x", "y"), F.struct(far.alias("d"), -F.col("seq"))).alias("m"), F.max(far).alias("d"))
+        # a piece gives one row; few pieces are this long
+        j = open_.join(F.broadcast(cut.withColumnRenamed("geom", "g_").withColumnRenamed("a", "a_")), (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_")), "left").drop("g_", "a_")
+        done.append(j.where(F.col("d") <= tolerance).where((F.col("seq") == F.col("a")) | (F.col("seq") == F.col("b"))).select("geom", "seq", "x", "y"))
+        j = j.where(F.col("d").isNull() | (F.col("d") > tolerance))
+        middle = F.struct("m.x", "m.y")
+        pieces = F.array(F.struct(F.col("a").alias("a"), F.col("m.seq").alias("b"), F.col("pa").alias("pa"), middle.alias("pb")), F.struct(F.col("m.seq").alias("a"), F.col("b").alias("b"), middle.alias("pa"), F.col("pb").alias("pb")))
+        mine = F.filter(pieces, lambda s: F.col("seq").between(s["a"], s["b"]))
+        same = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("pa").alias("pa"), F.col("pb").alias("pb")))
+        j = j.select("geom", "seq", "x", "y", F.explode(F.when(F.col("m").isNull(), same).otherwise(mine)).alias("s")).select("geom", "seq", "x", "y", "s.*")
+        counts = F.broadcast(j.groupBy(F.col("geom").alias("g_"), F.col("a").alias("a_")).agg(F.count("*").alias("n")))
+        open_ = j.join(counts, (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_"))).drop("g_", "a_").checkpoint()
+    rest = open_.select("geom", "a", "seq", "x", "y").groupBy("geom", "a").applyInPandas(lambda pdf: _kept(pdf, tolerance)[["geom", "seq", "x", "y"]], schema)
+    for d in done:
+        rest = rest.unionByName(d)
+    return whole.unionByName(rest.distinct())
 
 
 def flatten_annotations(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def whole_batches(files: DataFrame, batch: str, ok: Column) -> DataFrame:
     """Files of batches in which every file passes; one offence rejects the batch."""
@@ -26,16 +28,18 @@ def next_id(t: DataFrame, id_col: str) -> DataFrame:
 def append_ids(spark: SparkSession, rows: DataFrame, order: list[str], start: int) -> DataFrame:
     """Sequential ids from ``start`` in the order given, without bringing all rows into one partition.
 
-    Rows are sorted by ranges; only the number of rows of each range comes to the driver.
+    Rows are sorted by ranges and written once with the number of their range and their place in it; only the number
+    of rows of each range comes to the driver.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    counts = sorted((r[0], r[1]) for r in dealt.groupBy("_p").count().collect())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", place)
+    dealt = stored(spark, dealt, "dealt")
     before, offsets = start, []
-    for p, n in counts:
+    for p, n in sorted((r[0], r[1]) for r in dealt.groupBy("_p").count().collect()):
         offsets.append((p, before))
         before += n
     off = spark.createDataFrame(offsets, "_p int, _o long")
-    return dealt.join(F.broadcast(off), "_p").withColumn("id", F.col("_o") + F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_k", "_o")
+    return dealt.join(F.broadcast(off), "_p").withColumn("id", F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
 
 
 def decode_domain(rows: DataFrame, column: str, domain: DataFrame) -> DataFrame:

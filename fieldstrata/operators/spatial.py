@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import great_circle
+from ..functions.geo import RADIUS, great_circle
 from ..functions.geometry import bounds
 from .measures import segments
 
@@ -24,17 +26,19 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0
     """(point id, geom) pairs by the crossing-number rule, holes taken out.
 
     ``points`` has (site, x, y), ``polygons`` ring vertices. A horizontal ray meets an edge of which one end lies
-    below the point and the other at or above it. Polygons are dealt to the cells of their box; a point meets
-    only those of its cell, and then only the edges on its height.
+    below the point and the other at or above it. Polygons are dealt to the cells of their box, their edges to the rows
+    of cells they span; a point meets only the polygons of its cell, and of those the edges in its row, so a
+    popular or large polygon is spread over its rows.
     """
     e = segments(polygons)
     box = polygons.groupBy("geom").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"))
     cover = box.select("geom", F.explode(box_cells(F.col("a"), F.col("b"), F.col("c"), F.col("d"), size)).alias("k")).select("geom", "k.cx", "k.cy")
     p = points.select("site", F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    near = p.join(cover, ["cx", "cy"]).select("site", "px", "py", "geom")
+    near = p.join(cover, ["cx", "cy"]).select("site", "px", "py", "geom", "cy")
+    e = e.withColumn("cy", F.explode(F.sequence(cell(F.least("y", "y2"), size), cell(F.greatest("y", "y2"), size))))
     below = (F.col("y") < F.col("py")) & (F.col("y2") >= F.col("py")) | (F.col("y2") < F.col("py")) & (F.col("y") >= F.col("py"))
     at = F.col("x") + (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))
-    hits = near.join(e, "geom").where(below).where(at < F.col("px"))
+    hits = near.join(e, ["geom", "cy"]).where(below).where(at < F.col("px"))
     return hits.groupBy("site", "geom").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("site", "geom")
 
 
@@ -54,16 +58,26 @@ def box_pairs(shapes: DataFrame, size: float) -> DataFrame:
     return pairs.join(shapes.select("id", "g"), "id").join(other, "id_").select("id", "g", "id_", "g_")
 
 
+def on_sphere(x: Column, y: Column) -> list[Column]:
+    """Coordinates on the unit sphere of a longitude and a latitude."""
+    a, b = F.radians(x), F.radians(y)
+    return [F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)]
+
+
 def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
-    """Pairs (left, right, metres) of points at most ``metres`` apart on the sphere, away from the poles.
+    """Pairs (left, right, metres) of points at most ``metres`` apart on the sphere, wherever they lie.
 
-    Cells are as wide as the distance at latitude 60; the right side is dealt to its nine neighbours.
+    Cells are cubes around the sphere as wide as the chord of the distance; the right side is dealt to its 27
+    neighbours, so neither the poles nor the antimeridian part a pair.
     """
-    size = metres / 111_000 * 2
-    left = a.select(F.col("site").alias("left"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    around = F.array(*[F.struct((cell(F.col("x"), size) + i).alias("cx"), (cell(F.col("y"), size) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = b.select(F.col("site").alias("right"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("k")).select("right", "x2", "y2", "k.cx", "k.cy")
-    j = left.join(right, ["cx", "cy"]).withColumn("metres", great_circle(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    size = 2 * math.sin(min(metres / RADIUS, math.pi) / 2) * 1.000001
+    place = lambda: [cell(c, size) for c in on_sphere(F.col("x"), F.col("y"))]
+    left = a.select(F.col("site").alias("left"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.struct(*[c.alias(n) for c, n in zip(place(), "ijk", strict=True)]).alias("cell"))
+    steps = F.array(*[F.lit(n) for n in (-1, 0, 1)])
+    around = lambda c: F.flatten(F.transform(steps, lambda i: F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda k: F.struct((c["i"] + i).alias("i"), (c["j"] + j).alias("j"), (c["k"] + k).alias("k")))))))
+    right = b.select(F.col("site").alias("right"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.struct(*[c.alias(n) for c, n in zip(place(), "ijk", strict=True)]).alias("own"))
+    right = right.withColumn("cell", F.explode(around(F.col("own")))).drop("own")
+    j = left.join(right, "cell").withColumn("metres", great_circle(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     return j.where(F.col("metres") <= metres).select("left", "right", "metres")
 
 
@@ -73,18 +87,45 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return b.select("left", "b.right", "b.metres")
 
 
-def crossing_counts(v: DataFrame, size: float) -> DataFrame:
+def line_cells(size: float) -> Column:
+    """Cells along a segment (x, y)-(x2, y2), as an array of struct(cx, cy): of each column of cells the rows it crosses."""
+    lo, hi = F.least("x", "x2"), F.greatest("x", "x2")
+    at = lambda v: F.when(F.col("x2") == F.col("x"), F.col("y")).otherwise(F.col("y") + (v - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))
+
+    def rows(i: Column) -> Column:
+        a, b = at(F.greatest(lo, i * size)), F.when(F.col("x2") == F.col("x"), F.col("y2")).otherwise(at(F.least(hi, (i + 1) * size)))
+        return F.transform(F.sequence(cell(F.least(a, b) - size * 1e-9, size), cell(F.greatest(a, b) + size * 1e-9, size)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(lo - size * 1e-9, size), cell(hi + size * 1e-9, size)), rows))
+
+
+def segment_size(s: DataFrame, per_segment: float = 4.0) -> float:
+    """A cell size at which a segment of mean length lies in a few cells."""
+    mean = s.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x")), F.abs(F.col("y2") - F.col("y"))))).first()[0]
+    return max(float(mean or 1.0) / per_segment, 1e-9)
+
+
+def crossing_counts(v: DataFrame, size: float | None = None) -> DataFrame:
     """Strict crossings of segments of the same geometry: (geom, crossings), none without any.
 
-    Segments meet by the cells of their boxes; a pair counts in one cell only, that of the lower left corner of
-    the boxes' overlap. Touching ends, parallels and overlaps are no crossings.
+    Segments meet in the cells along them; pairs that cross and share several cells count once. Touching ends,
+    parallels and overlaps are no crossings. Without ``size`` cells are a quarter of a segment's mean extent.
     """
     s = segments(v).select("geom", F.struct("ring", "seq").alias("k"), "x", "y", "x2", "y2")
-    s = s.withColumn("cell", F.explode(box_cells(F.least("x", "x2"), F.least("y", "y2"), F.greatest("x", "x2"), F.greatest("y", "y2"), size)))
+    size = size or segment_size(s)
+    s = s.withColumn("cell", F.explode(line_cells(size)))
     t = s.select("geom", "cell", F.col("k").alias("k_"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
-    j = s.join(t, ["geom", "cell"]).where("k < k_")
-    own = (F.col("cell.cx") == cell(F.greatest(F.least("x", "x2"), F.least("u", "u2")), size)) & (F.col("cell.cy") == cell(F.greatest(F.least("y", "y2"), F.least("v", "v2")), size))
-    return j.where(own & strictly_cross()).groupBy("geom").agg(F.count("*").alias("crossings"))
+    j = s.join(t, ["geom", "cell"]).where("k < k_").where(strictly_cross())
+    return j.select("geom", "k", "k_").distinct().groupBy("geom").agg(F.count("*").alias("crossings"))
+
+
+def rings(v: DataFrame) -> DataFrame:
+    """(geom, closed, simple, ring) of lines: whether a line ends where it starts, does not cross itself, and both."""
+    from .measures import end_points
+
+    ends = end_points(v).select("geom", "closed")
+    j = ends.join(crossing_counts(v), "geom", "left").withColumn("simple", F.col("crossings").isNull())
+    return j.select("geom", "closed", "simple", (F.col("closed") & F.col("simple")).alias("ring"))
 
 
 def strictly_cross() -> Column:
@@ -97,7 +138,17 @@ def strictly_cross() -> Column:
 
 
 def position_at(track: DataFrame, items: DataFrame, key: str = "track") -> DataFrame:
-    """As-of join: each item's last track point at or before its time, by one sort of both sides."""
-    both = track.select(key, F.col("ts").alias("t"), F.lit(0).alias("o"), F.struct("lon", "lat").alias("p"), F.lit(None).cast("long").alias("item")).unionByName(items.select(key, F.col("ts").alias("t"), F.lit(1).alias("o"), F.lit(None).cast("struct<lon: double, lat: double>").alias("p"), F.col("item").cast("long").alias("item")))
-    w = Window.partitionBy(key).orderBy("t", "o", "item").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("p", F.last("p", ignorenulls=True).over(w)).where("item is not null").select(key, "item", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    """As-of join: each item's last track point at or before its time, by one sort of both sides.
+
+    A track is cut by days; of every day the last point is carried on to the next ones, over one row a day.
+    """
+    none = F.lit(None).cast("struct<lon: double, lat: double>")
+    both = track.select(key, F.col("ts").alias("t"), F.lit(0).alias("o"), F.struct("lon", "lat").alias("p"), F.lit(None).cast("long").alias("item")).unionByName(items.select(key, F.col("ts").alias("t"), F.lit(1).alias("o"), none.alias("p"), F.col("item").cast("long").alias("item")))
+    both = both.withColumn("day", F.to_date("t"))
+    days = both.groupBy(key, "day").agg(F.max_by(F.when(F.col("o") == 0, F.col("p")), F.when(F.col("o") == 0, F.col("t"))).alias("last"))
+    earlier = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col(key).alias("_key"), F.col("day").alias("_day"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    w = Window.partitionBy(key, "day").orderBy("t", "o", "item").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("p", F.last("p", ignorenulls=True).over(w)).where("item is not null")
+    found = found.join(days, (F.col(key) == F.col("_key")) & (F.col("day") == F.col("_day"))).withColumn("p", F.coalesce("p", "carried"))
+    return found.select(key, "item", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))

@@ -152,15 +152,6 @@ def s14_s15_georss_round_trip(spark, sf_dir):
     return fm.read_georss_points(s, "upload")
 
 
-@query(f"WITH {d.POLYGONS}, v AS (SELECT geom, string_agg(x::VARCHAR || ' ' || y::VARCHAR, ',' ORDER BY x, y) AS k, count(*) AS points FROM polygons WHERE ring = 0 GROUP BY geom) SELECT count(*) AS geometries, sum(points)::BIGINT AS points FROM v")
-def x03_same_vertices(spark, sf_dir):
-    """Geometries equal to their reversal as vertex multisets."""
-    v = d.polygons(spark, sf_dir).where("ring = 0")
-    a = v.groupBy("geom").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("a"))
-    b = v.withColumn("seq", -F.col("seq")).groupBy("geom").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("b"))
-    return a.join(b, "geom").where("a = b").agg(F.count("*").alias("geometries"), F.sum(F.size("a")).cast("long").alias("points"))
-
-
 @query()
 def a19_convex_hull(spark, sf_dir):
     from ..functions import shapes

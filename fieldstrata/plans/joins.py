@@ -83,16 +83,17 @@ CROSS = "(x2 - x) * (v2 - v) - (u2 - u) * (y2 - y) <> 0 AND ((v - y) * (u2 - u)
 @query(f"WITH {d.TRACKS}, s AS (SELECT track AS geom, seq, lon AS x, lat AS y, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY track ORDER BY seq)), t AS (SELECT geom, seq AS k, x AS u, y AS v, x2 AS u2, y2 AS v2 FROM s WHERE x2 IS NOT NULL) SELECT geom, count(*) AS crossings FROM s JOIN t USING (geom) WHERE x2 IS NOT NULL AND seq < k AND {CROSS} GROUP BY geom")
 def j10_g08_self_crossings(spark, sf_dir):
     """Tracks that are not simple, with the number of strict crossings of their segments."""
-    return s.crossing_counts(d.track_vertices(spark, sf_dir), 60.0)
+    return s.crossing_counts(d.track_vertices(spark, sf_dir))
 
 
 NEAR = "6378137 * atan2(sqrt(pow(cos(radians(b.y)) * sin(radians(b.x - a.x)), 2) + pow(cos(radians(a.y)) * sin(radians(b.y)) - sin(radians(a.y)) * cos(radians(b.y)) * cos(radians(b.x - a.x)), 2)), sin(radians(a.y)) * sin(radians(b.y)) + cos(radians(a.y)) * cos(radians(b.y)) * cos(radians(b.x - a.x)))"
 
 
-@query(f"WITH {d.SITES}, p AS (SELECT a.site AS left, b.site AS right, {NEAR} AS metres FROM sites a JOIN sites b ON a.site % 2 = 0 AND b.site % 2 = 1 AND abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1) SELECT \"left\", \"right\", round(metres, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY \"left\" ORDER BY round(metres, 6), \"right\") AS k FROM p WHERE metres <= 40000) WHERE k = 1")
+@query(f"WITH {d.SITES}, p AS (SELECT a.site AS left, b.site AS right, {NEAR} AS metres FROM sites a JOIN sites b ON a.site <> b.site AND abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1) SELECT \"left\", \"right\", round(metres, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY \"left\" ORDER BY round(metres, 6), \"right\") AS k FROM p WHERE metres <= 60000) WHERE k = 1")
 def j12_nearest_within(spark, sf_dir):
+    """Of every site the nearest other one within 60 km."""
     p = d.sites(spark, sf_dir)
-    n = s.nearest(s.within_distance(p.where("site % 2 = 0"), p.where("site % 2 = 1"), 40_000.0))
+    n = s.nearest(s.within_distance(p, p, 60_000.0).where("left != right"))
     return n.select("left", "right", F.round("metres", 3).alias("metres"))
 
 
@@ -102,12 +103,24 @@ def j13_position_on_track(spark, sf_dir):
     return s.position_at(d.track_points(spark, sf_dir), v)
 
 
-@query(f"WITH {d.SPRINGS}, g AS (SELECT *, greatest(ceil((lon + 180) / 360 * 8) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 4) - 1, 0) AS cy FROM springs) SELECT count(*) AS pairs FROM g a JOIN g b ON a.cx = b.cx AND a.cy = b.cy AND a.upload % 2 = 0 AND b.upload % 2 = 1")
+@query(f"WITH {d.SPRINGS}, g AS (SELECT greatest(ceil((lon + 180) / 360 * 256) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 128) - 1, 0) AS cy FROM springs) SELECT count(*) AS uploads, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM g GROUP BY cx, cy")
 def j14_same_geohash_cell(spark, sf_dir):
-    """Pairs of an even and an odd upload in one cell, counted without making them."""
-    g = d.springs(spark, sf_dir).select("upload", geo.geohash(F.col("lon"), F.col("lat"), 1).alias("code"))
-    n = g.groupBy("code").agg(F.count_if(F.col("upload") % 2 == 0).alias("even"), F.count_if(F.col("upload") % 2 == 1).alias("odd"))
-    return n.agg(F.coalesce(F.sum(F.col("even") * F.col("odd")), F.lit(0)).alias("pairs"))
+    """Uploads and their pairs in each cell, counted without making the pairs."""
+    g = d.springs(spark, sf_dir).select(geo.geohash(F.col("lon"), F.col("lat"), 3).alias("code"))
+    return g.groupBy("code").agg(F.count("*").alias("uploads")).select("uploads", F.expr("uploads * (uploads - 1) div 2").alias("pairs"))
+
+
+@query(f"WITH {d.SITES}, g AS (SELECT site, greatest(ceil((x + 180) / 360 * 32768) - 1, 0) AS cx, greatest(ceil((y + 90) / 180 * 32768) - 1, 0) AS cy FROM sites) SELECT a.site AS left, b.site AS right FROM g a JOIN g b ON a.cx // 32 = b.cx // 32 AND a.cy // 32 = b.cy // 32 AND a.site < b.site")
+def j14_pairs_in_cell(spark, sf_dir):
+    """Pairs of sites whose geohashes share their first four letters."""
+    g = d.sites(spark, sf_dir).select("site", F.substring(geo.geohash(F.col("x"), F.col("y"), 6), 1, 4).alias("code"))
+    return g.select(F.col("site").alias("left"), "code").join(g.select(F.col("site").alias("right"), "code"), "code").where("left < right").select("left", "right")
+
+
+@query(f"WITH {d.TRACKS}, s AS (SELECT track AS geom, seq, lon AS x, lat AS y, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY track ORDER BY seq)), t AS (SELECT geom, seq AS k, x AS u, y AS v, x2 AS u2, y2 AS v2 FROM s WHERE x2 IS NOT NULL), c AS (SELECT DISTINCT geom FROM s JOIN t USING (geom) WHERE x2 IS NOT NULL AND seq < k AND {CROSS}), e AS (SELECT geom, arg_min((x, y), seq) = arg_max((x, y), seq) AS closed FROM s GROUP BY geom) SELECT geom, closed, geom NOT IN (FROM c) AS simple, closed AND geom NOT IN (FROM c) AS ring FROM e")
+def w04_a21_rings(spark, sf_dir):
+    """Whether tracks are closed, simple, and rings."""
+    return s.rings(d.track_vertices(spark, sf_dir))
 
 
 @query(f"WITH {d.SPRINGS} SELECT event_id AS video, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, lat) AS lat FROM events LEFT JOIN springs ON upload = user_id WHERE event_type = 'view'")
@@ -125,14 +138,15 @@ def x01_concatenate(spark, sf_dir):
 COVER = f"{d.POLYGONS}, b AS (SELECT geom, min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM polygons GROUP BY geom), k AS (SELECT geom, i AS cx, j AS cy FROM b, LATERAL (SELECT unnest(range(floor(a)::INT, floor(c)::INT + 1)) AS i) x, LATERAL (SELECT unnest(range(floor(b)::INT, floor(d)::INT + 1)) AS j) y)"
 
 
-@query(f"WITH {COVER}, l AS (SELECT DISTINCT cx, cy FROM k WHERE geom < 13), r AS (SELECT DISTINCT cx, cy FROM k WHERE geom > 11) SELECT 'union' AS op, count(*) AS cells FROM (FROM l UNION FROM r) UNION ALL SELECT 'intersection', count(*) FROM (FROM l INTERSECT FROM r) UNION ALL SELECT 'difference', count(*) FROM (FROM l EXCEPT FROM r)")
+@query(f"WITH {COVER}, l AS (SELECT DISTINCT cx, cy FROM k WHERE geom % 2 = 0), r AS (SELECT DISTINCT cx, cy FROM k WHERE geom % 3 = 0) SELECT 'union' AS op, count(*) AS cells FROM (FROM l UNION FROM r) UNION ALL SELECT 'intersection', count(*) FROM (FROM l INTERSECT FROM r) UNION ALL SELECT 'difference', count(*) FROM (FROM l EXCEPT FROM r) UNION ALL SELECT 'symmetric difference', count(*) FROM ((FROM l EXCEPT FROM r) UNION ALL (FROM r EXCEPT FROM l))")
 def x02_cell_cover_sets(spark, sf_dir):
-    """Union, intersection and difference of two areas as sets of cells."""
+    """Union, intersection and differences of two areas as sets of cells."""
     p = d.polygons(spark, sf_dir).groupBy("geom").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"))
     k = p.select("geom", F.explode(s.box_cells(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 1.0)).alias("k")).select("geom", "k.cx", "k.cy")
-    left, right = k.where("geom < 13").select("cx", "cy").distinct(), k.where("geom > 11").select("cx", "cy").distinct()
+    left, right = k.where("geom % 2 = 0").select("cx", "cy").distinct(), k.where("geom % 3 = 0").select("cx", "cy").distinct()
     n = lambda df, op: df.agg(F.lit(op).alias("op"), F.count("*").alias("cells"))
-    return n(left.union(right).distinct(), "union").unionByName(n(left.intersect(right), "intersection")).unionByName(n(left.subtract(right), "difference"))
+    out = n(left.union(right).distinct(), "union").unionByName(n(left.intersect(right), "intersection")).unionByName(n(left.subtract(right), "difference"))
+    return out.unionByName(n(left.subtract(right).unionByName(right.subtract(left)), "symmetric difference"))
 
 
 @query("SELECT DISTINCT p_brand FROM part")

@@ -1,19 +1,59 @@
-"""Queries on states built by streams, run as one batch."""
+"""Queries on states built by streams, each run to the end of its input."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources import datasets as d
-from ..streaming.ingest import apply_operations
+from ..sources import formats as fm
+from ..sources.store import shared_path
+from ..streaming import ingest as st
 from .registry import query
 
-MISSING = f"{d.MARKUPS}, f AS (SELECT image, number, min(op_no) AS first FROM markups WHERE op = 'insert' GROUP BY image, number), b AS (SELECT m.*, coalesce(op = 'insert' OR first < op_no, FALSE) AS ok FROM markups m LEFT JOIN f USING (image, number))"
+STANDS = f"{d.MARKUPS}, l AS (SELECT *, last_value(CASE WHEN op IN ('insert', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY image, number ORDER BY op_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM markups), b AS (SELECT image, number, op_no, op, x, y, w, h, coalesce(op = 'insert' OR last = 'insert', FALSE) AS ok FROM l)"
+CURRENT = f"WITH {STANDS} SELECT image, number, op_no, op, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY image, number ORDER BY op_no DESC) AS k FROM b WHERE ok) WHERE k = 1 AND op <> 'delete'"
 
 
-@query(f"WITH {MISSING} SELECT image, number, op_no, op, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY image, number ORDER BY op_no DESC) AS k FROM b WHERE ok) WHERE k = 1 AND op <> 'delete'")
+@query(CURRENT)
 def r02_markup_state(spark, sf_dir):
-    return apply_operations(None, d.markup_log(spark, sf_dir), ["image", "number"], "op_no")[0]
+    return st.apply_operations(None, d.markup_log(spark, sf_dir), ["image", "number"], "op_no")[0]
 
 
-@query(f"WITH {MISSING} SELECT image, number, op_no, op, x, y, w, h, 'File Missing!' AS message FROM b WHERE NOT ok")
+@query(f"WITH {STANDS} SELECT image, number, op_no, op, x, y, w, h, 'File Missing!' AS message FROM b WHERE NOT ok")
 def r02_refused_operations(spark, sf_dir):
-    return apply_operations(None, d.markup_log(spark, sf_dir), ["image", "number"], "op_no")[1]
+    return st.apply_operations(None, d.markup_log(spark, sf_dir), ["image", "number"], "op_no")[1]
+
+
+@query(CURRENT)
+def r02_markup_stream(spark, sf_dir):
+    """The same state from a stream of files, in the order of the operations, several batches long."""
+    home = shared_path(spark, "markups")
+    log = d.markup_log(spark, sf_dir)
+    for n in range(3):  # operations arrive in turn
+        part = log.where(f"least(op_no, 3) = {n + 1}")
+        part.coalesce(1).write.parquet(f"{home}/in/{n}")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{home}/in")
+    state, _ = st.markup_stream(spark, source, ["image", "number"], "op_no", f"{home}/out", f"{home}/checkpoint")
+    return spark.read.parquet(state).select("image", "number", "op_no", "op", "x", "y", "w", "h")
+
+
+@query(f"WITH {d.TRACKS} SELECT track::VARCHAR AS track, seq - 1 AS seq, lon, lat, ele, ts AS time FROM points")
+def r01_track_stream(spark, sf_dir):
+    """GPX files, one a track, taken up by a stream as track points."""
+    home = shared_path(spark, "gpx")
+    docs = fm.gpx_documents(d.track_points(spark, sf_dir))
+    docs.repartition("track").write.partitionBy("track").option("maxRecordsPerFile", 1).text(f"{home}/in")
+    st.track_stream(spark, f"{home}/in", f"{home}/out", f"{home}/checkpoint", r"track=([^/]+)/")
+    return spark.read.parquet(f"{home}/out")
+
+
+@query("SELECT DISTINCT user_id AS upload, event_type AS file FROM events")
+def r03_duplicate_uploads(spark, sf_dir):
+    """Uploads of a stream without those that come again within the bound."""
+    home = shared_path(spark, "uploads")
+    e = d.table(spark, sf_dir, "events").select(F.col("user_id").alias("upload"), F.col("event_type").alias("file"), F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{home}/in")
+    source = spark.readStream.schema(e.schema).parquet(f"{home}/in")
+    q = st.once_per_upload(source).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("upload", "file")

@@ -24,12 +24,12 @@ SPRINGS = "springs AS (SELECT c_custkey AS upload, (c_custkey * 7919 % 36000) /
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same springs in a window of 20 by 20 degrees, so that they have neighbours."""
+    """The same springs in windows of 20 by 20 degrees for 1,500 of them each, so that they have neighbours."""
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("site"), ((F.col("c_custkey") * 7919 % 2000) / 100.0).alias("x"), ((F.col("c_custkey") * 104729 % 1999) / 100.0).alias("y"))
+    return c.select(F.col("c_custkey").alias("site"), (F.col("c_custkey") * 7919 % 2000 / 100.0 + F.floor(F.col("c_custkey") / 1500) * 20 % 340 - 170).alias("x"), ((F.col("c_custkey") * 104729 % 1999) / 100.0).alias("y"))
 
 
-SITES = "sites AS (SELECT c_custkey AS site, (c_custkey * 7919 % 2000) / 100e0 AS x, (c_custkey * 104729 % 1999) / 100e0 AS y FROM customer)"
+SITES = "sites AS (SELECT c_custkey AS site, (c_custkey * 7919 % 2000) / 100e0 + c_custkey // 1500 * 20 % 340 - 170 AS x, (c_custkey * 104729 % 1999) / 100e0 AS y FROM customer)"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,21 +102,25 @@ def shape_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHAPES = "shapes AS (SELECT p_partkey AS id, " + by_kind([filled_sql(t, "p_partkey") for t in SHAPE_TEXTS], "p_partkey") + " AS t FROM part)"
 
 
-#: Offsets of the ring vertices of every nation's polygon; even nations have the hole too.
+#: Offsets of the ring vertices of every polygon; even ones have the hole too.
 OUTER, HOLE = [(0, 0), (3, 0), (3, 3), (1, 3), (0, 2), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ring vertices (geom, ring, seq, x, y) of one polygon a nation, in a 5 by 5 grid of 4-degree cells."""
+    """Ring vertices (geom, ring, seq, x, y) of one polygon a supplier, in 5 by 5 grids of 4-degree cells.
+
+    A hundred polygons lie over one window of the sites, in four layers.
+    """
     rows = [(0, i, x, y) for i, (x, y) in enumerate(OUTER, 1)] + [(1, i, x, y) for i, (x, y) in enumerate(HOLE, 1)]
     shape = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(i).alias("seq"), F.lit(float(x)).alias("dx"), F.lit(float(y)).alias("dy")) for r, i, x, y in rows])
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("geom"), F.explode(shape).alias("v")).where("v.ring = 0 or geom % 2 = 0")
-    return n.select("geom", "v.ring", "v.seq", (F.col("geom") % 5 * 4 + F.col("v.dx")).alias("x"), (F.floor(F.col("geom") / 5) * 4 + F.col("v.dy")).alias("y"))
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("geom"), F.explode(shape).alias("v")).where("v.ring = 0 or geom % 2 = 0")
+    x = F.col("geom") % 5 * 4 + F.floor(F.col("geom") % 100 / 25) * 0.25 + F.floor(F.col("geom") / 100) * 20 % 340 - 170
+    return n.select("geom", "v.ring", "v.seq", (x + F.col("v.dx")).alias("x"), (F.floor(F.col("geom") % 25 / 5) * 4 + F.col("v.dy")).alias("y"))
 
 
 POLYGONS = (
     "shape(ring, seq, dx, dy) AS (VALUES " + ", ".join(f"({r}, {i}, {x}e0, {y}e0)" for r, ring in enumerate((OUTER, HOLE)) for i, (x, y) in enumerate(ring, 1)) + "), "
-    "polygons AS (SELECT n_nationkey::INT AS geom, ring, seq, n_nationkey % 5 * 4 + dx AS x, n_nationkey // 5 * 4 + dy AS y FROM nation, shape WHERE ring = 0 OR n_nationkey % 2 = 0)"
+    "polygons AS (SELECT s_suppkey::INT AS geom, ring, seq, s_suppkey % 5 * 4 + s_suppkey % 100 // 25 * 0.25e0 + s_suppkey // 100 * 20 % 340 - 170 + dx AS x, s_suppkey % 25 // 5 * 4 + dy AS y FROM supplier, shape WHERE ring = 0 OR s_suppkey % 2 = 0)"
 )
 
 

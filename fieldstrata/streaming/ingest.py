@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.catalog import current_versions
 from ..sources.formats import read_gpx
 
 
-def track_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str) -> None:
-    """Takes up GPX files that arrived in ``folder`` since the last run, as track points in Parquet."""
-    files = spark.readStream.schema("value string, path string").option("wholetext", "true").format("text").load(folder)
-    docs = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:-[^/]*)?\.[A-Za-z]+$", 1).alias("track"), F.col("value").alias("gpx"))
+def track_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, name: str = r"([^/]+?)(?:-[^/]*)?\.[A-Za-z]+$") -> None:
+    """Takes up GPX files that arrived in ``folder`` since the last run, as track points in Parquet.
+
+    ``name`` finds the track in a file's path.
+    """
+    files = spark.readStream.schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").format("text").load(folder)
+    docs = files.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("track"), F.col("value").alias("gpx"))
     q = read_gpx(docs, "track").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
     q.awaitTermination()
 
 
 def apply_operations(state: DataFrame | None, batch: DataFrame, key: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(new state, refused) of a batch of insert, update and delete rows; updates and deletes of keys that
-    neither the state nor an earlier row of the batch holds are refused as "File Missing!"."""
-    known = state.select(*key).distinct().withColumn("_known", F.lit(True)) if state is not None else None
-    first = batch.where("op = 'insert'").groupBy(*key).agg(F.min(order).alias("_first"))
-    b = batch.join(first, key, "left")
-    b = b.join(known, key, "left") if known is not None else b.withColumn("_known", F.lit(None).cast("boolean"))
-    ok = (F.col("op") == "insert") | F.coalesce("_known", F.lit(False)) | F.coalesce(F.col("_first") < F.col(order), F.lit(False))
-    good = b.where(ok).drop("_known", "_first")
+    """(new state, refused) of a batch of insert, update and delete rows.
+
+    An update or delete of a key that does not stand at that moment is refused as "File Missing!": the key stands if
+    the last insert or delete before the row is an insert or, without one in the batch, if the state has it.
+    However operations are dealt into batches, state and refusals are the same.
+    """
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    b = batch.withColumn("_last", F.last(F.when(F.col("op").isin("insert", "delete"), F.col("op")), ignorenulls=True).over(before))
+    if state is not None:
+        b = b.join(state.select(*key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    else:
+        b = b.withColumn("_known", F.lit(None).cast("boolean"))
+    ok = (F.col("op") == "insert") | F.coalesce(F.col("_last") == "insert", F.col("_known"), F.lit(False))
+    good = b.where(ok).select(*batch.columns)
     log = good if state is None else state.unionByName(good)
-    return current_versions(log, key, order), b.where(~ok).drop("_known", "_first").withColumn("message", F.lit("File Missing!"))
+    return current_versions(log, key, order), b.where(~ok).select(*batch.columns).withColumn("message", F.lit("File Missing!"))
+
+
+def markup_stream(spark: SparkSession, operations: DataFrame, key: list[str], order: str, folder: str, checkpoint: str) -> tuple[str, str]:
+    """Runs a stream of operations to its present end; returns the paths of the latest state and of all refusals.
+
+    Every batch writes a state of its own, so a batch that is run again after a failure begins from the one before.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: fs_path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path(p))
+    last = [-1]
+
+    def step(batch: DataFrame, number: int) -> None:
+        old = f"{folder}/state/{number - 1}"
+        state, refused = apply_operations(spark.read.parquet(old) if there(old) else None, batch, key, order)
+        state.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        refused.write.mode("overwrite").parquet(f"{folder}/refused/batch={number}")
+        last[0] = number
+
+    operations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/state/{last[0]}", f"{folder}/refused"
 
 
 def once_per_upload(uploads: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
