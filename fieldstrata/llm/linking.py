@@ -172,7 +172,8 @@ def _closing(spark: SparkSession, e: DataFrame, payload: Callable[[DataFrame], D
     data = stored(spark, payload(needed), "payload")
     dealt = hot_join(spark, asks, asked, "block", "w", "id").select("id", "c", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
     answer = e.join(asked.select("block", "chunks"), "block").select("id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"))
-    met = dealt.unionByName(answer).join(data, "id")
+    # dealt by number, as a small table may be much work
+    met = dealt.unionByName(answer).join(data, "id").repartition(max(partitions(spark), 64), "block", "chunk")
     found = met.groupBy("block", "chunk").applyInPandas(compare, "a long, b long, ca long, cb long")
     return stored(spark, found, "closing-links")
 

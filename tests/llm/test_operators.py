@@ -219,21 +219,32 @@ def test_fuzzy_lines_recall(spark):
     """Pairs of the distinct lines of the documents at 0.8 or more, by brute force: at least 0.9 share a key."""
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     once = sorted({n for t in texts for x in (t or "").split("\n") if (n := lines.normalise(x)) and len(n) < 2000}, key=len)
-    count = lines._histograms(once)
-    sizes, keys = np.array([len(x) for x in once]), [set(k) for k in lines.candidate_keys(once)]
+    profiles, sizes = lines._profiles(once), np.array([len(x) for x in once])
+    keys = [set(k) for k in lines.candidate_keys(once)]
     near = found = 0
     for i in range(len(once)):
         high = np.searchsorted(sizes, sizes[i] / 0.8 + 1e-9, side="right")
-        d = count[i + 1 : high] - count[i]
-        if not len(d):
-            continue
-        edits = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
-        for j in (np.flatnonzero(edits <= 0.2 * sizes[i + 1 : high] + 1e-9) + i + 1).tolist():
-            if lines.edit_similarity(once[i], once[j], 0.8) >= 0.8:
-                near, found = near + 1, found + bool(keys[i] & keys[j])
+        if high > i + 1:
+            edits = lines._least_edits(profiles[i + 1 : high], profiles[i])
+            for j in (np.flatnonzero(edits <= 0.2 * sizes[i + 1 : high] + 1e-9) + i + 1).tolist():
+                if lines.edit_similarity(once[i], once[j], 0.8) >= 0.8:
+                    near, found = near + 1, found + bool(keys[i] & keys[j])
     assert near >= 20 and found >= 0.9 * near
 
 
+def test_profiles_never_ask_for_too_many_edits():
+    g = random.Random(9)
+    for _ in range(300):
+        a = "".join(g.choice("abcd") for _ in range(g.randrange(1, 40)))
+        b = list(a)
+        for _ in range(g.randrange(6)):
+            at = g.randrange(len(b) + 1)
+            b[at : at + g.randrange(2)] = g.choice(["", "x", "b"])
+        b = "".join(b) or "a"
+        edits = (1 - lines.edit_similarity(a, b)) * max(len(a), len(b))
+        assert lines._least_edits(lines._profiles([a]), lines._profiles([b]))[0] <= edits + 1e-6
+
+
 def test_crowded_keeps_buckets_with_company(spark):
     g = random.Random(5)
     rows = [(g.randrange(300), i) for i in range(400)] + [(7, i) for i in range(1000, 4000)] + [(900, 1), (900, 1)]
