@@ -59,3 +59,36 @@ def utc_text(local: Column, zone: str | Column) -> Column:
 def clean_xml(text: Column) -> Column:
     """Lower case, without CDATA sections."""
     return F.regexp_replace(F.lower(text), r"(?s)<!\[cdata\[.*?\]\]>", "")
+
+
+def video_faults(lat: Column, lon: Column, utc: Column, url: Column) -> Column:
+    """Reasons why a video cannot be taken: an array, empty if it can."""
+    missing = lambda c: c.isNull() | (F.trim(c.cast("string")) == "")
+    return F.array_compact(F.array(F.when(missing(lat) | missing(lon), "no position"), F.when(missing(utc), "no time"), F.when(missing(url), "no url")))
+
+
+def track_faults(title: Column) -> Column:
+    return F.array_compact(F.array(F.when(title.isNull() | (F.trim(title) == ""), "no title")))
+
+
+def capture_date(original: Column, other: Column) -> Column:
+    """Date of capture as Y/m/d: the original one, else that of the file's own field."""
+    return F.translate(F.split(F.coalesce(original, other), " ")[0], ":", "/")
+
+
+def file_stamp(at: Column) -> tuple[Column, Column]:
+    """(m-d-Y, H:i:s) of a file's time."""
+    return F.date_format(at, "MM-dd-yyyy"), F.date_format(at, "HH:mm:ss")
+
+
+def utc_by_offset(at: Column, raw_seconds: Column, dst_seconds: Column) -> Column:
+    return at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (raw_seconds + dst_seconds).cast("decimal(18,6)"))
+
+
+def last_object(doc: Column, fields: str) -> Column:
+    """The last object of a markup document's list, which holds its metadata."""
+    return F.element_at(F.from_json(doc, f"objects array<struct<{fields}>>")["objects"], -1)
+
+
+def in_extent(x: Column, y: Column, minx: float, miny: float, maxx: float, maxy: float) -> Column:
+    return x.between(minx, maxx) & y.between(miny, maxy)

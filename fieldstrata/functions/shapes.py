@@ -1,4 +1,4 @@
-"""Vectorised helpers where column expressions do not reach: WKB, hulls, simplification, annotation trees."""
+"""Vectorised helpers where column expressions do not reach: WKB, hulls, simplification."""
 
 from __future__ import annotations
 
@@ -189,30 +189,3 @@ def simplify(v: DataFrame, tolerance: float, limit: int = 100_000) -> DataFrame:
     for d in done:
         rest = rest.unionByName(d)
     return whole.unionByName(rest.distinct())
-
-
-def flatten_annotations(docs: DataFrame) -> DataFrame:
-    """(doc, path, depth, type, name, vertices) of every object in annotation XML (doc, xml), of any nesting.
-
-    Malformed documents give no rows.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xml.etree.ElementTree as ET
-
-        for b in batches:
-            rows = []
-            for doc, xml in zip(b["doc"], b["xml"], strict=True):
-                try:
-                    todo = [(ET.fromstring(xml), "", 0)]
-                except (ET.ParseError, TypeError):
-                    continue
-                while todo:
-                    node, path, depth = todo.pop()
-                    for i, c in enumerate(x for x in node if x.tag != "vertex" and x.tag != "tag"):
-                        at = f"{path}/{i}"
-                        todo.append((c, at, depth + 1))
-                        rows.append((doc, at, depth, c.get("type") or c.tag, c.get("name"), sum(x.tag == "vertex" for x in c)))
-            yield pd.DataFrame(rows, columns=["doc", "path", "depth", "type", "name", "vertices"])
-
-    return docs.select("doc", "xml").mapInPandas(run, "doc long, path string, depth int, type string, name string, vertices int")

@@ -66,10 +66,11 @@ def a08_centroid(spark, sf_dir):
     return rounded(m.centroid(d.polygons(spark, sf_dir)))
 
 
-@query("SELECT n_regionkey::INT AS geom, max(CASE n_nationkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::INT AS dimension FROM nation GROUP BY n_regionkey")
+@query("SELECT (p_partkey % 500)::INT AS geom, max(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::INT AS dimension FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 2 GROUP BY 1")
 def a09_dimension(spark, sf_dir):
-    kind = F.when(F.col("n_nationkey") % 3 == 0, "Polygon").when(F.col("n_nationkey") % 3 == 1, "MultiLineString").otherwise("Point")
-    return m.dimension(d.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("geom"), kind.alias("type")))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Polygon").when(F.col("p_partkey") % 3 == 1, "MultiLineString").otherwise("Point")
+    p = d.table(spark, sf_dir, "part").where("p_partkey % 2 = 0 or p_partkey % 3 = 2")
+    return m.dimension(p.select((F.col("p_partkey") % 500).cast("int").alias("geom"), kind.alias("type")))
 
 
 @query(f"WITH {d.TRACKS} SELECT track AS geom, concat('LINESTRING (', string_agg({TEXT('lon')} || ' ' || {TEXT('lat')}, ', ' ORDER BY seq), ')') AS wkt FROM points GROUP BY track")
@@ -164,14 +165,3 @@ def g10_simplify(spark, sf_dir):
     from ..functions import shapes
 
     return shapes.simplify(d.track_vertices(spark, sf_dir), 20.0)
-
-
-@query()
-def u07_annotation_rows(spark, sf_dir):
-    """Markups written as nested annotation XML, one document an image, and flattened again."""
-    from ..functions import shapes
-
-    m = d.markup_log(spark, sf_dir)
-    one = F.format_string('<gobject type="rect" name="m%s"><vertex x="%s" y="%s"/><gobject type="label" name="op"/></gobject>', "number", "x", "y")
-    docs = m.groupBy(F.col("image").alias("doc")).agg(F.concat(F.lit("<image>"), F.array_join(F.sort_array(F.collect_list(one)), ""), F.lit("</image>")).alias("xml"))
-    return shapes.flatten_annotations(docs)

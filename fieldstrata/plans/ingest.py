@@ -48,28 +48,15 @@ def f05_first_match(spark, sf_dir):
 
 @query(f"WITH {d.SPRINGS} SELECT upload, lon, lat FROM springs WHERE lon BETWEEN -20 AND 60 AND lat BETWEEN 0 AND 50")
 def f06_extent(spark, sf_dir):
-    return d.springs(spark, sf_dir).where(F.col("lon").between(-20, 60) & F.col("lat").between(0, 50)).select("upload", "lon", "lat")
+    return d.springs(spark, sf_dir).where(g.in_extent(F.col("lon"), F.col("lat"), -20, 0, 60, 50)).select("upload", "lon", "lat")
 
 
-@query("SELECT event_id, (CASE WHEN value < 10 THEN 'no position,' ELSE '' END) || (CASE WHEN event_id % 7 = 0 THEN 'no time,' ELSE '' END) || (CASE WHEN event_id % 11 = 0 THEN 'no url,' ELSE '' END) AS reasons FROM events WHERE event_type = 'view' AND (value < 10 OR event_id % 7 = 0 OR event_id % 11 = 0)")
-def f07_rejected_videos(spark, sf_dir):
-    e = d.table(spark, sf_dir, "events").where("event_type = 'view'")
-    r = F.concat(F.when(F.col("value") < 10, "no position,").otherwise(""), F.when(F.col("event_id") % 7 == 0, "no time,").otherwise(""), F.when(F.col("event_id") % 11 == 0, "no url,").otherwise(""))
-    return e.select("event_id", r.alias("reasons")).where("reasons != ''")
-
-
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N') AND NOT l_linestatus IN ('F') AND coalesce(l_discount * 1000, 100) >= 50")
-def f08_visible_annotations(spark, sf_dir):
-    li = d.table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_returnflag").isin("A", "N") & ~F.col("l_linestatus").isin("F") & (F.coalesce(F.col("l_discount") * 1000, F.lit(100)) >= 50)).select("l_orderkey", "l_linenumber")
-
-
-@query("SELECT n_name, regexp_matches(lower(substr(md5(n_name), 1, 8) || '-' || substr(md5(n_name), 9, 4) || '-' || substr(md5(n_name), 13, 4) || '-' || substr(md5(n_name), 17, 4) || '-' || substr(md5(n_name), 21, CASE WHEN n_nationkey % 2 = 0 THEN 12 ELSE 11 END)), '^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$') AS valid FROM nation")
+@query("SELECT p_partkey, regexp_matches(lower(substr(md5(p_name), 1, 8) || '-' || substr(md5(p_name), 9, 4) || '-' || substr(md5(p_name), 13, 4) || '-' || substr(md5(p_name), 17, 4) || '-' || substr(md5(p_name), 21, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 11 END)), '^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$') AS valid FROM part")
 def f10_uuid_validity(spark, sf_dir):
-    m = F.md5("n_name")
-    cut = F.when(F.col("n_nationkey") % 2 == 0, F.substring(m, 21, 12)).otherwise(F.substring(m, 21, 11))
+    m = F.md5("p_name")
+    cut = F.when(F.col("p_partkey") % 2 == 0, F.substring(m, 21, 12)).otherwise(F.substring(m, 21, 11))
     t = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), cut)
-    return d.table(spark, sf_dir, "nation").select("n_name", g.is_uuid(t).alias("valid"))
+    return d.table(spark, sf_dir, "part").select("p_partkey", g.is_uuid(t).alias("valid"))
 
 
 @query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS DOUBLE) AS x FROM orders WHERE try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS DOUBLE) IS NOT NULL")
@@ -95,8 +82,8 @@ def e01_e02_exif_position(spark, sf_dir):
 def e03_e04_capture_date(spark, sf_dir):
     t = "yyyy:MM:dd HH:mm:ss"
     o = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), "o_orderdate", F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", t)).alias("original"), F.date_format(F.col("o_orderdate") + F.expr("interval 1 day"), t).alias("ifd0"))
-    day = F.translate(F.split(F.coalesce("original", "ifd0"), " ")[0], ":", "/")
-    return o.select("image", day.alias("day"), F.date_format("o_orderdate", "MM-dd-yyyy").alias("file_day"), F.date_format("o_orderdate", "HH:mm:ss").alias("file_time"))
+    day, time = g.file_stamp(F.col("o_orderdate"))
+    return o.select("image", g.capture_date(F.col("original"), F.col("ifd0")).alias("day"), day.alias("file_day"), time.alias("file_time"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
@@ -106,7 +93,7 @@ def d01_utc_text(spark, sf_dir):
 
 @query("SELECT event_id, ts - to_seconds(3600 + (event_id % 10) * 900) AS utc FROM events")
 def d02_utc_by_offset(spark, sf_dir):
-    return d.table(spark, sf_dir, "events").select("event_id", (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (3600 + F.col("event_id") % 10 * 900).cast("decimal(18,6)"))).alias("utc"))
+    return d.table(spark, sf_dir, "events").select("event_id", g.utc_by_offset(F.col("ts"), F.lit(3600), F.col("event_id") % 10 * 900).alias("utc"))
 
 
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 14 MONTH + INTERVAL 3 DAY + INTERVAL 4 HOUR + INTERVAL 5 MINUTE + INTERVAL 6 SECOND AS adjusted FROM orders")
@@ -154,19 +141,10 @@ def n06_last_object(spark, sf_dir):
     """Markup metadata: the last object of the document's list."""
     shape = F.struct(F.lit("circle").alias("title"), F.lit(0).cast("long").alias("number"))
     doc = F.to_json(F.struct(F.array(shape, F.struct(F.col("event_type").alias("title"), (F.col("event_id") % 5).alias("number"))).alias("objects")))
-    e = d.table(spark, sf_dir, "events").select("event_id", F.element_at(F.from_json(doc, "objects array<struct<title: string, number: bigint>>")["objects"], -1).alias("o"))
+    e = d.table(spark, sf_dir, "events").select("event_id", g.last_object(doc, "title: string, number: bigint").alias("o"))
     return e.select("event_id", "o.title", "o.number")
 
 
-@query("SELECT n_regionkey, CASE WHEN count(*) = 1 THEN min(k) WHEN count(DISTINCT k) = 1 THEN 'Multi' || min(k) ELSE 'GeometryCollection' END AS type, count(*) AS parts FROM (SELECT n_regionkey, CASE WHEN n_regionkey < 2 THEN 'Point' WHEN n_nationkey % 2 = 0 THEN 'LineString' ELSE 'Point' END AS k FROM nation) GROUP BY n_regionkey")
-def a10_reduce(spark, sf_dir):
-    """Lowest common type of many geometries."""
-    kind = F.when(F.col("n_regionkey") < 2, "Point").when(F.col("n_nationkey") % 2 == 0, "LineString").otherwise("Point")
-    n = d.table(spark, sf_dir, "nation").select("n_regionkey", kind.alias("k"))
-    one = F.when(F.count("*") == 1, F.min("k")).when(F.count_distinct("k") == 1, F.concat(F.lit("Multi"), F.min("k"))).otherwise("GeometryCollection")
-    return n.groupBy("n_regionkey").agg(one.alias("type"), F.count("*").alias("parts"))
-
-
 @query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_id FROM orders")
 def a12_next_id(spark, sf_dir):
     return c.next_id(d.table(spark, sf_dir, "orders"), "o_orderkey")

@@ -32,9 +32,9 @@ def i03_crop(spark, sf_dir):
 @query("SELECT vec_id AS image, i - 1 AS pos, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i) WHERE i - 1 >= CASE WHEN vec_id % 80 > 63 THEN 0 ELSE vec_id % 80 END AND i - 1 < CASE WHEN vec_id % 80 > 63 THEN 64 ELSE least(64, vec_id % 80 + 16) END")
 def i06_region(spark, sf_dir):
     """Region of interest: an origin out of range is 0, the size the remainder then."""
-    e = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), (F.col("vec_id") % 80).alias("o"), F.posexplode("embedding").alias("pos", "value"))
-    out = F.col("o") > 63
-    return e.where((F.col("pos") >= F.when(out, 0).otherwise(F.col("o"))) & (F.col("pos") < F.when(out, 64).otherwise(F.least(F.lit(64), F.col("o") + 16)))).select("image", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+    e = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("pos", "value"))
+    first, n = g.region(F.lit(64), F.col("image") % 80, F.lit(16))
+    return e.where((F.col("pos") >= first) & (F.col("pos") < first + n)).select("image", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 LEVELS = "lv AS (SELECT image, width, height, k, (width >> k) AS w, (height >> k) AS h FROM images, range(0, 13) t(k)), stop AS (SELECT image, min(k) AS last FROM lv WHERE w <= 129 AND h <= 129 GROUP BY image)"
@@ -94,7 +94,8 @@ def m02_oriented_boxes(spark, sf_dir):
 @query(f"WITH {d.MARKUPS} SELECT image, number, op_no, (x - 10) / 0.5e0 AS px, (y - 20) / 0.5e0 AS py, w / 0.5e0 AS pw FROM markups")
 def m05_canvas_to_image(spark, sf_dir):
     m = d.markup_log(spark, sf_dir)
-    return m.select("image", "number", "op_no", ((F.col("x") - 10) / 0.5).alias("px"), ((F.col("y") - 20) / 0.5).alias("py"), (F.col("w") / 0.5).alias("pw"))
+    px, py = g.to_image(F.col("x"), F.col("y"), F.lit(10), F.lit(20), F.lit(0.5))
+    return m.select("image", "number", "op_no", px.alias("px"), py.alias("py"), (F.col("w") / 0.5).alias("pw"))
 
 
 @query(f"WITH {d.SITES} SELECT site, round(x * cos(radians(30e0)) - y * sin(radians(30e0)), 6) AS rx, round(x * sin(radians(30e0)) + y * cos(radians(30e0)), 6) AS ry, x + 2 AS sx, (x + y) / 2 AS mid FROM sites")
