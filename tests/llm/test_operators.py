@@ -1,6 +1,7 @@
 """Operators against brute force, on small rows with nulls, empty texts, ties and extra columns."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -15,6 +16,10 @@ SF = "/root/testdata/sf0.001"
 BLANK = [(90, None), (91, ""), (92, " \n\t")]
 
 
+#: Two of the patterns in Python's spelling.
+JAVA = {k: pii.PATTERNS[k] for k in ("email", "ip")}
+
+
 def frame(spark, rows, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df = df.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise("a")).withColumn("lang", F.lit(None).cast("string"))
@@ -120,13 +125,13 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     ids = spark.createDataFrame([("ip", f"10.0.{a}.{b}") for a in range(6) for b in range(40)], "kind string, norm string")
-    s = pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.lit(0), "k")
+    s = pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(0), "k")
     assert ids.select(s.alias("s")).distinct().count() == 240
     assert pii.assign(spark, ids, "k").count() == 0
     # short bodies collide: every one gets its own in the end
     few = spark.createDataFrame([("secret", f"{c}{n}") for c in "gh" for n in range(10)], "kind string, norm string")
     again = pii.assign(spark, few, "k")
-    done = few.join(again, ["kind", "norm"], "left").withColumn("s", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.coalesce("attempt", F.lit(0)), "k"))
+    done = few.join(again, ["kind", "norm"], "left").withColumn("s", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.coalesce("attempt", F.lit(0)), "k"))
     assert done.select("s").distinct().count() == 20
 
 
@@ -134,12 +139,50 @@ def test_surrogates_never_run_out(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     full = spark.createDataFrame([("email", f"{a}@{b}.co") for a in letters for b in letters], "kind string, norm string")
     again = pii.assign(spark, full, "k")
-    done = full.join(again, ["kind", "norm"], "left").select("norm", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
+    done = full.join(again, ["kind", "norm"], "left").select("norm", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
     rows = done.collect()
     assert len({r.s for r in rows} - {r.norm for r in rows}) == 676
-    one = spark.createDataFrame([("name", "Anna Smith", a) for a in range(4)], "kind string, norm string, attempt int")
-    got = [r.s for r in one.select("attempt", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(False), F.col("attempt"), "k").alias("s")).orderBy("attempt").collect()]
-    assert [len(x.split()[0]) for x in got] == [9, 11, 13, 15] and [len(x.split()[1]) for x in got] == [9, 11, 13, 15]
+    one = spark.createDataFrame([("surname", "Smith", a) for a in range(4)], "kind string, norm string, attempt int")
+    got = [r.s for r in one.select("attempt", pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt"), "k").alias("s")).orderBy("attempt").collect()]
+    assert [len(x) for x in got] == [9, 11, 13, 15]
+
+
+def test_surrogates_corefer_and_keep_their_type(spark):
+    rows = [
+        (1, "Mr John Smith met Mrs Smith. Later John Smith left John Smithson."), (2, "Mr Smith and Mr JOHN Smith; Mrs John Brown"), (3, "+1 555 123-4567 or +15551234567 or +44 20 7946 0958"),
+        (4, "card 4111 1111 1111 1111 and 5500-0000-0000-0004, 4111111111111111"), (5, "DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819"), *BLANK,
+    ]
+    r = {x.doc_id: x.text for x in pii.replace_entities(frame(spark, rows)).collect()}
+    w = r[1].replace(".", "").split()
+    assert w[1:3] == w[7:9] == [w[1], w[5]] and w[-1] == "Smithson" and "Smith " not in r[1] and w[10] == "John"
+    v = re.split(r"[ ;]+", r[2])
+    assert v[1] == v[5] == w[2] and v[4] == w[1].upper() and v[7] != w[1]
+    digits = [re.sub("[^0-9]", "", p) for p in r[3].split(" or ")]
+    assert digits[0] == digits[1] != "15551234567" and digits[0][0] == "1" and digits[2].startswith("44")
+
+    def luhn(n):
+        return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(n))) % 10 == 0
+
+    cards = [re.sub("[^0-9]", "", c) for c in re.findall("[0-9][0-9 -]{14,}", r[4])]
+    assert len(cards) == 3 and all(map(luhn, cards)) and cards[0] == cards[2] != "4111111111111111" and [c[0] for c in cards] == list("454")
+    ibans = [c.replace(" ", "") for c in r[5].split(" and ")]
+    assert all(int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1 for i in ibans) and [i[:2] for i in ibans] == ["DE", "GB"] and ibans[0] != "DE89370400440532013000"
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Over the documents' own mentions: equal entities are replaced alike, different ones differently, all of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    new = {x.doc_id: x.text for x in pii.replace_entities(docs).collect()}
+    to, back = {}, {}
+    for r in docs.collect():
+        old = r.text or ""
+        for kind in ("email", "ip"):
+            a, b = (re.findall(JAVA[kind], t or "") for t in (old, new[r.doc_id]))
+            assert len(a) == len(b)
+            for x, y in zip(a, b, strict=True):
+                assert to.setdefault((kind, x.lower()), y.lower()) == y.lower() != x.lower()
+                assert back.setdefault((kind, y.lower()), x.lower()) == x.lower()
+    assert len(to) > 5
 
 
 def test_tiling_counts_reordered_passages():
