@@ -187,9 +187,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     Up to ``SMALL_TABLE`` ids are broadcast, so that no text moves; more meet the documents by shuffle.
     """
-    ids = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    name = f"_gone_{uuid.uuid4().hex}"  # a name that no column of the documents has
+    ids = gone.select(F.col(gone.columns[0]).alias(name))
     ids = F.broadcast(ids) if ids.count() <= SMALL_TABLE else ids
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

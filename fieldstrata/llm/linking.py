@@ -96,7 +96,7 @@ def _joined(spark: SparkSession, e: DataFrame, links: DataFrame) -> DataFrame:
     return stored(spark, out.withColumn("c", F.coalesce("comp", "c")).drop("comp", "w"), "joined")
 
 
-def link(spark: SparkSession, members: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def link(spark: SparkSession, members: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame], keyed: bool = False) -> DataFrame:
     """Components of the graph in which two members of a common bucket are linked if ``verify`` keeps the pair.
 
     ``members`` is a stored table (bucket, id, n) from ``crowded``, ``sizes`` has (id, size) of every id; ``verify`` takes pairs
@@ -105,7 +105,8 @@ def link(spark: SparkSession, members: DataFrame, sizes: DataFrame, verify: Call
     are looked at: small ones give the pairs of ids of different components, larger ones go through blocks. There
     ``payload`` adds to rows with an id what ``compare`` reads, and ``compare`` gives links (a, b, ca, cb) between
     rows that ask and rows of the block, one for each two components. First each asks one block, as that settles most,
-    then the rest asks all. The components are those of verifying all pairs of every bucket, but pairs inside one
+    then the rest asks all; with ``keyed`` all are asked at once, and rows have their buckets in a column ``keys``, so
+    that ``compare`` need only look at those that share one. The components are those of verifying all pairs of every bucket, but pairs inside one
     component are not made, and between the steps an id is one row. Returns (id, comp) of ids that have a link.
     """
     heads = members.groupBy("id").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("best"), F.sum("n").alias("met"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
@@ -130,8 +131,8 @@ def link(spark: SparkSession, members: DataFrame, sizes: DataFrame, verify: Call
     large = F.exists("buckets", lambda k: k["n"] > SMALL // 2)  # also remainders at the ends of batches
     if not e.where(large).isEmpty():
         e = _blocks(spark, e, sizes)
-        for whole in (False, True):
-            found = _closing(spark, e, payload, compare, whole)
+        for whole in (True,) if keyed else (False, True):
+            found = _closing(spark, e, payload, compare, whole, keyed)
             if found is None:
                 break
             if not found.isEmpty():
@@ -147,7 +148,7 @@ def _blocks(spark: SparkSession, e: DataFrame, sizes: DataFrame) -> DataFrame:
     return stored(spark, hot_join(spark, e, homes, "centre", "w", "id").withColumn("block", block).drop("blocks", "w"), "blocks")
 
 
-def _closing(spark: SparkSession, e: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame], whole: bool) -> DataFrame | None:
+def _closing(spark: SparkSession, e: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[pd.DataFrame], pd.DataFrame], whole: bool, keyed: bool) -> DataFrame | None:
     """Links (a, b, ca, cb) that join ids of different components, a outside a bucket's largest component; None
     if no larger bucket is open.
 
@@ -173,6 +174,8 @@ def _closing(spark: SparkSession, e: DataFrame, payload: Callable[[DataFrame], D
     dealt = hot_join(spark, asks, asked, "block", "w", "id").select("id", "c", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
     answer = e.join(asked.select("block", "chunks"), "block").select("id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"))
     # dealt by number, as a small table may be much work
+    if keyed:
+        data = data.join(e.select("id", F.transform("buckets", lambda k: k["bucket"]).alias("keys")), "id")
     met = dealt.unionByName(answer).join(data, "id").repartition(max(partitions(spark), 64), "block", "chunk")
     found = met.groupBy("block", "chunk").applyInPandas(compare, "a long, b long, ca long, cb long")
     return stored(spark, found, "closing-links")
