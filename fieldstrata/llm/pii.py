@@ -124,7 +124,11 @@ def surrogate(kind: Column, body: Column, norm: Column, attempt: Column, key: st
     front of an address, after a colon for octets), so that there is a surrogate of its own for every entity
     however many there are.
     """
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
+    entity = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
+    return _once(F.sha2(entity, 512), lambda digest: _spelt(kind, body, digest, attempt, lead))
+
+
+def _spelt(kind: Column, body: Column, digest: Column, attempt: Column, lead: Column | None) -> Column:
     octets = F.array_join(F.transform(F.split(body, r"\."), lambda o, i: (F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
     # counted over letters and digits only, so that separators do not shift what follows them
     head = F.when(kind == "email", F.regexp_extract(body, r"\A(.*)\.[^.]*\z", 1)).otherwise(body)
@@ -136,23 +140,31 @@ def surrogate(kind: Column, body: Column, norm: Column, attempt: Column, key: st
         return F.struct(F.concat(acc["s"], F.when(counts, _character(hexadecimal, c, _number(digest, acc["k"]))).otherwise(c)).alias("s"), (acc["k"] + counts.cast("int")).alias("k"))
 
     spelt = F.aggregate(F.split(head, ""), start, step, lambda acc: acc["s"])
-    checked = F.transform(F.array(spelt), lambda t: F.when(kind == "card", _card(t, body)).when(kind == "iban", _iban(t, F.lit("") if lead is None else lead)).otherwise(t))[0]
+    checked = _once(spelt, lambda t: F.when(kind == "card", _card(t, body)).when(kind == "iban", _iban(t, F.lit("") if lead is None else lead)).otherwise(t))
     tail = F.when(kind == "email", F.regexp_extract(body, r"\.[^.]*\z", 0)).otherwise("")
     more = F.translate(F.substr(digest, F.lit(65), F.least(F.greatest(attempt - KEEPS_FORMAT, F.lit(0)), F.lit(64))), "abcdef", "123456")
     made = F.when(kind == "ip", F.concat(octets, F.when(more != "", F.concat(F.lit(":"), more)).otherwise("")))
     return made.when(kind.isin(*NAMES), _name_word(body, digest, kind, attempt)).when(kind == "email", F.concat(more, spelt, tail)).otherwise(F.concat(checked, more))
 
 
+def _once(value: Column, of) -> Column:
+    """``of`` the value, computed once however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _mention(m: Column) -> Column:
     """(mention, kind, lead, body, entities) of a mention: one entity (kind, body, norm), or one for each word of a name."""
-    kind = kind_of(m)
-    lead = lead_of(kind, m)
-    body = F.substr(m, F.length(lead) + 1)
-    given = F.when(m.rlike(rf"\A(?:{FEMALE})\b"), "given-f").otherwise("given-m")
     one = lambda k, b: F.struct(k.alias("kind"), b.alias("body"), norm_of(k, b).alias("norm"))
-    words = F.split(body, " ")
-    entities = F.when(kind == "name", F.transform(words, lambda w, i: one(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(given), w))).otherwise(F.array(one(kind, body)))
-    return F.struct(m.alias("m"), kind.alias("kind"), lead.alias("lead"), body.alias("body"), entities.alias("entities"))
+
+    def named(words: Column) -> Column:
+        given = F.when(m.rlike(rf"\A(?:{FEMALE})\b"), "given-f").otherwise("given-m")
+        return F.transform(words, lambda w, i: _once(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(given), lambda k: one(k, w)))
+
+    def told(kind: Column, lead: Column, body: Column) -> Column:
+        entities = F.when(kind == "name", _once(F.split(body, " "), named)).otherwise(F.array(one(kind, body)))
+        return F.struct(m.alias("m"), kind.alias("kind"), lead.alias("lead"), body.alias("body"), entities.alias("entities"))
+
+    return _once(kind_of(m), lambda kind: _once(lead_of(kind, m), lambda lead: _once(F.substr(m, F.length(lead) + 1), lambda body: told(kind, lead, body))))
 
 
 def _entity(e: Column) -> Column:
