@@ -110,7 +110,7 @@ def j14_same_geohash_cell(spark, sf_dir):
     return g.groupBy("code").agg(F.count("*").alias("uploads")).select("uploads", F.expr("uploads * (uploads - 1) div 2").alias("pairs"))
 
 
-@query(f"WITH {d.SITES}, g AS (SELECT site, greatest(ceil((x + 180) / 360 * 32768) - 1, 0) AS cx, greatest(ceil((y + 90) / 180 * 32768) - 1, 0) AS cy FROM sites) SELECT a.site AS left, b.site AS right FROM g a JOIN g b ON a.cx // 32 = b.cx // 32 AND a.cy // 32 = b.cy // 32 AND a.site < b.site")
+@query(f"WITH {d.SITES}, g AS (SELECT site, greatest(ceil((x + 180) / 360 * 32768) - 1, 0)::BIGINT AS cx, greatest(ceil((y + 90) / 180 * 32768) - 1, 0)::BIGINT AS cy FROM sites) SELECT a.site AS left, b.site AS right FROM g a JOIN g b ON a.cx // 32 = b.cx // 32 AND a.cy // 32 = b.cy // 32 AND a.site < b.site")
 def j14_pairs_in_cell(spark, sf_dir):
     """Pairs of sites whose geohashes share their first four letters."""
     g = d.sites(spark, sf_dir).select("site", F.substring(geo.geohash(F.col("x"), F.col("y"), 6), 1, 4).alias("code"))
