@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontam, licenses, lines, mixing, neardup, pii, quality, tokens, toxicity
+from . import archives, decontam, licenses, lines, mixing, neardup, pii, quality, runs, spelling, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         neardup.op8_near_duplicates,
         toxicity.op9_toxicity,
         quality.op10_quality_rules,
+        runs.op11_periodic_runs,
+        spelling.op12_spelling_variants,
     )
 }
 
