@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, decontam, licenses, lines, mixing, neardup, pii, quality, runs, spelling, tokens, toxicity
+from . import archives, decontam, licenses, lines, mixing, neardup, pii, quality, runs, spelling, styletree, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         quality.op10_quality_rules,
         runs.op11_periodic_runs,
         spelling.op12_spelling_variants,
+        styletree.op13_html_main_text,
     )
 }
 
