@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, great_circle
 from ..functions.geometry import bounds
+from ..sources.store import stored
 from .measures import segments
 
 
@@ -58,6 +59,53 @@ def box_pairs(shapes: DataFrame, size: float) -> DataFrame:
     return pairs.join(shapes.select("id", "g"), "id").join(other, "id_").select("id", "g", "id_", "g_")
 
 
+def met_boxes(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """Pairs (id, g, id_, g_) of a geometry (id, g) of ``a`` and one of ``b`` whose bounds meet, found as in ``box_pairs``."""
+
+    def dealt(df: DataFrame, mark: str) -> DataFrame:
+        d = df.select(F.col("id").alias(f"id{mark}"), bounds(F.col("g")).alias(f"b{mark}")).where(f"b{mark} is not null")
+        return d.withColumn("k", F.explode(box_cells(*[F.col(f"b{mark}.{c}") for c in ("minx", "miny", "maxx", "maxy")], size)))
+
+    j = dealt(a, "").join(dealt(b, "_"), "k").where("b.minx <= b_.maxx and b_.minx <= b.maxx and b.miny <= b_.maxy and b_.miny <= b.maxy")
+    own = (F.col("k.cx") == cell(F.greatest("b.minx", "b_.minx"), size)) & (F.col("k.cy") == cell(F.greatest("b.miny", "b_.miny"), size))
+    other = b.select(F.col("id").alias("id_"), F.col("g").alias("g_"))
+    return j.where(own).select("id", "id_").join(a.select("id", "g"), "id").join(other, "id_").select("id", "g", "id_", "g_")
+
+
+def meetings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """Where segments of two sets (geom, k, x, y, x2, y2) meet: (left, k, right, k_, status, px, py).
+
+    Both sets are dealt to the cells along their segments; a pair is reported in the one cell that holds its point. Status is
+    Intersection with the point (ends count), or Coincident for segments on one line that overlap, with the
+    first place they share. Segments without length meet nothing.
+    """
+    one, two = (df.where("x != x2 or y != y2").withColumn("cell", F.explode(line_cells(size))) for df in (a, b))
+    one = one.select("cell", F.col("geom").alias("left"), "k", "x", "y", "x2", "y2")
+    two = two.select("cell", F.col("geom").alias("right"), F.col("k").alias("k_"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
+    det, ta, tb = "((v2 - v) * (x2 - x) - (u2 - u) * (y2 - y))", "((u2 - u) * (y - v) - (v2 - v) * (x - u))", "((x2 - x) * (y - v) - (y2 - y) * (x - u))"
+    first, second = ("x", "y", "x2", "y2"), ("u", "v", "u2", "v2")
+    named = [F.struct(*[F.col(c).alias(n) for c, n in zip(p, ("x", "y", "x2", "y2"), strict=True)]) for p in (first, second)]
+    lo = [F.least(F.struct(s["x"].alias("x"), s["y"].alias("y")), F.struct(s["x2"].alias("x"), s["y2"].alias("y"))) for s in named]
+    hi = [F.greatest(F.struct(s["x"].alias("x"), s["y"].alias("y")), F.struct(s["x2"].alias("x"), s["y2"].alias("y"))) for s in named]
+    j = one.join(two, "cell").withColumn("t", F.expr(f"try_divide({ta}, {det})")).withColumn("s", F.expr(f"try_divide({tb}, {det})"))
+    shared = F.greatest(*lo)
+    flat = F.expr(f"{det} = 0 and {ta} = 0") & (shared <= F.least(*hi))
+    hit = F.expr("t between 0 and 1 and s between 0 and 1")
+    j = j.withColumn("p", F.when(hit, F.struct((F.col("x") + F.col("t") * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + F.col("t") * (F.col("y2") - F.col("y"))).alias("y"))).when(flat, shared))
+    j = j.where((cell(F.col("p.x"), size) == F.col("cell.cx")) & (cell(F.col("p.y"), size) == F.col("cell.cy")))
+    return j.select("left", "k", "right", "k_", F.when(hit, "Intersection").otherwise("Coincident").alias("status"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
+def meeting_shapes(m: DataFrame) -> DataFrame:
+    """(left, right, status, points) of pairs of geometries by the ``meetings`` of their segments.
+
+    The distinct points in order; Intersection if there are any, Coincident if segments only lie on each other.
+    """
+    point = F.when(F.col("status") == "Intersection", F.struct((F.round("px", 9) + 0.0).alias("x"), (F.round("py", 9) + 0.0).alias("y")))
+    d = m.groupBy("left", "right").agg(F.array_sort(F.collect_set(point)).alias("points"))
+    return d.select("left", "right", F.when(F.size("points") > 0, "Intersection").otherwise("Coincident").alias("status"), "points")
+
+
 def on_sphere(x: Column, y: Column) -> list[Column]:
     """Coordinates on the unit sphere of a longitude and a latitude."""
     a, b = F.radians(x), F.radians(y)
@@ -87,6 +135,109 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return b.select("left", "b.right", "b.metres")
 
 
+#: Cells for the first round hold no more places than this, unless places coincide.
+CROWD = 64
+
+
+def _rounds(a: DataFrame, b: DataFrame, coords: list[str], by: list[str], metres: Column, reach, widest: float, k: int) -> DataFrame:
+    """Of each place of ``a`` (by..., p, coords) the ``k`` nearest rows of ``b`` (by..., q, id, coords): (by..., p, id, metres).
+
+    Round by round cells are four times as wide. A place whose k-th neighbour is no farther than ``reach`` of the cell's size
+    has them all in the cells around its own and is settled; only the others go on, to ``widest`` at most. Of a crowded
+    surrounding only those quarters of cells are looked into that can hold one of the k: by the counts of
+    the nearest quarters there is a distance within which k rows are sure to be.
+    """
+    spark = a.sparkSession
+    least, most = (b.agg(*[f(c) for c in coords]).first() for f in (F.min, F.max))
+    extent = max((y - x for x, y in zip(least, most, strict=True) if x is not None), default=0.0)
+    size = max(extent, widest * 1e-9)
+    crowd = None
+    while True:  # cells that hold few places each
+        full = b.groupBy(*by, *[cell(F.col(c), size).alias(c) for c in coords]).count().agg(F.max("count")).first()[0] or 0
+        if full <= CROWD or size <= widest * 1e-9 or (crowd is not None and full == crowd[0] and crowd[1] >= 4):
+            break
+        crowd = (full, crowd[1] + 1 if crowd and crowd[0] == full else 0)
+        size /= 2
+    steps = F.array(*[F.struct(*[F.lit(i // 3**n % 3 - 1).alias(c) for n, c in enumerate(coords)]) for i in range(3 ** len(coords))])
+    open_, done = a, []
+    nearest_first = Window.partitionBy(*by, "p").orderBy(F.round("metres", 6), "id")
+    by_reach = Window.partitionBy(*by, "p").orderBy("away", *[f"s_{c}" for c in coords])
+    while True:
+        part = size / 4
+        own = [cell(F.col(c), size).alias(f"c_{c}") for c in coords]
+        left = open_.select(*by, "p", *coords, *own, F.explode(steps).alias("s"))
+        left = left.select(*by, "p", *coords, *[(F.col(f"c_{c}") + F.col(f"s.{c}")).alias(f"c_{c}") for c in coords])
+        small = b.withColumns({f"s_{c}": cell(F.col(c), part) for c in coords})
+        parts = small.groupBy(*by, *[f"s_{c}" for c in coords]).agg(F.count("*").alias("n")).withColumns({f"c_{c}": F.floor(F.col(f"s_{c}") / 4) for c in coords})
+        away = F.sqrt(sum(((F.col(c) - (F.col(f"s_{c}") + 0.5) * part) ** 2 for c in coords), F.lit(0.0)))
+        near = left.join(parts, [*by, *[f"c_{c}" for c in coords]]).withColumn("away", away)
+        near = near.withColumn("sure", F.sum("n").over(by_reach.rowsBetween(Window.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sure") >= k, F.col("away"))).over(Window.partitionBy(*by, "p"))
+        # no point of a quarter is farther from its middle than half its diagonal
+        near = near.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("away") <= F.col("bound") + part * math.sqrt(len(coords)) * 1.000001))
+        near = near.select(*by, "p", *[f"s_{c}" for c in coords])
+        found = near.join(small.select(*by, "q", "id", *[f"s_{c}" for c in coords]), [*by, *[f"s_{c}" for c in coords]]).select(*by, "p", "id", metres.alias("metres"))
+        found = found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+        found = stored(spark, found, "near")
+        if size > widest:
+            return _all(done, found)
+        settled = found.where((F.col("rank") == k) & (F.col("metres") <= reach(size))).select(*by, "p")
+        open_ = stored(spark, open_.join(settled, [*by, "p"], "left_anti"), "open")
+        done.append(found.join(settled, [*by, "p"], "left_semi"))
+        if open_.isEmpty():
+            return _all(done[:-1], done[-1])
+        size *= 4
+
+
+def _all(tables: list[DataFrame], last: DataFrame) -> DataFrame:
+    for t in tables:
+        last = last.unionByName(t)
+    return last.drop("rank")
+
+
+def nearest_sites(a: DataFrame, b: DataFrame, k: int = 1, others: bool = False) -> DataFrame:
+    """(left, right, metres, rank) of the ``k`` nearest points of ``b`` to each point of ``a`` on the sphere, however far.
+
+    Both have (site, x, y). Points at equal distance (to a micrometre) rank by site. With ``others`` a point is no neighbour of its own number. Equal
+    places are looked up once; of the points at one place only the first k (or k + 1) can be neighbours. All points of b come
+    where there are no more than k.
+    """
+    n = k + others
+    xyz = lambda p: [c.alias(n) for n, c in zip("ijk", on_sphere(F.col(f"{p}.x"), F.col(f"{p}.y")), strict=True)]
+    places = a.where("x is not null and y is not null").select(F.struct("x", "y").alias("p")).distinct().select("p", *xyz("p"))
+    first = Window.partitionBy("q").orderBy("id")
+    held = b.where("x is not null and y is not null").select(F.struct("x", "y").alias("q"), F.col("site").alias("id"))
+    held = stored(a.sparkSession, held.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).select("q", "id", *xyz("q")), "sites")
+    metres = great_circle(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y"))
+    reach = lambda s: 2 * RADIUS * math.asin(min(s * 0.999999 / 2, 1.0))
+    found = _rounds(places, held, list("ijk"), [], metres, reach, 2.0, n)
+    j = a.select(F.col("site").alias("left"), F.struct("x", "y").alias("p")).join(found, "p").select("left", F.col("id").alias("right"), "metres")
+    if others:
+        j = j.where("left != right")
+    w = Window.partitionBy("left").orderBy(F.round("metres", 6), "right")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hausdorff_distances(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """(left, right, hausdorff) of pairs (left, right) of geometries with vertices (geom, x, y): planar, over the vertices.
+
+    The largest distance from a vertex of either to the nearest one of the other, found by widening cells, so that no
+    geometry's vertices all meet all of the other's.
+    """
+    spark = pairs.sparkSession
+    both = stored(spark, pairs.select("left", "right").unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct(), "pairs")
+    points = v.select("geom", "x", "y").distinct()
+    mine = both.join(points, F.col("left") == F.col("geom")).select("left", "right", F.struct("x", "y").alias("p"), "x", "y")
+    theirs = both.join(points, F.col("right") == F.col("geom")).select("left", "right", F.struct("x", "y").alias("q"), F.lit(0).alias("id"), "x", "y")
+    mine, theirs = stored(spark, mine, "vertices"), stored(spark, theirs, "vertices")
+    low, high = (points.agg(f("x"), f("y")).first() for f in (F.min, F.max))
+    widest = max([y - x for x, y in zip(low, high, strict=True) if x is not None] or [1.0]) or 1.0
+    apart = F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y"))
+    far = _rounds(mine, theirs, ["x", "y"], ["left", "right"], apart, lambda s: s, widest, 1).groupBy("left", "right").agg(F.max("metres").alias("d"))
+    back = far.select(F.col("right").alias("left"), F.col("left").alias("right"), F.col("d").alias("d_"))
+    return pairs.select("left", "right").join(far, ["left", "right"]).join(back, ["left", "right"]).select("left", "right", F.greatest("d", "d_").alias("hausdorff"))
+
+
 def line_cells(size: float) -> Column:
     """Cells along a segment (x, y)-(x2, y2), as an array of struct(cx, cy): of each column of cells the rows it crosses."""
     lo, hi = F.least("x", "x2"), F.greatest("x", "x2")

@@ -26,4 +26,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return QUERIES["track_lengths"](spark, sf_dir)
 
 
-from . import geometry, ingest, joins, media, planning, streams, values  # noqa: E402, F401
+from . import geometry, ingest, joins, media, planning, relations, streams, values  # noqa: E402, F401
