@@ -80,10 +80,15 @@ def object_xml(inner: Column) -> Column:
 
 
 def to_xml(rows: DataFrame, wrapper: str = "image") -> DataFrame:
-    """(doc, xml) of object rows, children inside their parents: one grouping for each level of the deepest tree."""
+    """(doc, xml) of object rows, children inside their parents: one grouping for each level of the deepest tree.
+
+    No rows give no documents.
+    """
     deepest = rows.agg(F.max("depth")).first()[0]
     made, below = None, None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
+    if deepest is None:
+        return rows.select("doc", F.lit(None).cast("string").alias("xml")).limit(0)
+    for depth in range(deepest, -1, -1):
         level = rows.where(F.col("depth") == depth)
         if below is not None:
             level = level.join(below, ["doc", "path"], "left")

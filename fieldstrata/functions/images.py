@@ -240,6 +240,19 @@ def region(size: Column, origin: Column, extent: Column) -> tuple[Column, Column
     return F.when(bad, 0).otherwise(origin), F.when(bad, size).otherwise(F.least(size - origin, extent))
 
 
+def volume_region(sizes: list[Column], origin: list[Column], extent: list[Column]) -> list[tuple[Column, Column]]:
+    """(first, number) of a region of interest along x, y and z of a stack.
+
+    An origin outside is 0; no extent along x or y is the whole side; what would reach beyond the far side is cut off there.
+    """
+    out = []
+    for axis, (n, o, e) in enumerate(zip(sizes, origin, extent, strict=True)):
+        first = F.when((o < 0) | (o >= n), 0).otherwise(o)
+        wanted = F.when(e <= 0, n).otherwise(e) if axis < 2 else e
+        out.append((first, F.least(wanted, n - first)))
+    return out
+
+
 def thumbnail_name(file: Column, size: Column) -> Column:
     """File name of a thumbnail: what is before the image's first dot, and the size's name."""
     return F.concat(F.substring_index(file, ".", 1), F.lit("_"), size, F.lit(".jpg"))

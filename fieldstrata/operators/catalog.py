@@ -57,7 +57,27 @@ def capture_names(images: DataFrame, taken: str, key: str) -> DataFrame:
     return j.withColumn("name", F.concat(F.col("stem"), F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(""))).drop("stem", "_n")
 
 
-def natural_key(name: Column) -> Column:
-    """Sort key in which runs of digits count as numbers."""
+def natural_blocks(name: Column) -> Column:
+    """Runs of digits and of other characters of a name, as sort keys: numbers by size, whatever their length, before text."""
     runs = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r))
+    number = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    key = lambda kind, size, text: F.struct(F.lit(kind).alias("kind"), size.cast("int").alias("size"), text.alias("text"))
+    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), key(0, F.length(number(r)), number(r))).otherwise(key(1, F.lit(0), F.trim(r))))
+
+
+def natural_key(name: Column, blocks: Column | None = None) -> Column:
+    """Sort key of a name by its blocks from the last of the first ``blocks`` ones (all without) back to the first."""
+    made = natural_blocks(name)
+    return F.reverse(made if blocks is None else F.slice(made, F.lit(1), blocks))
+
+
+def stack_order(files: DataFrame, directory: str, name: str, planes: int) -> DataFrame:
+    """Adds (z, t) of the files of each directory, ``planes`` planes to a time, by the natural order of names.
+
+    Only as many blocks count as the shortest name of the directory has; of these the last decides first. Equal
+    keys go by the name itself.
+    """
+    least = files.groupBy(F.col(directory).alias("_dir")).agg(F.min(F.size(natural_blocks(F.col(name)))).alias("_least"))
+    j = files.join(least, F.col(directory).eqNullSafe(F.col("_dir"))).withColumn("_key", natural_key(F.col(name), F.col("_least")))
+    k = F.row_number().over(Window.partitionBy(directory).orderBy("_key", name)) - 1
+    return j.withColumn("_k", k).withColumn("z", (F.col("_k") % planes).cast("long")).withColumn("t", F.floor(F.col("_k") / planes)).drop("_dir", "_least", "_key", "_k")

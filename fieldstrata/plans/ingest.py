@@ -184,6 +184,20 @@ def w10_stack_assembly(spark, sf_dir):
     return f.select("p_partkey", k.alias("k")).select("p_partkey", (F.col("k") % 4).cast("long").alias("z"), F.floor(F.col("k") / 4).alias("t"))
 
 
+@query(
+    "WITH f AS (SELECT p_partkey, p_partkey % 7 AS dir, p_size AS a, p_partkey // 7 % 300 AS b, p_partkey AS c FROM part) "
+    "SELECT p_partkey, (k % 5)::BIGINT AS z, k // 5 AS t FROM (SELECT p_partkey, row_number() OVER (PARTITION BY dir ORDER BY CASE WHEN dir < 5 THEN c END, b, a, c) - 1 AS k FROM f)"
+)
+def w10_two_block_names(spark, sf_dir):
+    """Names of several numbers: the last one that all files of a directory have decides first; leading zeros do not count."""
+    k, dir_ = F.col("p_partkey"), F.col("p_partkey") % 7
+    short = F.concat(F.lit("s"), F.col("p_size").cast("string"), F.lit("_t"), F.floor(k / 7 % 300).cast("string"))
+    name = F.when(dir_ < 5, F.concat(short, F.lit("_n"), F.lpad(k.cast("string"), 30, "0"))).otherwise(short)
+    # from directory 5 on the names that end at the second number are not distinct without their key, which is no common block
+    name = F.when((dir_ >= 5) & (k > 13), F.concat(name, F.lit("_n"), F.lpad(k.cast("string"), 12, "0"))).otherwise(name)
+    return c.stack_order(d.table(spark, sf_dir, "part").select("p_partkey", dir_.alias("dir"), name.alias("name")), "dir", "name", 5).select("p_partkey", "z", "t")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 1")
 def t01_newest(spark, sf_dir):
     return d.table(spark, sf_dir, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(1)

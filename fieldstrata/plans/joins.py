@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import catalog as c
 from ..operators import spatial as s
+from ..operators import zones
 from ..sources import datasets as d
 from .registry import query
 
@@ -32,6 +33,29 @@ def j03_credits(spark, sf_dir):
     return bridge.where("kind = 0").join(su.select("s_suppkey", "s_name"), "s_suppkey").select(F.col("c_custkey").alias("upload"), F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"))
 
 
+@query("SELECT o_orderkey AS image, l_suppkey AS person, s_name AS name, count(*) AS times FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber % 3 = 1 GROUP BY ALL")
+def j03_bridge_credits(spark, sf_dir):
+    """People credited on images through a stored bridge table of (image, person, kind), those of kind 1."""
+    bridge = d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_linenumber") % 3).alias("kind")).where("kind = 1")
+    times = bridge.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("times"))
+    people = d.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = times.join(d.table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(people, F.col("s_suppkey") == F.col("l_suppkey"))
+    return j.select(F.col("o_orderkey").alias("image"), F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), "times")
+
+
+_LOCAL = "o_orderdate::TIMESTAMP + to_minutes((o_orderkey * 37 % 1440)::BIGINT)"
+_ZONED = f"z(zone, rank, west, south, east, north) AS (VALUES {', '.join(str(z) for z in zones.ZONES)}), o AS (SELECT o_orderkey AS image, lon, lat, {_LOCAL} AS t FROM orders JOIN springs ON upload = o_custkey)"
+
+
+@query(f"WITH {d.SPRINGS}, {_ZONED}, b AS (SELECT image, any_value(t) AS t, arg_min(zone, rank) AS zone FROM o JOIN z ON lon >= west AND lon < east AND lat >= south AND lat < north GROUP BY image) SELECT image, zone, timezone('UTC', timezone(zone, t)) AS utc FROM b")
+def j07_zone_by_place_and_time(spark, sf_dir):
+    """The zone of the place where an image was taken, and its local time as UTC, with summer time."""
+    t = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") * 37 % 1440).cast("int"))
+    o = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("upload"), t.alias("local"))
+    o = o.join(d.springs(spark, sf_dir).select("upload", "lon", "lat"), "upload")
+    return zones.with_utc(zones.with_zone(o, "image", zones.zone_boxes(spark)), "local").select("image", "zone", "utc")
+
+
 @query("SELECT c_custkey AS upload, CASE WHEN c_custkey % 10 = 0 THEN 'NA' ELSE n_name END AS type_label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 7 <> 0 AND c_custkey % 10 <> 0")
 def j04_coded_values(spark, sf_dir):
     code = F.when(F.col("c_custkey") % 10 == 0, "NA").when(F.col("c_custkey") % 7 == 0, "unknown").otherwise(F.col("c_nationkey").cast("string"))
@@ -103,11 +127,13 @@ def j13_position_on_track(spark, sf_dir):
     return s.position_at(d.track_points(spark, sf_dir), v)
 
 
-@query(f"WITH {d.SPRINGS}, g AS (SELECT greatest(ceil((lon + 180) / 360 * 256) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 128) - 1, 0) AS cy FROM springs) SELECT count(*) AS uploads, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM g GROUP BY cx, cy")
+@query(f"WITH {d.SPRINGS}, g AS (SELECT greatest(ceil((lon + 180) / 360 * 256) - 1, 0) AS cx, greatest(ceil((lat + 90) / 180 * 128) - 1, 0) AS cy FROM springs) SELECT cx * 360 / 256e0 - 180 AS west, cy * 180 / 128e0 - 90 AS south, count(*) AS uploads, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM g GROUP BY cx, cy")
 def j14_same_geohash_cell(spark, sf_dir):
     """Uploads and their pairs in each cell, counted without making the pairs."""
     g = d.springs(spark, sf_dir).select(geo.geohash(F.col("lon"), F.col("lat"), 3).alias("code"))
-    return g.groupBy("code").agg(F.count("*").alias("uploads")).select("uploads", F.expr("uploads * (uploads - 1) div 2").alias("pairs"))
+    n = g.groupBy("code").agg(F.count("*").alias("uploads"))
+    corner = geo.geohash_bounds(F.col("code"))
+    return n.select(corner["x0"].alias("west"), corner["y0"].alias("south"), "uploads", F.expr("uploads * (uploads - 1) div 2").alias("pairs"))
 
 
 @query(f"WITH {d.SITES}, g AS (SELECT site, greatest(ceil((x + 180) / 360 * 32768) - 1, 0)::BIGINT AS cx, greatest(ceil((y + 90) / 180 * 32768) - 1, 0)::BIGINT AS cy FROM sites) SELECT a.site AS left, b.site AS right FROM g a JOIN g b ON a.cx // 32 = b.cx // 32 AND a.cy // 32 = b.cy // 32 AND a.site < b.site")

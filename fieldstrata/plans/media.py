@@ -230,6 +230,13 @@ def s18_upload_manifest(spark, sf_dir):
     return m.select("upload", "name", "type", "size")
 
 
+@query("SELECT (p_partkey % 200)::VARCHAR AS upload, 'f' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '.gpx' ELSE '.jpg' END AS name, CASE WHEN p_partkey % 4 = 0 THEN 'track' ELSE 'photo' END AS type, (length(p_name) + 1)::BIGINT AS size FROM part")
+def s18_all_uploads(spark, sf_dir):
+    """Files of all uploads as they lie in their folders: type by extension, size, an id from upload and name."""
+    m = stores.manifest(spark, stores.sample_uploads(spark, d.table(spark, sf_dir, "part"), every=1))
+    return m.select("upload", "name", "type", "size")
+
+
 @query(f"WITH {d.MARKUPS} SELECT image::VARCHAR AS image, number, op_no, op FROM (SELECT *, row_number() OVER (PARTITION BY image, number ORDER BY op_no DESC) AS k FROM markups) WHERE k = 1 AND op <> 'delete'")
 def s19_markup_store(spark, sf_dir):
     """Current markups written as JSON documents by upload, and read again."""

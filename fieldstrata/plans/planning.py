@@ -37,6 +37,22 @@ def i06_region(spark, sf_dir):
     return e.where((F.col("pos") >= first) & (F.col("pos") < first + n)).select("image", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
+@query(
+    "WITH e AS (SELECT vec_id AS image, label, unnest(embedding)::DOUBLE AS value, unnest(range(0, 64)) AS pos FROM embeddings), "
+    "r AS (SELECT image, pos % 4 AS x, pos // 4 % 4 AS y, pos // 16 AS z, value, CASE WHEN image % 6 < 4 THEN image % 6 ELSE 0 END AS ox, CASE WHEN image % 5 < 4 THEN image % 5 ELSE 0 END AS oy, CASE WHEN label % 5 < 4 THEN label % 5 ELSE 0 END AS oz, CASE WHEN image % 3 = 0 THEN 4 ELSE image % 3 END AS w, 2 AS h, 3 AS n FROM e) "
+    "SELECT image, x, y, z, value FROM r WHERE x >= ox AND x < ox + w AND y >= oy AND y < oy + h AND z >= oz AND z < oz + n"
+)
+def i06_volume_region(spark, sf_dir):
+    """A region in x, y and z of every image taken as a stack of four planes of 4 by 4."""
+    e = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), "label", F.posexplode("embedding").alias("pos", "value"))
+    at = [F.col("pos") % 4, F.floor(F.col("pos") / 4) % 4, F.floor(F.col("pos") / 16)]
+    i = F.col("image")
+    found = g.volume_region([F.lit(4)] * 3, [i % 6, i % 5, F.col("label") % 5], [i % 3, F.lit(2), F.lit(3)])
+    for p, (first, n) in zip(at, found, strict=True):
+        e = e.where((p >= first) & (p < first + n))
+    return e.select("image", *[p.cast("long").alias(a) for p, a in zip(at, "xyz", strict=True)], F.col("value").cast("double").alias("value"))
+
+
 LEVELS = "lv AS (SELECT image, width, height, k, (width >> k) AS w, (height >> k) AS h FROM images, range(0, 13) t(k)), stop AS (SELECT image, min(k) AS last FROM lv WHERE w <= 129 AND h <= 129 GROUP BY image)"
 
 

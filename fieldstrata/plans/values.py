@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources import adapters as a
 from ..sources import datasets as d
+from ..operators.values import equality_classes
 from .registry import query
 
 TEXTS = f"WITH {d.SHAPES} SELECT id, t FROM shapes"
@@ -186,6 +187,17 @@ def x03_equal_geometries(spark, sf_dir):
     return p.join(q, "k").where(g.same_vertices(F.col("g"), F.col("g_"))).groupBy(F.col("id").alias("first")).agg(F.count("*").alias("equal"))
 
 
+@query(f"WITH {d.SHAPES}, p AS (SELECT id, id % 1000 AS x, id * 7 % 160 AS y FROM shapes WHERE id % 7 = 2) SELECT id, min(id) OVER w AS class, count(*) OVER w AS size FROM p WINDOW w AS (PARTITION BY x, y)")
+def x03_equality_classes(spark, sf_dir):
+    """Of each polygon the class of those with the same vertices: met by hash, each held against one of the class, no pairs."""
+    texts = [d.SHAPE_TEXTS[2], "POLYGON ((@6,0, @6,6, @0,6, @0,0, @0,0), (@1,1, @2,1, @2,2, @1,1))", "POLYGON ((@0,0, @0,6, @6,6, @6,0, @0,0), (@1,1, @2,2, @2,1, @1,1))"]
+    t = F.lit(None).cast("string")
+    for i, x in enumerate(texts):
+        t = F.when(F.col("p_partkey") % 3 == i, d.filled(x, "p_partkey")).otherwise(t)
+    p = d.table(spark, sf_dir, "part").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
+    return equality_classes(p)
+
+
 @query("SELECT c_custkey AS upload, round(sqrt(greatest(pow((c_custkey % 5), 2) + 9, pow(5 - c_custkey % 5, 2) + 9)), 6) AS hausdorff FROM customer")
 def a20_hausdorff(spark, sf_dir):
     k = F.col("c_custkey") % 5

@@ -7,6 +7,7 @@ give the lowest common type of all of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -269,8 +270,8 @@ def _georss_geometry(plain: Column) -> Column:
         return F.transform(pairs, lambda s: g.vertex(s["u"].try_cast("double"), s["t"].try_cast("double")))
 
     def corners(v: Column) -> Column:
-        a, b = v[0], v[1]
-        return F.array(a, g.vertex(b["x"], a["y"]), b, g.vertex(a["x"], b["y"]), a)
+        a, b = F.get(v, F.lit(0)), F.get(v, F.lit(1))  # a box without two pairs has corners without coordinates, so no geometry is made
+        return F.array(*[g.vertex(p["x"], q["y"]) for p, q in ((a, a), (b, a), (b, b), (a, b), (a, a))])
 
     some = lambda found: F.filter(found, lambda p: F.size(p["rings"][0]) > 0)
     points = F.transform(_elements(plain, "point"), lambda e: g.part("Point", F.array(F.slice(flat(e), 1, 1))))
@@ -344,9 +345,19 @@ FORMATS: dict[str, tuple[Reader | None, Writer | None]] = {}
 BINARY = {"wkb": (False, False), "ewkb": (True, False), "wkb_hex": (False, True), "ewkb_hex": (True, True)}
 
 
-def register(name: str, read: Reader | None, write: Writer | None) -> None:
-    """Adds a format, or puts another reader or writer in the place of one: functions of a column."""
+#: Tests by which ``convert`` knows the texts of formats that were registered with one.
+LOOKS: dict[str, Reader] = {}
+
+
+def register(name: str, read: Reader | None, write: Writer | None, looks: Reader | None = None) -> None:
+    """Adds a format, or puts another reader or writer in the place of one: functions of a column.
+
+    ``looks`` tells of a text whether it is of this format, so that ``convert`` finds it where no format is named.
+    """
     FORMATS[name] = (read, write)
+    LOOKS.pop(name, None)
+    if looks is not None:
+        LOOKS[name] = looks
 
 
 register("wkt", read_ewkt, write_wkt)
@@ -399,8 +410,13 @@ def convert(rows: DataFrame, column: str, source: str | None, target: str) -> Da
     """``rows`` with the column in another format; ``source`` None takes each row's format by its looks."""
     if source is not None:
         return out(load(rows, column, source), column, target)
-    kind, text, geom = detect(F.col(column)), F.col(column), F.lit(None).cast(g.GEOMETRY)
-    for k in ("geojson", "gpx", "kml", "georss", "ewkt", "wkt", "geohash"):
-        geom = F.when(kind == k, FORMATS[k][0](F.when(kind == k, text))).otherwise(geom)
-    both = wkb_to_geometry(rows.withColumn("_wkb", F.when(kind == "wkb_hex", F.unhex(text))), "_wkb")
-    return out(both.withColumn(column, F.coalesce("_wkb", geom)).drop("_wkb"), column, target)
+    text, kind, wkb = F.col(column), f"_kind_{uuid.uuid4().hex}", f"_wkb_{uuid.uuid4().hex}"
+    told = detect(text)
+    for k, test in LOOKS.items():  # formats of the user come before those known by their looks
+        told = F.when(test(text), k).otherwise(told)
+    rows, geom = rows.withColumn(kind, told), F.lit(None).cast(g.GEOMETRY)
+    for k, (read, _) in FORMATS.items():
+        if read is not None:
+            geom = F.when(F.col(kind) == k, read(F.when(F.col(kind) == k, text))).otherwise(geom)
+    both = wkb_to_geometry(rows.withColumn(wkb, F.when(F.col(kind) == "wkb_hex", F.unhex(text))), wkb)
+    return out(both.withColumn(column, F.coalesce(wkb, geom)).drop(wkb, kind), column, target)

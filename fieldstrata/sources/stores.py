@@ -27,10 +27,10 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("upload", "name", file_type(F.col("name")).alias("type"), "size", name_uuid(FILES, F.concat_ws("/", "upload", "name")).alias("id"), "modified")
 
 
-def sample_uploads(spark: SparkSession, parts: DataFrame) -> str:
-    """Small files in folders by upload, one for every tenth part: a folder to read a manifest from."""
+def sample_uploads(spark: SparkSession, parts: DataFrame, every: int = 10) -> str:
+    """Small files in folders by upload, one for every tenth (or every) part: a folder to read a manifest from."""
     home = shared_path(spark, "uploads")
-    p = parts.where("p_partkey % 10 = 3").select((F.col("p_partkey") % 200).cast("string").alias("upload"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, ".gpx").otherwise(".jpg")).alias("name"), F.concat("p_name", F.lit("\n")).alias("body"))
+    p = (parts.where("p_partkey % 10 = 3") if every > 1 else parts).select((F.col("p_partkey") % 200).cast("string").alias("upload"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, ".gpx").otherwise(".jpg")).alias("name"), F.concat("p_name", F.lit("\n")).alias("body"))
 
     def run(batches):
         import os
