@@ -24,17 +24,28 @@ def r02_refused_operations(spark, sf_dir):
     return st.apply_operations(None, d.markup_log(spark, sf_dir), ["image", "number"], "op_no")[1]
 
 
-@query(CURRENT)
-def r02_markup_stream(spark, sf_dir):
-    """The same state from a stream of files, in the order of the operations, several batches long."""
+def _markup_changes(spark, sf_dir):
+    """Changes of a stream of files in the order of the operations, run twice: the second run goes on from the first."""
     home = shared_path(spark, "markups")
     log = d.markup_log(spark, sf_dir)
     for n in range(3):  # operations arrive in turn
-        part = log.where(f"least(op_no, 3) = {n + 1}")
-        part.coalesce(1).write.parquet(f"{home}/in/{n}")
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{home}/in")
-    state, _ = st.markup_stream(spark, source, ["image", "number"], "op_no", f"{home}/out", f"{home}/checkpoint")
-    return spark.read.parquet(state).select("image", "number", "op_no", "op", "x", "y", "w", "h")
+        log.where(f"least(op_no, 3) = {n + 1}").write.parquet(f"{home}/in/{n}")
+        if n:  # a run after the second and after the third arrival
+            source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{home}/in")
+            st.markup_stream(source, ["image", "number"], "op_no", f"{home}/out", f"{home}/checkpoint")
+    return st.changes(spark, log.schema, f"{home}/out")
+
+
+@query(CURRENT)
+def r02_markup_stream(spark, sf_dir):
+    """The same state by keys in the state store, several batches and two runs long."""
+    found = st.current_markups(_markup_changes(spark, sf_dir), ["image", "number"], "op_no")
+    return found.select("image", "number", "op_no", "op", "x", "y", "w", "h")
+
+
+@query(f"WITH {STANDS} SELECT image, number, op_no, op, x, y, w, h, 'File Missing!' AS message FROM b WHERE NOT ok")
+def r02_refused_in_stream(spark, sf_dir):
+    return st.refused(_markup_changes(spark, sf_dir))
 
 
 @query(f"WITH {d.TRACKS} SELECT track::VARCHAR AS track, seq - 1 AS seq, lon, lat, ele, ts AS time FROM points")
@@ -57,3 +68,29 @@ def r03_duplicate_uploads(spark, sf_dir):
     q = st.once_per_upload(source).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{home}/out").select("upload", "file")
+
+
+@query(
+    "WITH e AS (SELECT event_id AS file, user_id AS upload, event_id % 600 AS s FROM events) SELECT upload, file, s AS at FROM e "
+    "UNION ALL SELECT upload, file, s + 10800 FROM e WHERE file % 7 = 0"
+)
+def r03_late_uploads(spark, sf_dir):
+    """Five batches across the watermark of an hour: copies ten minutes later and three hours later, as long as the first is
+    known, are dropped; after the watermark has passed they count as new; rows older than the watermark are late."""
+    home = shared_path(spark, "late-uploads")
+    e = d.table(spark, sf_dir, "events").select(F.col("user_id").alias("upload"), F.col("event_id").alias("file"), (F.col("event_id") % 600).alias("at"))
+    later = lambda seconds: (F.col("at") + seconds).alias("at")
+    batches = [
+        e,
+        e.where("file % 3 = 0").select("upload", "file", later(600)),
+        e.where("file % 5 = 0").select("upload", "file", later(10800)),
+        e.where("file % 13 = 0").select("upload", "file", later(10800)),
+        e.where("file % 7 = 0").select("upload", "file", later(10800)).unionByName(e.where("file % 11 = 0").select("upload", (-F.col("file") - 1).alias("file"), "at")),
+    ]
+    files = 4
+    for n, b in enumerate(batches):
+        b.withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)).repartition(files).write.parquet(f"{home}/in/{n}")
+    source = spark.readStream.schema(spark.read.parquet(f"{home}/in/0").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{home}/in")
+    q = st.once_per_upload(source).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/out")
+    q.awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("upload", "file", "at")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.catalog import current_versions
 from ..sources.formats import read_gpx
@@ -39,26 +44,73 @@ def apply_operations(state: DataFrame | None, batch: DataFrame, key: list[str],
     return current_versions(log, key, order), b.where(~ok).select(*batch.columns).withColumn("message", F.lit("File Missing!"))
 
 
-def markup_stream(spark: SparkSession, operations: DataFrame, key: list[str], order: str, folder: str, checkpoint: str) -> tuple[str, str]:
-    """Runs a stream of operations to its present end; returns the paths of the latest state and of all refusals.
+def _keyed(columns: list[str], order: str):
+    """What a batch does to one key: all refused operations, and of the accepted ones the last; the state is whether the key stands."""
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        stands, last, told = state.exists, None, [None] * len(rows)
+        keep = [False] * len(rows)
+        for i, op in enumerate(rows["op"]):
+            if op == "insert" or stands:
+                stands, last = op != "delete", i
+            else:
+                told[i], keep[i] = "File Missing!", True
+        if last is not None:
+            keep[last] = True
+        if stands:
+            state.update((True,))
+        elif state.exists:
+            state.remove()
+        yield rows.assign(message=pd.Series(told, index=rows.index, dtype=object))[[*columns, "message"]][keep]
+
+    return step
+
 
-    Every batch writes a state of its own, so a batch that is run again after a failure begins from the one before.
+def keyed_changes(operations: DataFrame, key: list[str], order: str) -> DataFrame:
+    """A stream of operations as a stream of changes: of each batch the last accepted operation of a key, and all refused
+    ones with a message. The state store keeps the keys that stand, no documents; a batch touches only its own keys."""
+    schema = StructType([*operations.schema.fields, StructField("message", StringType())])
+    return operations.groupBy(*key).applyInPandasWithState(_keyed(operations.columns, order), schema, "stands boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def markup_stream(operations: DataFrame, key: list[str], order: str, folder: str, checkpoint: str) -> None:
+    """Runs a stream of operations to its present end; ``changes`` has what all runs into ``folder`` have changed.
+
+    Every batch writes its own changes under its number, so a batch that is run again after a failure writes the same
+    place; a run without new files writes nothing.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    there = lambda p: fs_path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path(p))
-    last = [-1]
 
-    def step(batch: DataFrame, number: int) -> None:
-        old = f"{folder}/state/{number - 1}"
-        state, refused = apply_operations(spark.read.parquet(old) if there(old) else None, batch, key, order)
-        state.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        refused.write.mode("overwrite").parquet(f"{folder}/refused/batch={number}")
-        last[0] = number
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    q = keyed_changes(operations, key, order).writeStream.outputMode("append").foreachBatch(write)
+    q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    operations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return f"{folder}/state/{last[0]}", f"{folder}/refused"
+
+def changes(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    """All changes of a folder with their batch; none if no batch has run yet. ``schema`` is that of the operations."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
+    full = StructType([*schema.fields, StructField("message", StringType()), StructField("batch", LongType())])
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{folder}/changes")
+
+
+def current_markups(found: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The documents that stand after the ``changes``."""
+    return current_versions(found.where("message is null").drop("message", "batch"), key, order)
+
+
+def refused(found: DataFrame) -> DataFrame:
+    return found.where("message is not null").drop("batch")
 
 
 def once_per_upload(uploads: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """A stream without repeated (upload, file), as far as they arrive within ``late``."""
+    """A stream without repeated (upload, file), as far as they arrive within ``late``.
+
+    An upload is known to the end of the first batch whose watermark (the latest time of the batches before, less ``late``) has passed
+    its time plus ``late``; the same upload after that counts as new. Rows older than the watermark of the batch before are
+    dropped as late.
+    """
     return uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(["upload", "file"])
