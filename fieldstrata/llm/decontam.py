@@ -41,44 +41,71 @@ def _windows(seq: list[int], s: int, marked: list[bool]) -> Iterator[tuple[int,
             yield i - s + 1, value
 
 
+def _starts(table: dict[int, list[int]], windows: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places (item, document) where windows begin to match: those of which the windows one earlier match too are
+    left out, as they lie inside a longer match. What a pair of windows in a row leaves is worked out once."""
+    known: dict[tuple[int, int], list[int]] = {}
+    before, last = None, 0
+    for d, h in windows:
+        found = table.get(h, ())
+        if found and before == d - 1 and (old := table.get(last)):
+            if (last, h) not in known:
+                inside = {i + 1 for i in old}
+                known[last, h] = [i for i in found if i not in inside]
+            found = known[last, h]
+        for i in found:
+            yield i, d
+        before, last = d, h
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n, size = min(len(a), len(b)), 32
+    at = 0
+    while at < n:
+        differ = a[at : min(at + size, n)] != b[at : min(at + size, n)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, size = at + size, size * 4
+    return n
+
+
 def tile(item: list[int], doc: list[int], least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item place, document place, length) of the tiles, longest first.
 
     Matches are found by running Karp-Rabin for a search length that starts at the item's and is halved
-    down to ``least``; found runs are extended, and those longest in a round are marked first, if nothing of
+    down to ``least``; where runs begin to match they are extended, and those longest in a round are marked first, if nothing of
     them is marked yet. A match longer than twice the search length starts the search anew at its length.
     """
-    done_i, done_d, tiles = [False] * len(item), [False] * len(doc), []
+    a, b = np.array(item, np.int64), np.array(doc, np.int64)
+    a[a == 0], b[b == 0] = -1, -2  # no tokens; marked ones become such too
+    tiles = []
     s = max(least, min(len(item), len(doc)))
     while True:
         table: dict[int, list[int]] = {}
-        for at, h in _windows(item, s, done_i):
+        for at, h in _windows(a.tolist(), s, (a < 0).tolist()):
             table.setdefault(h, []).append(at)
         found, longest = [], 0
-        for d, h in _windows(doc, s, done_d) if table else ():
-            for i in table.get(h, ()):
-                n = 0
-                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] != 0 and not done_i[i + n] and not done_d[d + n]:
-                    n += 1
-                if n >= s:
-                    found.append((n, i, d))
-                    longest = max(longest, n)
+        for i, d in _starts(table, _windows(b.tolist(), s, (b < 0).tolist())) if table else ():
+            n = _common(a[i:], b[d:])
+            if n >= s:
+                found.append((n, i, d))
+                longest = max(longest, n)
         if longest > 2 * s:
             s = longest
             continue
-        again = 0
+        again = False
         for n, i, d in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not any(done_i[i : i + n]) and not any(done_d[d : d + n]):
-                done_i[i : i + n] = done_d[d : d + n] = [True] * n
+            if (a[i : i + n] >= 0).all() and (b[d : d + n] >= 0).all():
+                a[i : i + n], b[d : d + n] = -1, -2
                 tiles.append((i, d, n))
             else:
-                again = 1  # what is left of it may still hold a shorter match
-        if s > least:
-            s = max(least, s // 2)
-        elif not again or not found:
-            return tiles
-        elif not any(True for _ in _windows(item, s, done_i)):
+                again = True  # what is left of it may still hold a match
+        if again and any(True for _ in _windows(a.tolist(), s, (a < 0).tolist())):
+            continue  # at the same length: the rest of a longer match may be as long
+        if s == least:
             return tiles
+        s = max(least, s // 2)
 
 
 class Index:
@@ -125,10 +152,15 @@ class Index:
         """(item, its words, words covered by tiles, tiles) of items whose coverage is enough."""
         seen: dict[int, set[int]] = {}
         where: dict[int, list[int]] = {}
-        for d, h in zip(at.tolist(), value.tolist(), strict=True):
+        order = np.argsort(value, kind="stable")
+        kinds, first = np.unique(value[order], return_index=True)
+        for h, places in zip(kinds.tolist(), np.split(at[order], first[1:]), strict=True):
+            mine: dict[int, list[int]] = {}
             for item, i in self.places[h]:
-                seen.setdefault(item, set()).add(i)
-                where.setdefault(item, []).append(d)
+                mine.setdefault(item, []).append(i)
+            for item, starts in mine.items():
+                seen.setdefault(item, set()).update(starts)
+                where.setdefault(item, []).extend(places.tolist())
         for item, starts in seen.items():
             words = self.items[item]
             within = {x for i in starts for x in range(i, i + self.k)}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -372,6 +373,45 @@ def test_bag_signatures_estimate_weighted_jaccard():
     assert (sig[0] == sig[1]).mean() == pytest.approx(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum(), abs=0.03)
 
 
+def brute_tiles(item, doc, least=5):
+    """Again and again the longest run in common of what is unmarked, the first of equals."""
+    a, b, tiles = list(item), list(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for d in range(len(b)):
+                n = 0
+                while i + n < len(a) and d + n < len(b) and a[i + n] == b[d + n] and a[i + n] > 0:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, d)
+        n, i, d = best
+        if n < least:
+            return tiles
+        a[i : i + n], b[d : d + n] = [-1] * n, [-2] * n
+        tiles.append((i, d, n))
+
+
+def test_tiles_equal_brute_force():
+    g = random.Random(11)
+    for _ in range(400):
+        k = g.choice([1, 2, 3, 8, 30])
+        item, doc = [g.randrange(1, k + 1) for _ in range(g.randrange(1, 40))], [g.randrange(k + 1) for _ in range(g.randrange(1, 50))]
+        if g.random() < 0.5:
+            i = g.randrange(len(item))
+            doc[len(doc) // 2 : len(doc) // 2] = item[i:] + [0] + item[:i]
+        assert sorted(n for *_, n in decontam.tile(item, doc)) == sorted(n for *_, n in brute_tiles(item, doc))
+
+
+def test_tiles_of_equal_words_take_no_cubic_time():
+    start = time.time()
+    assert decontam.tile([1] * 6000 + list(range(2, 3000)), [1] * 9000) == [(0, 0, 6000)]
+    index = decontam.Index([(1, "x " * 6000 + " ".join(f"w{i}" for i in range(3000)))])
+    at, value = index.hits(np.full(9000, index.words["x"], np.uint64))
+    assert list(index.matches(np.full(9000, index.words["x"], np.uint64), at, value, 0.5)) == [(1, 9000, 6000, 1)]
+    assert time.time() - start < 20
+
+
 def test_near_duplicates_equal_brute_force(spark):
     base = prose(200, 9).split()
     rows = [(i, prose(120, 100 + i)) for i in range(20)]
