@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hot_join, stored
+from .common import documents, hot_join, stored, temporary
 
 SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|Госпожа|Κυρία"
@@ -21,11 +21,10 @@ PATTERNS = {
     "key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "secret": SECRET_LEAD + r"[A-Za-z0-9+/_.=~-]{6,}",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: \1 of the card pattern stands for the only group that captures.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-ROUNDS = 32
 #: Attempts after which a surrogate that keeps its format gets longer, by a digit an attempt.
 KEEPS_FORMAT = 6
 
@@ -175,10 +174,11 @@ def assign(spark: SparkSession, entities: DataFrame, key: str) -> DataFrame:
     """Entities (kind, norm) whose first surrogate will not do: (kind, norm, attempt).
 
     A surrogate is refused if it is another entity of its kind or if an entity smaller in order has it; the
-    entity then tries the next digest. Every round checks all entities, by groupings and equi-joins.
+    entity then tries the next digest. Every round checks all entities, by groupings and equi-joins; as surrogates
+    get longer with the attempts, the rounds end.
     """
     cur = entities.select("kind", "norm", F.lit(0).alias("attempt"))
-    for _ in range(ROUNDS):
+    while True:
         s = surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt"), key)
         cur = stored(spark, cur.select("kind", "norm", "attempt", F.lower(s).alias("s")), "surrogates")
         shared = cur.groupBy("kind", "s").agg(F.min("norm").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -188,7 +188,6 @@ def assign(spark: SparkSession, entities: DataFrame, key: str) -> DataFrame:
         if bad.isEmpty():
             return cur.where("attempt > 0").select("kind", "norm", "attempt")
         cur = cur.join(bad.withColumn("again", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    raise ValueError("some kind has more entities than surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,16 +196,23 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str =
     Finds addresses, numbers, keys, secrets and names after an honorific; a name of two words so found is replaced
     where it stands without one in the same text, too. Equal entities get equal surrogates in all rows, different
     entities different ones (checked over all entities of the input); of names each word is an entity, so a surname
-    is the same alone and after a given name;
+    is the same alone and after a given name, and is replaced where it stands alone in the same text;
     another ``key`` gives other surrogates. Texts without entities, null and empty ones stay as they are,
     with no kinds. Repeated rows are replaced alike; rows without an id too. ``kinds`` is sorted and
     comma-joined. Extra columns are ignored.
     """
+    with temporary():
+        return _replaced(docs, key, id_col, text_col)
+
+
+def _replaced(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # rows that share this number share their attempts, which belong to entities: a number met twice does no harm
+    src = src.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
     src = src.withColumn("found", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
     # each row's own distinct mentions first: a task never sends on the same mention twice for a row
-    mentions = src.where("size(found) > 0").select("doc_id", F.explode(F.array_distinct("found")).alias("m"))
+    mentions = src.where("size(found) > 0").select("row", F.explode(F.array_distinct("found")).alias("m"))
     per_text = mentions.groupBy("m").agg(F.count("*").alias("rows"))
     entities = per_text.select(F.explode(_mention(F.col("m"))["entities"]).alias("e")).groupBy("e.kind", "e.norm").agg(F.count("*").alias("texts"))
     entities = stored(spark, entities, "entities")
@@ -214,11 +220,11 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str =
     if again.isEmpty():
         out = src.withColumn("tries", F.create_map().cast("map<string,int>"))
     else:
-        told = mentions.select("doc_id", F.explode(_mention(F.col("m"))["entities"]).alias("e")).select("doc_id", _entity(F.col("e")).alias("entity"))
+        told = mentions.select("row", F.explode(_mention(F.col("m"))["entities"]).alias("e")).select("row", _entity(F.col("e")).alias("entity"))
         weights = told.groupBy("entity").agg(F.count("*").alias("n"))
         wanted = stored(spark, again.select(F.concat_ws("|", "kind", "norm").alias("entity"), "attempt").join(weights, "entity"), "wanted")
-        tries = hot_join(spark, told, wanted, "entity", "n", "doc_id").where("attempt is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("tries"))
-        out = src.join(stored(spark, tries, "tries").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        tries = hot_join(spark, told, wanted, "entity", "n", "row").where("attempt is not null").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("tries"))
+        out = src.join(stored(spark, tries, "tries", keep=True).withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").drop("_row")
         out = out.withColumn("tries", F.coalesce("tries", F.create_map().cast("map<string,int>")))
     tried = lambda e: F.coalesce(F.try_element_at(F.col("tries"), _entity(e)), F.lit(0))
     replaced = lambda x: F.array_join(F.transform(x["entities"], lambda e: surrogate(e["kind"], e["body"], e["norm"], tried(e), key, x["lead"])), " ")
@@ -226,9 +232,11 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", id_col: str =
     out = out.withColumn("made", F.when(F.size("found") > 0, made))
     pieces = F.zip_with(F.split("text", ANY, -1), F.transform("made", lambda x: F.concat(x["lead"], x["s"])), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     out = out.withColumn("new", F.when(F.col("made").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
-    names = F.array_distinct(F.transform(F.filter("made", lambda x: (x["kind"] == "name") & x["body"].contains(" ")), lambda x: F.struct(x["body"].alias("body"), x["s"].alias("s"))))
-    bare = F.aggregate(names, F.col("new"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), x["body"], F.lit(r"(?!\p{L})")), x["s"]))
-    text = F.when(F.exists("made", lambda x: (x["kind"] == "name") & x["body"].contains(" ")), bare).otherwise(F.col("new"))
+    # whole names first, then surnames alone
+    named, last = F.filter("made", lambda x: x["kind"] == "name"), lambda c: F.element_at(F.split(c, " "), -1)
+    pairs = F.concat(F.transform(F.filter(named, lambda x: x["body"].contains(" ")), lambda x: F.struct(x["body"].alias("body"), x["s"].alias("s"))), F.transform(named, lambda x: F.struct(last(x["body"]).alias("body"), last(x["s"]).alias("s"))))
+    bare = F.aggregate(F.array_distinct(pairs), F.col("new"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])"), x["body"], F.lit(r"(?![\p{L}'’-])")), x["s"]))
+    text = F.when(F.exists("made", lambda x: x["kind"] == "name"), bare).otherwise(F.col("new"))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("made", lambda x: x["kind"]))), ",")
     return out.select("doc_id", text.alias("text"), F.size("found").cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"))
 

@@ -148,6 +148,18 @@ def test_surrogates_never_run_out(spark):
     assert [len(x) for x in got] == [9, 11, 13, 15]
 
 
+def test_surrogates_of_rows_without_an_id_and_of_bare_surnames(spark):
+    rows = [(1, "Señora Ana María López paid. López left; Mr John Smith called. Smith paid, not Smithson or Smith-Jones."), (None, "Mr Smith wrote")]
+    rows += [(100 + i, f"mail {chr(97 + i % 26)}@{chr(97 + i // 26)}.co") for i in range(676)]
+    rows += [(None, t) for _, t in rows[2:302]]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    one = next(r.text for r in got if r.doc_id == 1)
+    assert not set(re.findall(r"\w+", one)) & {"Ana", "María", "López", "John", "Smith"} - {"Smith"} and "Smith paid" not in one and one.endswith("not Smithson or Smith-Jones.")
+    with_ids, without = {r.text for r in got if r.doc_id and r.doc_id >= 100}, {r.text for r in got if r.doc_id is None and r.text.startswith("mail")}
+    assert len(with_ids) == 676 and len(without) == 300 and without <= with_ids
+    assert next(r.text for r in got if r.doc_id is None and r.text.startswith("Mr")).split()[1] in one
+
+
 def test_surrogates_corefer_and_keep_their_type(spark):
     rows = [
         (1, "Mr John Smith met Mrs Smith. Later John Smith left John Smithson."), (2, "Mr Smith and Mr JOHN Smith; Mrs John Brown"), (3, "+1 555 123-4567 or +15551234567 or +44 20 7946 0958"),
