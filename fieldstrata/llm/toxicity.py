@@ -286,7 +286,7 @@ def _score(shared):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Network:
     """Trains on a bounded sample: of each label, the ``per_class`` rows with the smallest hash of doc_id
     whose texts have at most ``sample_chars`` characters and whose crc32(doc_id) mod 5 is not 0. An id with both
-    labels is toxic."""
+    labels is toxic; of an id with several texts the first in order counts."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     long = docs.where(F.length("text") > sample_chars).select(F.col("doc_id").cast("long").alias("_id"))
@@ -295,8 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_c
     spark = docs.sparkSession
     sample = spark.createDataFrame(ids, "_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "text", "toxic").collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["_id"], r["text"] or ""))])
+    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["_id"])])
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
