@@ -15,8 +15,19 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: Identifiers of the SPDX list; what follows of them, a version or "or later", does not change the label.
+SPDX = {"mit": "MIT", "isc": "ISC", "apache-2.0": "Apache-2.0", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "zlib": "Zlib", "unlicense": "Unlicense", "bsl-1.0": "BSL-1.0", "gpl": "GPL", "lgpl": "LGPL", "agpl": "AGPL", "mpl-2.0": "MPL-2.0", "epl-2.0": "EPL-2.0", "cc0": "CC0"}
+#: Conditions of the Creative Commons licences, short and in full.
+SHARING = [("sa", "SA", "ShareAlike"), ("nc", "NC", "NonCommercial"), ("nd", "ND", "NoDerivatives"), ("nc-sa", "NC SA", "NonCommercial ShareAlike"), ("nc-nd", "NC ND", "NonCommercial NoDerivatives")]
 #: Licences and the notices that they ask for, and their labels; years and names left out.
 TEMPLATES = [
+    ("mit", "the MIT license"),
+    ("mit", "the MIT licence"),
+    ("mit", "under MIT license"),
+    ("mit", "under MIT licence"),
+    ("apache-2.0", "licensed under Apache 2.0"),
+    ("apache-2.0", "Apache License 2.0"),
+    *[(label, f"SPDX-License-Identifier: {name}") for label, name in SPDX.items()],
     ("mit", "released under the MIT license"),
     ("mit", "licensed under the MIT license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -44,16 +55,7 @@ TEMPLATES = [
     ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("cc-by", "licensed under CC BY"),
     ("cc-by", "licensed under a Creative Commons Attribution license"),
-    ("cc-by-sa", "CC BY SA"),
-    ("cc-by-sa", "Creative Commons Attribution ShareAlike"),
-    ("cc-by-nc", "CC BY NC"),
-    ("cc-by-nc", "Creative Commons Attribution NonCommercial"),
-    ("cc-by-nd", "CC BY ND"),
-    ("cc-by-nd", "Creative Commons Attribution NoDerivatives"),
-    ("cc-by-nc-sa", "CC BY NC SA"),
-    ("cc-by-nc-sa", "Creative Commons Attribution NonCommercial ShareAlike"),
-    ("cc-by-nc-nd", "CC BY NC ND"),
-    ("cc-by-nc-nd", "Creative Commons Attribution NonCommercial NoDerivatives"),
+    *[(f"cc-by-{label}", f"{lead} {words}") for label, words, long in SHARING for lead, words in (("CC BY", words), ("licensed under CC BY", words), ("Creative Commons Attribution", long), ("under a Creative Commons Attribution", long))],
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved"),
 ]
@@ -215,6 +217,21 @@ def automaton(templates: list[tuple[str, str]] | None = None, phrases: dict[str,
     return Automaton([(label, tokens(text)) for label, text in templates or TEMPLATES], BASE if phrases is None else phrases)
 
 
+def told_apart(spans: list[tuple], templates: list[tuple[str, list[str]]]) -> list[tuple]:
+    """Of spans (template, first, last, covered) over the same words the one that matches most of them.
+
+    Notices of one family share most words, and a short name lies inside a longer one: from the most words matched down a
+    span is kept unless more than half of it, or of one kept before under another label, is common to both.
+    """
+    kept: list[tuple] = []
+    for t, first, last, covered in sorted(spans, key=lambda s: (-s[3] * len(templates[s[0]][1]), -s[3], s[1], s[0])):
+        shared = lambda k, a=first, b=last: min(b, k[2]) - max(a, k[1]) + 1
+        label = templates[t][0]
+        if not any(templates[k[0]][0] != label and 2 * shared(k) > min(last - first, k[2] - k[1]) + 1 for k in kept):
+            kept.append((t, first, last, covered))
+    return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>"
 
 
@@ -230,7 +247,7 @@ def _scan(templates, phrases, covered):
                 words = tokens(text)
                 starts, spans = made.scan(words)
                 base = sorted({label for _, label in starts})
-                found = [s for s in spans if s[3] >= (covered if len(made.templates[s[0]][1]) >= SHORT else 1)]
+                found = told_apart([s for s in spans if s[3] >= (covered if len(made.templates[s[0]][1]) >= SHORT else 1)], made.templates)
                 labels = sorted({*base, *(made.templates[t][0] for t, *_ in found)})
                 score = max((s[3] for s in spans), default=0.0)
                 at = [i for i, _ in starts]
@@ -247,7 +264,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     One pass, row by row, without a shuffle; the automaton is built in every task from the templates. Labels
     are those of phrases found and of templates of which a chain covers ``covered`` or more (those under ``SHORT``
-    words whole); the score is the largest share of any template, also where it is too small for a label. Null and empty texts have no words, empty label lists and score 0.
+    words whole), of templates over the same words only the one that matches most; the score is the largest share of any template, also where it is too small for a label. Null and empty texts have no words, empty label lists and score 0.
     Repeated rows give repeated results; extra columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(templates, phrases, covered), SCHEMA)

@@ -110,6 +110,26 @@ def test_license_labels(spark):
     assert (r[90].n_words, r[90].labels, r[90].score, r[90].first_word) == (0, "", 0.0, None)
 
 
+def test_notices_are_told_apart(spark):
+    of = lambda label, n=0: next(t for x, t in licenses.TEMPLATES if x == label and len(t) > n)
+    want = [
+        (of("gpl", 200), "gpl"),
+        (of("lgpl", 200), "gpl,lgpl"),  # the phrase of the contract gives gpl
+        (of("agpl", 200), "agpl,gpl"),
+        (of("bsd-2-clause", 200), "bsd-2-clause"),
+        ("CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"),
+        ("Licensed under CC BY-SA 3.0", "cc-by,cc-by-sa"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"),
+        ("licensed under Apache 2.0", "apache-2.0"),
+        ("under the MIT licence", "mit"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+        ("released under the MIT license and licensed under the Apache License version 2.0", "apache-2.0,mit"),
+        ("the mitten licence of general publications", ""),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [x for _, x in want]
+
+
 def test_surrogates(spark):
     rows = [(1, "mail a.b@x.org or A.B@X.ORG, call +1 (555) 123-4567 or +1 5551234567"), (2, "Mrs Anna Smith, Господин Иванов, 10.1.2.3"), (3, "a.b@x.org"), *BLANK]
     r = {x.doc_id: x for x in pii.replace_entities(frame(spark, rows)).collect()}
