@@ -130,6 +130,30 @@ def test_notices_are_told_apart(spark):
     assert [r.labels for r in got] == [x for _, x in want]
 
 
+def test_few_edits_equal_brute_force():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    g = random.Random(12)
+    for _ in range(400):
+        a = "".join(g.choice("ab") for _ in range(g.randrange(14)))
+        b = "".join(g.choice("ab") for _ in range(g.randrange(14))) if g.random() < 0.5 else a[: g.randrange(len(a) + 1)] + "b" + a[g.randrange(len(a) + 1) :]
+        assert lines.few_edits(a, b, 40) == distance(a, b)
+        assert lines.few_edits(a, b, 2) == (distance(a, b) if distance(a, b) <= 2 else None)
+
+
+def test_very_long_lines_with_edits_at_both_ends():
+    line = prose(120_000, 3)
+    start = time.time()
+    assert lines.edit_similarity("x" + line + "y", "z" + line[:500_000] + "q" + line[500_000:] + "w", 0.8) == pytest.approx(1 - 3 / (len(line) + 3))
+    assert time.time() - start < 5
+
+
 def test_surrogates(spark):
     rows = [(1, "mail a.b@x.org or A.B@X.ORG, call +1 (555) 123-4567 or +1 5551234567"), (2, "Mrs Anna Smith, Господин Иванов, 10.1.2.3"), (3, "a.b@x.org"), *BLANK]
     r = {x.doc_id: x for x in pii.replace_entities(frame(spark, rows)).collect()}
