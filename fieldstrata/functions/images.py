@@ -152,6 +152,21 @@ def tiles(levels: DataFrame, tile: int = 256) -> DataFrame:
     return d.select("image", "level", "x", "y", (F.col("base") + F.col("x") + F.col("y") * F.col("tx")).alias("tile"), F.format_string("%03d_%03d_%03d.jpg", "level", "x", "y").alias("name"))
 
 
+def image_tiles(images: DataFrame, tile: int = 256) -> DataFrame:
+    """The ``tiles`` of the ``pyramid_levels`` of each image, numbered inside the row: nothing is shuffled."""
+    half = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k))
+    n = lambda c, k: F.greatest(F.ceil(half(c, k) / tile), F.lit(1)).cast("long")
+    last = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: (half("width", k) <= tile // 2 + 1) & (half("height", k) <= tile // 2 + 1)))
+    d = images.select("image", "width", "height", last.alias("last"))
+    grid = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct(i.cast("long").alias("level"), n("width", F.col("last") - i).alias("tx"), n("height", F.col("last") - i).alias("ty")))
+    d = d.withColumn("grid", grid)
+    base = lambda i: F.aggregate(F.slice("grid", F.lit(1), i), F.lit(0).cast("long"), lambda a, g: a + g["tx"] * g["ty"])
+    d = d.select("image", F.explode(F.transform("grid", lambda g, i: F.struct(g["level"].alias("level"), g["tx"].alias("tx"), g["ty"].alias("ty"), base(i).alias("base")))).alias("g")).select("image", "g.*")
+    d = d.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tx") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ty") - 1)))
+    three = lambda c: F.lpad(F.col(c).cast("string"), F.greatest(F.length(F.col(c).cast("string")), F.lit(3)), F.lit("0"))
+    return d.select("image", "level", "x", "y", (F.col("base") + F.col("x") + F.col("y") * F.col("tx")).alias("tile"), F.concat(three("level"), F.lit("_"), three("x"), F.lit("_"), three("y"), F.lit(".jpg")).alias("name"))
+
+
 def histogram(px: DataFrame, channel: str, value: str, bins: int = 256) -> DataFrame:
     """(channel, bin, n) over equal bins from the channel's smallest to its largest value."""
     mm = px.groupBy(channel).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
 
@@ -167,15 +169,14 @@ def simplify(v: DataFrame, tolerance: float, limit: int = 100_000) -> DataFrame:
     whole = p.join(long.select("geom"), "geom", "left_anti").groupBy("geom").applyInPandas(lambda pdf: _kept(pdf, tolerance), schema)
     if long.isEmpty():
         return whole
-    open_, done = p.join(F.broadcast(long), "geom"), []
+    open_, done = p.join(long, "geom"), []
     dx, dy = F.col("pb.x") - F.col("pa.x"), F.col("pb.y") - F.col("pa.y")
     qx, qy, size = F.col("x") - F.col("pa.x"), F.col("y") - F.col("pa.y"), F.sqrt(dx * dx + dy * dy)
     far = F.when(size > 0, F.abs(dx * qy - dy * qx) / size).otherwise(F.sqrt(qx * qx + qy * qy))
     while not open_.where(F.col("n") > limit).isEmpty():
         inner = open_.where((F.col("n") > limit) & (F.col("seq") > F.col("a")) & (F.col("seq") < F.col("b")))
         cut = inner.groupBy("geom", "a").agg(F.max_by(F.struct("seq", "x", "y"), F.struct(far.alias("d"), -F.col("seq"))).alias("m"), F.max(far).alias("d"))
-        # a piece gives one row; few pieces are this long
-        j = open_.join(F.broadcast(cut.withColumnRenamed("geom", "g_").withColumnRenamed("a", "a_")), (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_")), "left").drop("g_", "a_")
+        j = open_.join(cut.withColumnRenamed("geom", "g_").withColumnRenamed("a", "a_"), (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_")), "left").drop("g_", "a_")
         done.append(j.where(F.col("d") <= tolerance).where((F.col("seq") == F.col("a")) | (F.col("seq") == F.col("b"))).select("geom", "seq", "x", "y"))
         j = j.where(F.col("d").isNull() | (F.col("d") > tolerance))
         middle = F.struct("m.x", "m.y")
@@ -183,8 +184,9 @@ def simplify(v: DataFrame, tolerance: float, limit: int = 100_000) -> DataFrame:
         mine = F.filter(pieces, lambda s: F.col("seq").between(s["a"], s["b"]))
         same = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("pa").alias("pa"), F.col("pb").alias("pb")))
         j = j.select("geom", "seq", "x", "y", F.explode(F.when(F.col("m").isNull(), same).otherwise(mine)).alias("s")).select("geom", "seq", "x", "y", "s.*")
-        counts = F.broadcast(j.groupBy(F.col("geom").alias("g_"), F.col("a").alias("a_")).agg(F.count("*").alias("n")))
-        open_ = j.join(counts, (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_"))).drop("g_", "a_").checkpoint()
+        counts = j.groupBy(F.col("geom").alias("g_"), F.col("a").alias("a_")).agg(F.count("*").alias("n"))
+        open_ = j.join(counts, (F.col("geom") == F.col("g_")) & (F.col("a") == F.col("a_"))).drop("g_", "a_")
+        open_ = stored(v.sparkSession, open_, "pieces")
     rest = open_.select("geom", "a", "seq", "x", "y").groupBy("geom", "a").applyInPandas(lambda pdf: _kept(pdf, tolerance)[["geom", "seq", "x", "y"]], schema)
     for d in done:
         rest = rest.unionByName(d)

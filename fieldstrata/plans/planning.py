@@ -64,7 +64,7 @@ def u02_pyramid_levels(spark, sf_dir):
 @query(f"WITH {d.IMAGES}, {LEVELS}, l AS (SELECT lv.image, last - k AS level, w, h, greatest(ceil(w / 256e0), 1)::BIGINT AS tx, greatest(ceil(h / 256e0), 1)::BIGINT AS ty FROM lv JOIN stop USING (image) WHERE k <= last), b AS (SELECT *, coalesce(sum(tx * ty) OVER (PARTITION BY image ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM l) SELECT image, level, x, y, base + x + y * tx AS tile, printf('%03d_%03d_%03d.jpg', level, x, y) AS name FROM b, LATERAL (SELECT unnest(range(tx)) AS x) p, LATERAL (SELECT unnest(range(ty)) AS y) q")
 def u04_tiles(spark, sf_dir):
     """All tiles of every image, numbered from the smallest level on."""
-    return g.tiles(g.pyramid_levels(d.images(spark, sf_dir)), 256)
+    return g.image_tiles(d.images(spark, sf_dir), 256)
 
 
 @query(f"WITH {d.IMAGES}, s AS (SELECT image, pow(2, ceil(log2(greatest(width, height))))::BIGINT AS side FROM images) SELECT image, side, k AS level, (side >> k) AS box, (1 << k)::BIGINT AS across FROM s, range(0, 5) t(k)")

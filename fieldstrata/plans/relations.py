@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import relations as r
 from ..operators import covers
+from ..operators import long_lines as ll
 from ..operators import measures as m
 from ..operators import spatial as s
 from ..sources import datasets as d
@@ -194,3 +195,28 @@ def a20_track_distances(spark, sf_dir):
     t = v.select(F.col("geom").alias("left")).distinct()
     pairs = t.join(t.select(F.col("left").alias("right")), F.col("left") + 1 == F.col("right"))
     return s.hausdorff_distances(pairs, v).withColumn("hausdorff", F.round("hausdorff", 6))
+
+
+_STEPS = f"{d.TRACKS}, s AS (SELECT track AS geom, seq, lon AS x, lat AS y, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY track ORDER BY seq)), r AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS length FROM s WHERE x2 IS NOT NULL)"
+
+
+@query(f"WITH {_STEPS} SELECT geom AS track, seq, round(length, 6) AS length, round(coalesce(sum(length) OVER (PARTITION BY geom ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS run FROM r")
+def a04_running_lengths(spark, sf_dir):
+    """Length of every step of a track and of what lies before it, by slices of 16 places."""
+    s_ = ll.running_lengths(ll.sliced_segments(d.track_vertices(spark, sf_dir), 16))
+    return s_.select(F.col("geom").alias("track"), F.col("seq").cast("int").alias("seq"), F.round("length", 6).alias("length"), F.round("run", 6).alias("run"))
+
+
+@query(
+    f"WITH {_STEPS}, t AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY geom ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(length) OVER (PARTITION BY geom) AS total FROM r), "
+    "p AS (SELECT event_id AS item, user_id AS geom, (event_id * 41 % 3600) / 10e0 - 180 AS px, (event_id * 59 % 1700) / 10e0 - 85 AS py FROM events WHERE event_type = 'view'), "
+    "k AS (SELECT item, p.geom AS track, run, length, total, seq, x, y, x2, y2, px, py, CASE WHEN length = 0 THEN 0 ELSE greatest(0, least(1, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (pow(x2 - x, 2) + pow(y2 - y, 2)))) END AS t FROM p JOIN t USING (geom)), "
+    "n AS (SELECT item, track, total, run + t * length AS at_, sqrt(pow(x + t * (x2 - x) - px, 2) + pow(y + t * (y2 - y) - py, 2)) AS away, seq FROM k) "
+    "SELECT item, track, round(arg_min(at_, (away, seq)), 5) AS along, round(arg_min(at_, (away, seq)) / any_value(total), 6) AS share, round(min(away), 6) AS away FROM n GROUP BY item, track"
+)
+def w09_places_on_tracks(spark, sf_dir):
+    """How far along its track the place nearest to each point lies, with segments in rows."""
+    e = d.table(spark, sf_dir, "events").where("event_type = 'view'")
+    p = e.select(F.col("event_id").alias("item"), F.col("user_id").alias("geom"), ((F.col("event_id") * 41 % 3600) / 10.0 - 180).alias("px"), ((F.col("event_id") * 59 % 1700) / 10.0 - 85).alias("py"))
+    found = ll.project_points(p, d.track_vertices(spark, sf_dir))
+    return found.select("item", F.col("geom").alias("track"), F.round("at", 5).alias("along"), F.round("share", 6).alias("share"), F.round("away", 6).alias("away"))

@@ -16,7 +16,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
