@@ -259,7 +259,7 @@ def segment_size(s: DataFrame, per_segment: float = 4.0) -> float:
 def crossing_counts(v: DataFrame, size: float | None = None) -> DataFrame:
     """Strict crossings of segments of the same geometry: (geom, crossings), none without any.
 
-    Segments meet in the cells along them; pairs that cross and share several cells count once. Touching ends,
+    Segments meet in the cells along them; a pair counts in the one cell that holds its crossing. Touching ends,
     parallels and overlaps are no crossings. Without ``size`` cells are a quarter of a segment's mean extent.
     """
     s = segments(v).select("geom", F.struct("ring", "seq").alias("k"), "x", "y", "x2", "y2")
@@ -267,7 +267,10 @@ def crossing_counts(v: DataFrame, size: float | None = None) -> DataFrame:
     s = s.withColumn("cell", F.explode(line_cells(size)))
     t = s.select("geom", "cell", F.col("k").alias("k_"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
     j = s.join(t, ["geom", "cell"]).where("k < k_").where(strictly_cross())
-    return j.select("geom", "k", "k_").distinct().groupBy("geom").agg(F.count("*").alias("crossings"))
+    along = F.expr("((v2 - v) * (u - x) - (u2 - u) * (v - y)) / ((v2 - v) * (x2 - x) - (u2 - u) * (y2 - y))")
+    j = j.withColumn("s", along)
+    own = (cell(F.col("x") + F.col("s") * (F.col("x2") - F.col("x")), size) == F.col("cell.cx")) & (cell(F.col("y") + F.col("s") * (F.col("y2") - F.col("y")), size) == F.col("cell.cy"))
+    return j.where(own).groupBy("geom").agg(F.count("*").alias("crossings"))
 
 
 def rings(v: DataFrame) -> DataFrame:

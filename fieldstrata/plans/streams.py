@@ -50,11 +50,12 @@ def r02_refused_in_stream(spark, sf_dir):
 
 @query(f"WITH {d.TRACKS} SELECT track::VARCHAR AS track, seq - 1 AS seq, lon, lat, ele, ts AS time FROM points")
 def r01_track_stream(spark, sf_dir):
-    """GPX files, one a track, taken up by a stream as track points."""
+    """GPX documents of all tracks, many in a file, taken up by a stream as track points."""
     home = shared_path(spark, "gpx")
     docs = fm.gpx_documents(d.track_points(spark, sf_dir))
-    docs.repartition("track").write.partitionBy("track").option("maxRecordsPerFile", 1).text(f"{home}/in")
-    st.track_stream(spark, f"{home}/in", f"{home}/out", f"{home}/checkpoint", r"track=([^/]+)/")
+    docs = docs.select(*[F.col(c).cast("string").alias(n) for c, n in zip(docs.columns, ("track", "gpx"), strict=True)])
+    docs.write.json(f"{home}/in")
+    st.track_rows(spark.readStream.schema(docs.schema).json(f"{home}/in"), f"{home}/out", f"{home}/checkpoint")
     return spark.read.parquet(f"{home}/out")
 
 

@@ -25,6 +25,12 @@ def track_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, n
     q.awaitTermination()
 
 
+def track_rows(documents: DataFrame, sink: str, checkpoint: str) -> None:
+    """The same for a stream of rows (track, gpx), many documents a file: one run to its present end."""
+    q = read_gpx(documents, "track").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    q.awaitTermination()
+
+
 def apply_operations(state: DataFrame | None, batch: DataFrame, key: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(new state, refused) of a batch of insert, update and delete rows.
 
