@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import relations as r
+from ..functions import shapes
 from ..operators import covers
 from ..operators import long_lines as ll
 from ..operators import measures as m
@@ -220,3 +221,14 @@ def w09_places_on_tracks(spark, sf_dir):
     p = e.select(F.col("event_id").alias("item"), F.col("user_id").alias("geom"), ((F.col("event_id") * 41 % 3600) / 10.0 - 180).alias("px"), ((F.col("event_id") * 59 % 1700) / 10.0 - 85).alias("py"))
     found = ll.project_points(p, d.track_vertices(spark, sf_dir))
     return found.select("item", F.col("geom").alias("track"), F.round("at", 5).alias("along"), F.round("share", 6).alias("share"), F.round("away", 6).alias("away"))
+
+
+@query(
+    f"WITH {d.TRACKS}, v AS (SELECT DISTINCT track AS geom, round(lon * 10)::BIGINT AS x, round(lat * 10)::BIGINT AS y FROM points), e AS (SELECT p.geom, p.x, p.y, q.x AS qx, q.y AS qy FROM v p JOIN v q ON p.geom = q.geom AND (p.x <> q.x OR p.y <> q.y)), "
+    "o AS (SELECT e.*, (qx - e.x) * (r.y - e.y) - (qy - e.y) * (r.x - e.x) AS side, (qx - e.x) * (r.x - e.x) + (qy - e.y) * (r.y - e.y) AS along, pow(qx - e.x, 2) + pow(qy - e.y, 2) AS size FROM e JOIN v r ON r.geom = e.geom) "
+    "SELECT DISTINCT geom AS track, x, y FROM (SELECT geom, x, y, qx, qy FROM o GROUP BY ALL HAVING NOT bool_or(side < 0 OR (side = 0 AND (along < 0 OR along > size))))"
+)
+def a19_hull_corners(spark, sf_dir):
+    """Corners of the convex hull of each track, on tenths of a degree."""
+    v = d.track_vertices(spark, sf_dir).select("geom", "seq", F.round(F.col("x") * 10).alias("x"), F.round(F.col("y") * 10).alias("y"))
+    return shapes.convex_hulls(v).select(F.col("geom").alias("track"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
