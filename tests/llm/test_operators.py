@@ -603,3 +603,13 @@ def test_toxicity_reads_long_words_to_the_end():
     score = toxicity.Scorer(toxicity.train(rows))
     bad, good = score(["stone_river_" * 10 + "idiot_moss", "stone_river_" * 10 + "flower_moss"])
     assert bad > 0.5 > good
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Held-out rows of the tables: the network never saw their labels."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in toxicity.op9_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
+    assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) >= 0.95
+    assert sum(r.predicted for r in held if not labels[r.doc_id]) <= 0.02 * len(held)
