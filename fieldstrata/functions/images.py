@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,6 +168,36 @@ def image_tiles(images: DataFrame, tile: int = 256) -> DataFrame:
     return d.select("image", "level", "x", "y", (F.col("base") + F.col("x") + F.col("y") * F.col("tx")).alias("tile"), F.concat(three("level"), F.lit("_"), three("x"), F.lit("_"), three("y"), F.lit(".jpg")).alias("name"))
 
 
+Layout = Callable[[DataFrame, int], DataFrame]
+LAYOUTS: dict[str, Layout] = {}
+
+
+def register_layout(name: str, plan: Layout) -> None:
+    """Adds a way to cut images (image, width, height) into tiles of a size, or puts another in the place of one."""
+    LAYOUTS[name] = plan
+
+
+def planned(images: DataFrame, layout: Column | str, tile: int = 256) -> DataFrame:
+    """(image, layout, plan as JSON, one row a tile) of images by registered layouts: one name for all, or a column with the layout of each.
+
+    Images of a layout that is not registered, or of none, have no rows.
+    """
+    named = images.withColumn("_layout", F.lit(layout) if isinstance(layout, str) else layout)
+    out = None
+    for name, plan in LAYOUTS.items():
+        if isinstance(layout, str) and name != layout:
+            continue
+        made = plan(named.where(F.col("_layout") == name).drop("_layout"), tile)
+        made = made.select("image", F.lit(name).alias("layout"), F.to_json(F.struct(*[c for c in made.columns if c != "image"])).alias("plan"))
+        out = made if out is None else out.unionByName(made)
+    return images.select("image", F.lit(None).cast("string").alias("layout"), F.lit(None).cast("string").alias("plan")).limit(0) if out is None else out
+
+
+register_layout("pyramid", image_tiles)
+register_layout("quads", quad_boxes)
+register_layout("map", map_tiles)
+
+
 def histogram(px: DataFrame, channel: str, value: str, bins: int = 256) -> DataFrame:
     """(channel, bin, n) over equal bins from the channel's smallest to its largest value."""
     mm = px.groupBy(channel).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

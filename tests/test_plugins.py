@@ -111,3 +111,14 @@ def test_a_generator_of_look_up_tables(spark):
     for channel in range(3):
         bins = sorted((r.bin, r.n) for r in counts.where(F.col("channel") == channel).collect())
         assert {b: got[channel, b] for b, _ in bins} == {b: float(v) for b, v in stretch(bins)}
+
+
+def test_a_layout_of_the_user(spark):
+    df = spark.createDataFrame([(1, 600, 300, "strips"), (2, 600, 300, "map"), (3, 9, 9, "none"), (4, 9, 9, None)], "image int, width int, height int, kind string")
+    images.register_layout("strips", lambda d, tile: d.select("image", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / tile))).alias("top")))
+    try:
+        got = images.planned(df, F.col("kind"), 256).collect()
+        assert sorted(r.plan for r in got if r.image == 1) == ['{"top":0}', '{"top":1}'] and {r.image for r in got} == {1, 2}
+        assert images.planned(df, "none").count() == 0 and images.planned(df, "strips").count() == 6
+    finally:
+        del images.LAYOUTS["strips"]
