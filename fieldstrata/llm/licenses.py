@@ -48,7 +48,7 @@ TEMPLATES = [
     ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("cc-by", "licensed under CC BY"),
     ("cc-by", "licensed under a Creative Commons Attribution license"),
-    *[(f"cc-by-{label}", f"{lead} {words}") for label, words, long in SHARING for lead, words in (("CC BY", words), ("licensed under CC BY", words), ("Creative Commons Attribution", long), ("under a Creative Commons Attribution", long))],
+    *[(f"cc-by-{label}", f"{lead} {words}") for label, words, long in SHARING for lead, words in (("CC BY", words), ("under CC BY", words), ("Creative Commons Attribution", long), ("under a Creative Commons Attribution", long))],
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved"),
     ("mit", "the MIT license"),
@@ -220,11 +220,11 @@ def automaton(templates: list[tuple[str, str]] | None = None, phrases: dict[str,
 def told_apart(spans: list[tuple], templates: list[tuple[str, list[str]]]) -> list[tuple]:
     """Of spans (template, first, last, covered) over the same words the one that matches most of them.
 
-    Notices of one family share most words, and a short name lies inside a longer one: from the most words matched down a
-    span is kept unless more than half of it, or of one kept before under another label, is common to both.
+    Notices of one family share most words, and a short name lies inside a longer one: from the most words matched down (of
+    equals from the one that ends last) a span is kept unless more than half of it, or of one kept before under another label, is common to both.
     """
     kept: list[tuple] = []
-    for t, first, last, covered in sorted(spans, key=lambda s: (-s[3] * len(templates[s[0]][1]), -s[3], s[1], s[0])):
+    for t, first, last, covered in sorted(spans, key=lambda s: (-s[3] * len(templates[s[0]][1]), -s[3], -s[2], s[0])):
         shared = lambda k, a=first, b=last: min(b, k[2]) - max(a, k[1]) + 1
         label = templates[t][0]
         if not any(templates[k[0]][0] != label and 2 * shared(k) > min(last - first, k[2] - k[1]) + 1 for k in kept):
