@@ -1,4 +1,4 @@
-"""Predicates of the simple-features model on two geometries, read off one matrix (``functions.noding``)."""
+"""Predicates of the simple-features model on two geometries, read off one matrix (``functions.noding``, in batches)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .noding import relate, sound_rings
+from .noding import sound_rings
+from .noding_batches import relate_all
 
 #: Patterns of the standard: T for any dimension, F for nothing in common, a digit for itself, * for anything.
 PATTERNS = {
@@ -23,8 +24,7 @@ PATTERNS = {
 
 @F.arrow_udf(StringType())
 def _matrix(a: pa.Array, b: pa.Array) -> pa.Array:
-    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-    return pa.array([relate(v and v["parts"], w and w["parts"]) for v, w in pairs], pa.string())
+    return relate_all(a, b)
 
 
 @F.arrow_udf(ArrayType(StringType()))
