@@ -112,9 +112,13 @@ _MET = (
 )
 
 
-def _met(found):
+def _met(a, b):
+    """Where the segments of a and of b meet, worked out for one geometry of each class of equal ones."""
+    (a, of_left), (b, of_right) = (s.classes(x, "k", "x", "y", "x2", "y2") for x in (a, b))
+    found = s.meeting_shapes(s.meetings(a, b, 1.0))
     x, y = F.transform("points", lambda p: F.round(p["x"], 6) + 0.0), F.transform("points", lambda p: F.round(p["y"], 6) + 0.0)
-    return found.select("left", "right", "status", F.size("points").cast("long").alias("points"), F.coalesce(F.array_min(x), F.lit(0.0)).alias("first_x"), F.coalesce(F.array_max(y), F.lit(0.0)).alias("last_y"))
+    found = found.select("left", "right", "status", F.size("points").cast("long").alias("points"), F.coalesce(F.array_min(x), F.lit(0.0)).alias("first_x"), F.coalesce(F.array_max(y), F.lit(0.0)).alias("last_y"))
+    return s.members(s.members(found, "left", of_left), "right", of_right)
 
 
 @query(f"WITH {d.SITES}, {d.POLYGONS}, {_EDGES}, a AS (SELECT site AS id, x, y, x + site % 9 / 4e0 AS x2, y + site % 5 / 2e0 AS y2 FROM sites WHERE site % 9 > 0 OR site % 5 > 0), {_MET}")
@@ -123,7 +127,7 @@ def j11_lines_and_polygons(spark, sf_dir):
     k = F.col("site")
     a = d.sites(spark, sf_dir).select(k.alias("geom"), F.lit(0).alias("k"), "x", "y", (F.col("x") + k % 9 / 4).alias("x2"), (F.col("y") + k % 5 / 2).alias("y2"))
     b = m.segments(d.polygons(spark, sf_dir)).select("geom", F.struct("ring", "seq").alias("k"), "x", "y", "x2", "y2")
-    return _met(s.meeting_shapes(s.meetings(a, b, 1.0)))
+    return _met(a, b)
 
 
 @query(f"WITH {d.SITES}, {d.POLYGONS}, {_EDGES}, b AS (SELECT site AS id, floor(x * 2) / 2 AS x, floor(y * 2) / 2 AS y FROM sites), a AS (SELECT id, x, y, x + 1 AS x2, y AS y2 FROM b UNION ALL SELECT id, x + 1, y, x + 1, y + 2 FROM b UNION ALL SELECT id, x + 1, y + 2, x, y + 2 FROM b UNION ALL SELECT id, x, y + 2, x, y FROM b), {_MET}")
@@ -133,7 +137,7 @@ def j11_rectangles_and_polygons(spark, sf_dir):
     corners = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((0, 0), (1, 0), (1, 2), (0, 2), (0, 0))])
     v = p.select("geom", F.lit(0).alias("ring"), F.posexplode(corners).alias("seq", "v")).select("geom", "ring", "seq", "v.x", "v.y")
     a, b = (m.segments(x).select("geom", F.struct("ring", "seq").alias("k"), "x", "y", "x2", "y2") for x in (v, d.polygons(spark, sf_dir)))
-    return _met(s.meeting_shapes(s.meetings(a, b, 1.0)))
+    return _met(a, b)
 
 
 LEVELS = 10
@@ -211,9 +215,11 @@ def a04_running_lengths(spark, sf_dir):
 @query(
     f"WITH {_STEPS}, t AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY geom ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(length) OVER (PARTITION BY geom) AS total FROM r), "
     "p AS (SELECT event_id AS item, user_id AS geom, (event_id * 41 % 3600) / 10e0 - 180 AS px, (event_id * 59 % 1700) / 10e0 - 85 AS py FROM events WHERE event_type = 'view'), "
-    "k AS (SELECT item, p.geom AS track, run, length, total, seq, x, y, x2, y2, px, py, CASE WHEN length = 0 THEN 0 ELSE greatest(0, least(1, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (pow(x2 - x, 2) + pow(y2 - y, 2)))) END AS t FROM p JOIN t USING (geom)), "
-    "n AS (SELECT item, track, total, run + t * length AS at_, sqrt(pow(x + t * (x2 - x) - px, 2) + pow(y + t * (y2 - y) - py, 2)) AS away, seq FROM k) "
-    "SELECT item, track, round(arg_min(at_, (away, seq)), 5) AS along, round(arg_min(at_, (away, seq)) / any_value(total), 6) AS share, round(min(away), 6) AS away FROM n GROUP BY item, track"
+    "k AS (SELECT item, p.geom AS track, run, length, total, seq, x, y, x2, y2, px, py, CASE WHEN length = 0 THEN 0 ELSE greatest(0, least(1, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))) END AS t FROM p JOIN t USING (geom)), "
+    # equally near to a billionth: the first segment
+    "o AS (SELECT *, CASE WHEN t = 1 THEN x2 ELSE x + t * (x2 - x) END - px AS ox, CASE WHEN t = 1 THEN y2 ELSE y + t * (y2 - y) END - py AS oy FROM k), "
+    "n AS (SELECT item, track, total, run + t * length AS at_, sqrt(ox * ox + oy * oy) AS away, seq FROM o) "
+    "SELECT item, track, round(arg_min(at_, (round(away, 9), seq)), 5) AS along, round(arg_min(at_, (round(away, 9), seq)) / any_value(total), 6) AS share, round(arg_min(away, (round(away, 9), seq)), 6) AS away FROM n GROUP BY item, track"
 )
 def w09_places_on_tracks(spark, sf_dir):
     """How far along its track the place nearest to each point lies, with segments in rows."""

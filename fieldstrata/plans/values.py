@@ -272,11 +272,13 @@ def j11_segment_meetings(spark, sf_dir):
 
 @query("WITH p AS (SELECT p_partkey AS id, p_partkey * 3 % 200 + p_partkey // 2000 * 200 AS x, p_partkey * 7 % 160 AS y FROM part) SELECT a.id AS first, b.id AS second, TRUE AS intersects, greatest(abs(a.x - b.x), abs(a.y - b.y)) = 6 AS touches, greatest(abs(a.x - b.x), abs(a.y - b.y)) < 6 AND (a.x <> b.x OR a.y <> b.y) AS overlaps FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6")
 def j15_predicates(spark, sf_dir):
-    """Pairs of squares that meet, and how: candidates by the cells of their bounds, then the exact tests."""
+    """Pairs of squares that meet, and how: candidates by the cells of their bounds, then the matrix of each pair."""
+    from ..functions import relations as r
     from ..operators import spatial
 
     x, y = F.col("p_partkey") * 3 % 200 + F.floor(F.col("p_partkey") / 2000) * 200, F.col("p_partkey") * 7 % 160
     square = g.polygon(F.array(F.array(*[g.vertex(x + i, y + j) for i, j in ((0, 0), (6, 0), (6, 6), (0, 6), (0, 0))])))
     s = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), square.alias("g"))
-    p = spatial.box_pairs(s, 8.0).where(g.intersects(F.col("g"), F.col("g_")))
-    return p.select(F.col("id").alias("first"), F.col("id_").alias("second"), F.lit(True).alias("intersects"), g.touches(F.col("g"), F.col("g_")).alias("touches"), g.overlaps(F.col("g"), F.col("g_")).alias("overlaps"))
+    p = spatial.box_pairs(s, 8.0).select(F.col("id").alias("first"), F.col("id_").alias("second"), r.matrix(F.col("g"), F.col("g_")).alias("m"))
+    p = p.where(r.predicate("intersects", F.col("m")))
+    return p.select("first", "second", F.lit(True).alias("intersects"), r.predicate("touches", F.col("m")).alias("touches"), r.overlaps(F.col("m"), 2, 2).alias("overlaps"))
