@@ -49,7 +49,7 @@ def running_lengths(segments: DataFrame, length: Column | None = None) -> DataFr
 def project_points(points: DataFrame, v: DataFrame, size: int = SLICE) -> DataFrame:
     """(item, geom, at, share, away) of points (item, geom, px, py), items distinct: how far along its line (geom, seq, x, y) the
     nearest place to a point lies, as a length and a share of the line, and how far off that is; of equally near
-    segments the first. Points of lines without a segment are left out.
+    segments (to a billionth) the first. Points of lines without a segment are left out.
 
     Segments lie in the cells along them. Points look into the nine cells around them; those that find a segment no farther
     than a cell's side are done, the others look again among cells four times as wide.
@@ -67,16 +67,18 @@ def project_points(points: DataFrame, v: DataFrame, size: int = SLICE) -> DataFr
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     t = F.when(F.col("length") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / (dx * dx + dy * dy))))
+    # the end of a segment is the beginning of the next one to the last bit
+    off = lambda c, d: F.when(F.col("t") == 1, F.col(f"{c}2")).otherwise(F.col(c) + F.col("t") * d) - F.col(f"p{c}")
     done = None
     while True:
         held = s.withColumn("k", F.explode(line_cells(side)))
         asked = open_.withColumn("o", F.explode(around)).select("item", "geom", "px", "py", F.struct((cell(F.col("px"), side) + F.col("o.i")).alias("cx"), (cell(F.col("py"), side) + F.col("o.j")).alias("cy")).alias("k"))
         met = asked.join(held, ["geom", "k"]).withColumn("t", t)
-        met = met.withColumn("away", F.hypot(F.col("x") + F.col("t") * dx - F.col("px"), F.col("y") + F.col("t") * dy - F.col("py")))
-        best = met.groupBy("item", "geom").agg(F.min(F.struct("away", "seq", (F.col("run") + F.col("t") * F.col("length")).alias("at"))).alias("b"))
+        met = met.withColumn("away", F.sqrt(off("x", dx) * off("x", dx) + off("y", dy) * off("y", dy)))
+        best = met.groupBy("item", "geom").agg(F.min(F.struct(F.round("away", 9).alias("near"), "seq", "away", (F.col("run") + F.col("t") * F.col("length")).alias("at"))).alias("b"))
         best = stored(spark, best.select("item", "geom", "b.away", "b.at"), "nearest")
         last = side > widest
-        settled = best if last else best.where(F.col("away") <= side)
+        settled = best if last else best.where(F.col("away") <= side * 0.999999)
         done = settled if done is None else done.unionByName(settled)
         open_ = stored(spark, open_.join(settled.select("item"), "item", "left_anti"), "points")
         if last or open_.isEmpty():
