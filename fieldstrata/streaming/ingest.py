@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,34 +51,48 @@ def apply_operations(state: DataFrame | None, batch: DataFrame, key: list[str],
     return current_versions(log, key, order), b.where(~ok).select(*batch.columns).withColumn("message", F.lit("File Missing!"))
 
 
+#: Groups of keys that the state store holds together: one group costs about as much as some hundred rows.
+BUCKETS = 4096
+
+
 def _keyed(columns: list[str], order: str):
-    """What a batch does to one key: all refused operations, and of the accepted ones the last; the state is whether the key stands."""
+    """What a batch does to the keys of a bucket: all refused operations, and of the accepted ones of a key the last; the state is
+    the keys that stand, a line each."""
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        stands, last, told = state.exists, None, [None] * len(rows)
-        keep = [False] * len(rows)
-        for i, op in enumerate(rows["op"]):
-            if op == "insert" or stands:
-                stands, last = op != "delete", i
+        rows = pd.concat(list(frames)).sort_values(["_key", order], kind="stable")
+        known = set(state.get[0].split("\n")) if state.exists else set()
+        texts, op, at = rows["_key"].to_numpy(), rows["op"].to_numpy(), np.arange(len(rows))
+        first = np.concatenate([[True], texts[1:] != texts[:-1]])
+        start, run = np.flatnonzero(first), np.cumsum(first) - 1
+        was = np.array([x in known for x in texts[start]], bool)
+        inserted = op == "insert"
+        turn = np.maximum.accumulate(np.where(inserted | (op == "delete"), at, -1))  # the last insert or delete up to a row
+        before = np.concatenate([[-1], turn[:-1]])
+        good = inserted | np.where(before >= start[run], inserted[before], was[run])
+        keep, last = ~good, np.maximum.reduceat(np.where(good, at, -1), start)
+        keep[last[last >= 0]] = True
+        end = turn[np.concatenate([start[1:], [len(rows)]]) - 1]
+        stands = np.where(end >= start, inserted[end], was)
+        if (stands != was).any():
+            known.difference_update(texts[start][~stands])
+            known.update(texts[start][stands])
+            if known:
+                state.update(("\n".join(known),))
             else:
-                told[i], keep[i] = "File Missing!", True
-        if last is not None:
-            keep[last] = True
-        if stands:
-            state.update((True,))
-        elif state.exists:
-            state.remove()
-        yield rows.assign(message=pd.Series(told, index=rows.index, dtype=object))[[*columns, "message"]][keep]
+                state.remove()
+        yield rows.assign(message=np.where(good, None, "File Missing!"))[[*columns, "message"]][keep]
 
     return step
 
 
-def keyed_changes(operations: DataFrame, key: list[str], order: str) -> DataFrame:
+def keyed_changes(operations: DataFrame, key: list[str], order: str, buckets: int = BUCKETS) -> DataFrame:
     """A stream of operations as a stream of changes: of each batch the last accepted operation of a key, and all refused
-    ones with a message. The state store keeps the keys that stand, no documents; a batch touches only its own keys."""
+    ones with a message. The state store keeps the keys that stand, no documents, by ``buckets`` of their hashes, so that a batch
+    costs its rows and not a call a key; a run goes on only with the number of buckets it began with."""
     schema = StructType([*operations.schema.fields, StructField("message", StringType())])
-    return operations.groupBy(*key).applyInPandasWithState(_keyed(operations.columns, order), schema, "stands boolean", "append", GroupStateTimeout.NoTimeout)
+    keyed = operations.withColumn("_key", F.to_json(F.struct(*key))).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
+    return keyed.groupBy("_bucket").applyInPandasWithState(_keyed(operations.columns, order), schema, "stands string", "append", GroupStateTimeout.NoTimeout)
 
 
 def markup_stream(operations: DataFrame, key: list[str], order: str, folder: str, checkpoint: str) -> None:
