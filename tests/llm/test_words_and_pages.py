@@ -256,3 +256,23 @@ def test_faulty_pages_take_linear_time():
         root = styletree.parse(page)
         styletree.branches(root), styletree.blocks_of(root)
     assert time.time() - start < 30
+
+
+def test_branches_are_judged_at_all_levels():
+    from fieldstrata.llm import styletree as st
+
+    deep = "<html><body>" + "<div>" * 30 + "<p>Words.</p><div class='share'>Share</div>" + "</div>" * 30
+    found = {n.label: level for n, _, _, level in st.branches(st.parse(deep))}
+    assert found["div.share"] > st.LEVELS and found["p"] > st.LEVELS
+    start = time.time()
+    st.branches(st.parse("<div>a" * 20_000))
+    assert time.time() - start < 10
+
+
+def test_noise_below_many_levels_goes(spark):
+    from fieldstrata.llm import styletree as st
+
+    page = lambda n: "<html><body>" + "<div>" * 20 + f"<p>Story {n} tells of {n * n} things.</p><div class='share'>Share this page</div>" + "</div>" * 20 + "</body></html>"
+    pages = spark.createDataFrame([(n, "https://a.example/" + str(n), page(n)) for n in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in st.main_texts(pages).collect()}
+    assert got == {n: f"Story {n} tells of {n * n} things." for n in range(8)}
