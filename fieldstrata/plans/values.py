@@ -70,7 +70,7 @@ def s12_s13_gpx_all_types(spark, sf_dir):
 @query("SELECT p_partkey AS id, " + d.filled_sql("GEOMETRYCOLLECTION (POINT (@1,2), LINESTRING (@0,0, @1,1), LINESTRING (@4,4, @5,6))", "p_partkey") + " AS t FROM part")
 def s12_x01_gpx_document(spark, sf_dir):
     """Way point, track of two segments and route of one document, in this order."""
-    p = d.table(spark, sf_dir, "part")
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey")
     x, y = F.col("p_partkey") % 1000 - 500, F.col("p_partkey") * 7 % 160 - 80
     at = lambda tag, i, j: F.concat(F.lit(f'<{tag} lat="'), (y + j).cast("string"), F.lit('" lon="'), (x + i).cast("string"), F.lit('"/>'))
     text = F.concat(F.lit("<gpx><rte>"), at("rtept", 4, 4), at("rtept", 5, 6), F.lit("</rte>"), at("wpt", 1, 2), F.lit("<trk><trkseg>"), at("trkpt", 0, 0), F.lit("</trkseg><trkseg>"), at("trkpt", 1, 1), F.lit("</trkseg></trk></gpx>"))
@@ -88,7 +88,7 @@ def s14_boxes_and_circles(spark, sf_dir):
     x, y = F.col("p_partkey") % 1000 - 500, F.col("p_partkey") * 7 % 160 - 80
     pair = lambda i, j: F.concat((y + j).cast("string"), F.lit(" "), (x + i).cast("string"))
     text = F.concat(F.lit("<feed><circle>"), pair(1, 1), F.lit(" 500</circle><box>"), pair(0, 0), F.lit(" "), pair(2, 3), F.lit("</box></feed>"))
-    p = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("x"))
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), text.alias("x"))
     return p.select("id", a.write_wkt(a.read_georss(F.col("x"))).alias("t"), a.georss_radii(F.col("x"))[0].alias("radius"))
 
 
@@ -107,7 +107,7 @@ def s17_u08_convert_by_looks(spark, sf_dir):
 def f09_empty_and_rejected(spark, sf_dir):
     """Empty geometries, and texts that are none: a line of one vertex, an empty point."""
     t = F.element_at(F.array(*[F.lit(x) for x in ("POINT (1 2)", "POLYGON EMPTY", "LINESTRING (1 2)", "POINT EMPTY")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    p = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
     return p.select("id", F.coalesce(g.is_empty(F.col("g")), F.lit(False)).alias("empty"), F.col("g").isNull().alias("rejected"))
 
 
@@ -170,7 +170,7 @@ def a10_reduce_geometries(spark, sf_dir):
 @query("SELECT p_partkey AS id, p_partkey % 7 = 4 AND p_partkey % 2 = 0 AS all_closed FROM part WHERE p_partkey % 7 IN (1, 4)")
 def a21_all_closed(spark, sf_dir):
     t = F.when((F.col("p_partkey") % 7 == 4) & (F.col("p_partkey") % 2 == 0), d.filled("MULTILINESTRING ((@0,0, @1,1, @0,0), (@2,0, @5,4, @2,0))", "p_partkey")).when(F.col("p_partkey") % 7 == 4, d.filled(d.SHAPE_TEXTS[4], "p_partkey")).otherwise(d.filled(d.SHAPE_TEXTS[1], "p_partkey"))
-    p = d.table(spark, sf_dir, "part").where("p_partkey % 7 in (1, 4)")
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").where("p_partkey % 7 in (1, 4)")
     return p.select(F.col("p_partkey").alias("id"), g.is_closed(a.read_ewkt(t)).alias("all_closed"))
 
 
@@ -181,7 +181,7 @@ def x03_equal_geometries(spark, sf_dir):
     t = F.lit(None).cast("string")
     for i, x in enumerate(texts):
         t = F.when(F.col("p_partkey") % 3 == i, d.filled(x, "p_partkey")).otherwise(t)
-    p = d.table(spark, sf_dir, "part").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
     p = p.withColumn("k", F.xxhash64(F.array_sort(g.vertices(F.col("g")))))
     q = p.select(F.col("id").alias("id_"), F.col("g").alias("g_"), "k")
     return p.join(q, "k").where(g.same_vertices(F.col("g"), F.col("g_"))).groupBy(F.col("id").alias("first")).agg(F.count("*").alias("equal"))
@@ -194,14 +194,14 @@ def x03_equality_classes(spark, sf_dir):
     t = F.lit(None).cast("string")
     for i, x in enumerate(texts):
         t = F.when(F.col("p_partkey") % 3 == i, d.filled(x, "p_partkey")).otherwise(t)
-    p = d.table(spark, sf_dir, "part").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
+    p = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("id"), a.read_ewkt(t).alias("g"))
     return equality_classes(p)
 
 
 @query("SELECT c_custkey AS upload, round(sqrt(greatest(pow((c_custkey % 5), 2) + 9, pow(5 - c_custkey % 5, 2) + 9)), 6) AS hausdorff FROM customer")
 def a20_hausdorff(spark, sf_dir):
     k = F.col("c_custkey") % 5
-    c = d.table(spark, sf_dir, "customer")
+    c = d.dealt(d.table(spark, sf_dir, "customer"), "c_custkey")
     one = g.line(F.array(g.vertex(F.lit(0), F.lit(0)), g.vertex(F.lit(5), F.lit(0))))
     two = g.line(F.array(g.vertex(k, F.lit(3)), g.vertex(k, F.lit(3))))
     return c.select(F.col("c_custkey").alias("upload"), F.round(g.hausdorff(one, two), 6).alias("hausdorff"))
@@ -213,7 +213,7 @@ def w09_project(spark, sf_dir):
     k = F.col("c_custkey") % 30
     line = g.line(F.array(g.vertex(F.lit(0), F.lit(0)), g.vertex(F.lit(10), F.lit(0)), g.vertex(F.lit(10), F.lit(10))))
     x, y = F.when(k <= 10, k).otherwise(10.5).cast("double"), F.when(k <= 10, -1).otherwise(k - 10).cast("double")
-    return d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload"), F.round(g.project(line, x, y), 6).alias("at"), F.round(g.project(line, x, y, True), 6).alias("share"))
+    return d.dealt(d.table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("upload"), F.round(g.project(line, x, y), 6).alias("at"), F.round(g.project(line, x, y, True), 6).alias("share"))
 
 
 @query("SELECT c_custkey AS upload, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'few vertices' WHEN 2 THEN 'not closed' ELSE 'few vertices,not closed' END AS reasons FROM customer")
@@ -223,14 +223,14 @@ def g09_validity(spark, sf_dir):
     t = F.lit(None).cast("string")
     for i, x in enumerate(texts):
         t = F.when(F.col("c_custkey") % 4 == i, d.filled(x, "c_custkey")).otherwise(t)
-    return d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload"), F.array_join(g.invalid_because(a.read_ewkt(t)), ",").alias("reasons"))
+    return d.dealt(d.table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("upload"), F.array_join(g.invalid_because(a.read_ewkt(t)), ",").alias("reasons"))
 
 
 @query("SELECT c_custkey AS upload, c_custkey % 1000 - 500 + CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 3 END::DOUBLE AS x, c_custkey * 7 % 160 - 80 + CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 3 END::DOUBLE AS y FROM customer")
 def g11_point_on_surface(spark, sf_dir):
     """The centroid of a square, and a point in the back of a C, whose centroid lies outside."""
     t = F.when(F.col("c_custkey") % 2 == 0, d.filled("POLYGON ((@0,0, @10,0, @10,1, @1,1, @1,9, @10,9, @10,10, @0,10, @0,0))", "c_custkey")).otherwise(d.filled("POLYGON ((@0,0, @6,0, @6,6, @0,6, @0,0))", "c_custkey"))
-    s = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("upload"), g.point_on_surface(a.read_ewkt(t)).alias("p"))
+    s = d.dealt(d.table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("upload"), g.point_on_surface(a.read_ewkt(t)).alias("p"))
     return s.select("upload", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
@@ -266,7 +266,7 @@ def j11_segment_meetings(spark, sf_dir):
     seg = lambda *v: F.struct(g.vertex(F.lit(v[0]), F.lit(v[1])).alias("a"), g.vertex(F.lit(v[2]), F.lit(v[3])).alias("b"))
     k = F.col("c_custkey") % 4
     other = F.when(k == 0, seg(0, 4, 4, 0)).when(k == 1, seg(1, 1, 6, 6)).when(k == 2, seg(0, 1, 4, 5)).otherwise(seg(9, 0, 9, 4))
-    s = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), g.meeting(seg(0, 0, 4, 4), other).alias("m"))
+    s = d.dealt(d.table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("k"), g.meeting(seg(0, 0, 4, 4), other).alias("m"))
     return s.select("k", "m.status", "m.x", "m.y")
 
 
@@ -278,7 +278,7 @@ def j15_predicates(spark, sf_dir):
 
     x, y = F.col("p_partkey") * 3 % 200 + F.floor(F.col("p_partkey") / 2000) * 200, F.col("p_partkey") * 7 % 160
     square = g.polygon(F.array(F.array(*[g.vertex(x + i, y + j) for i, j in ((0, 0), (6, 0), (6, 6), (0, 6), (0, 0))])))
-    s = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), square.alias("g"))
+    s = d.dealt(d.table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), square.alias("g"))
     p = spatial.box_pairs(s, 8.0).select(F.col("id").alias("first"), F.col("id_").alias("second"), r.matrix(F.col("g"), F.col("g_")).alias("m"))
     p = p.where(r.predicate("intersects", F.col("m")))
     return p.select("first", "second", F.lit(True).alias("intersects"), r.predicate("touches", F.col("m")).alias("touches"), r.overlaps(F.col("m"), 2, 2).alias("overlaps"))

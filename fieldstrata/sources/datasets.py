@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all tasks by their key, however few files they come from: for work that costs far more than a row."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def springs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported springs over the globe, one a customer."""
     c = table(spark, sf_dir, "customer")
@@ -91,7 +96,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.lit(None).cast("string")
     for i, t in enumerate(SHAPE_TEXTS):
         texts = F.when(F.col("p_partkey") % 7 == i, filled(t, "p_partkey")).otherwise(texts)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), texts.alias("t"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("id"), texts.alias("t"))
 
 
 def shape_values(spark: SparkSession, sf_dir: str) -> DataFrame:

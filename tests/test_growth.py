@@ -157,3 +157,12 @@ def test_few_blocks_are_asked_from_far_away():
     most = np.sqrt((np.maximum(at[:, None] - low, low + 1 / 128 - at[:, None]) ** 2).sum(2))
     for i in range(3):
         assert set(np.flatnonzero(least[i] <= most[i].min())) == set(node[q == i]) and (q == i).sum() < 300
+
+
+def test_work_on_shapes_is_dealt_over_all_tasks(spark, tmp_path):
+    # one small file, read by one task
+    spark.range(400).selectExpr("id as p_partkey", "id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id as p_partkey", "id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("s08_s09_geojson_all_types", "s10_s11_kml_all_types", "s12_s13_gpx_all_types", "s14_s15_georss_all_types", "g02_boundary", "w09_project"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        assert df.select(F.spark_partition_id().alias("n")).distinct().count() >= spark.sparkContext.defaultParallelism, name
