@@ -100,9 +100,32 @@ def service_levels(images: DataFrame, tile: int = 256) -> DataFrame:
     return _halved(images, F.lit(tile // 2 + 1), False)
 
 
+def zoomify_ends(images: DataFrame, tile: int = 256) -> DataFrame:
+    """The ``zoomify_levels`` (image, level, w, h) with the number of the first of their ``tiles`` and the name of the last.
+
+    Worked out inside the row, one row an image: no tile is made and nothing is shuffled.
+    """
+    n = lambda c: F.greatest(F.ceil(c / tile), F.lit(1)).cast("long")
+    d = images.select("image", "width", "height", _halvings(F.lit(tile)).alias("last"))
+    sides = lambda i: F.struct(*[_side(c, F.col("last") - i).cast("int").alias(c[0]) for c in ("width", "height")])
+    d = d.select("image", F.transform(F.sequence(F.lit(0), "last"), sides).alias("grid"))
+    before = lambda i: F.aggregate(F.slice("grid", F.lit(1), i), F.lit(0).cast("long"), lambda sum_, v: sum_ + n(v["w"]) * n(v["h"]))
+    d = d.select("image", F.explode(F.transform("grid", lambda v, i: F.struct(i.cast("long").alias("level"), v["w"].alias("w"), v["h"].alias("h"), before(i).alias("first_tile")))).alias("v")).select("image", "v.*")
+    tx, ty = n(F.col("w")), n(F.col("h"))
+    return d.withColumn("last_name", zoomify_name(F.col("first_tile") + tx * ty - 1, F.col("level"), tx - 1, ty - 1))
+
+
+def _side(c: str, k: Column) -> Column:
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), k))
+
+
+def _halvings(most: Column) -> Column:
+    """How often an image is halved until both sides are at most ``most``."""
+    return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda k: (_side("width", k) <= most) & (_side("height", k) <= most)))
+
+
 def _halved(images: DataFrame, most: Column, with_last: bool) -> DataFrame:
-    side = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k))
-    first = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda k: (side("width", k) <= most) & (side("height", k) <= most)))
+    side, first = _side, _halvings(most)
     last = first if with_last else F.greatest(first - 1, F.lit(0))
     d = images.withColumn("last", last).withColumn("k", F.explode(F.sequence(F.lit(0), "last")))
     return d.withColumn("level", (F.col("last") - F.col("k")).cast("long")).withColumn("w", side("width", F.col("k")).cast("int")).withColumn("h", side("height", F.col("k")).cast("int"))

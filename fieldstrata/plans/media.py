@@ -19,11 +19,7 @@ from .registry import query
 @query(f"WITH {d.IMAGES}, l AS (SELECT image, width, height, k, width >> k AS w, height >> k AS h FROM images, range(0, 14) t(k)), s AS (SELECT image, min(k) AS last FROM l WHERE w <= 256 AND h <= 256 GROUP BY image), v AS (SELECT l.image, last - k AS level, w, h, greatest(ceil(w / 256e0), 1)::BIGINT AS tx, greatest(ceil(h / 256e0), 1)::BIGINT AS ty FROM l JOIN s USING (image) WHERE k <= last), b AS (SELECT *, coalesce(sum(tx * ty) OVER (PARTITION BY image ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM v) SELECT image, level, w, h, base AS first_tile, printf('TileGroup%d/%d-%d-%d.jpg', (base + tx * ty - 1) // 256, level, tx - 1, ty - 1) AS last_name FROM b")
 def u03_u04_zoomify_levels(spark, sf_dir):
     """Levels in the form that keeps halving until one tile is enough, with the first tile's number and the last one's name."""
-    lv = g.zoomify_levels(d.images(spark, sf_dir))
-    t = g.tiles(lv)
-    ends = t.groupBy("image", "level").agg(F.min("tile").alias("first_tile"), F.max_by(F.struct("tile", "x", "y"), "tile").alias("z"))
-    ends = ends.select("image", "level", "first_tile", g.zoomify_name(F.col("z.tile"), F.col("level"), F.col("z.x"), F.col("z.y")).alias("last_name"))
-    return lv.select("image", "level", "w", "h").join(ends, ["image", "level"])
+    return g.zoomify_ends(d.images(spark, sf_dir))
 
 
 @query(f"WITH {d.IMAGES}, i AS (SELECT image, width % 300 + 20 AS width, height % 300 + 20 AS height FROM images), l AS (SELECT image, k, width >> k AS w, height >> k AS h FROM i, range(0, 6) t(k)), s AS (SELECT image, greatest(min(k) - 1, 0) AS last FROM l WHERE w <= 129 AND h <= 129 GROUP BY image) SELECT l.image, last - k AS level, w, h, printf('tile=%d,%d,%d,%d', last - k, 0, 0, 256) AS name FROM l JOIN s USING (image) WHERE k <= last")

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from fieldstrata.functions import images
 from fieldstrata.functions import noding as nd
 from fieldstrata.functions import noding_batches as nb
 from fieldstrata.operators import long_lines, spatial
@@ -166,3 +167,15 @@ def test_work_on_shapes_is_dealt_over_all_tasks(spark, tmp_path):
     for name in ("s08_s09_geojson_all_types", "s10_s11_kml_all_types", "s12_s13_gpx_all_types", "s14_s15_georss_all_types", "g02_boundary", "w09_project"):
         df = registry.QUERIES[name](spark, str(tmp_path))
         assert df.select(F.spark_partition_id().alias("n")).distinct().count() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_ends_of_zoomify_levels_equal_their_tiles(spark):
+    rows = [(i, (i * 7919) % 5000 + 1, (i * 104729) % 3000 + 1) for i in range(300)] + [(300, 256, 256), (301, 257, 1), (302, None, 5), (303, 100000, 3)]
+    df = spark.createDataFrame(rows, "image long, width int, height int")
+    levels = images.zoomify_levels(df)
+    ends = images.tiles(levels).groupBy("image", "level").agg(F.min("tile").alias("first_tile"), F.max_by(F.struct("tile", "x", "y"), "tile").alias("z"))
+    name = images.zoomify_name(F.col("z.tile"), F.col("level"), F.col("z.x"), F.col("z.y")).alias("last_name")
+    want = levels.select("image", "level", "w", "h").join(ends, ["image", "level"]).select("image", "level", "w", "h", "first_tile", name)
+    got = images.zoomify_ends(df)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 900
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
