@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.ingest import extension, name_uuid
 from . import adapters
-from .store import shared_path
+from .store import shared_path, stored
 
 #: Namespace of the ids of uploaded files.
 FILES = "5a5c0d4e-7b0a-5a43-9f5e-0d1c7a1d3b11"
@@ -20,10 +23,34 @@ def file_type(name: Column) -> Column:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(upload, name, type, size, id, modified) of all files under ``folder``/<upload>/; only names and sizes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.url_decode(F.col("path"))
-    files = files.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("upload"), F.regexp_extract(path, r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """(upload, name, type, size, id, modified) of all files under ``folder``/<upload>/; only names and sizes are read.
+
+    Folders are listed in tasks, level by level, and what they hold goes to the shared folder: no list of files passes the
+    driver. Names that begin with a dot or an underscore are left out.
+    """
+    home = folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
+
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, _ = fs.FileSystem.from_uri(home)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                found = [f for f in files.get_file_info(fs.FileSelector(at)) if not f.base_name.startswith((".", "_"))]
+                for part in (found[n : n + 10_000] for n in range(0, len(found), 10_000)):
+                    kept = [[f.path for f in part], [f.type == fs.FileType.Directory for f in part], [f.size for f in part], [f.mtime_ns and f.mtime_ns // 1_000_000 for f in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(kept, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["path", "folder", "size", "modified"])
+
+    from pyarrow import fs
+
+    todo, levels = spark.createDataFrame([(fs.FileSystem.from_uri(home)[1],)], "path string"), []
+    while not levels or not todo.isEmpty():
+        dealt = todo.repartition(2 * spark.sparkContext.defaultParallelism, "path") if levels else todo
+        levels.append(stored(spark, dealt.mapInArrow(listed, "path string, folder boolean, size long, modified long"), "listed"))
+        todo = levels[-1].where("folder").select("path")
+    files = reduce(DataFrame.unionByName, levels).where("not folder")
+    files = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("upload"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", F.timestamp_millis("modified").alias("modified"))
     return files.select("upload", "name", file_type(F.col("name")).alias("type"), "size", name_uuid(FILES, F.concat_ws("/", "upload", "name")).alias("id"), "modified")
 
 
@@ -33,8 +60,6 @@ def sample_uploads(spark: SparkSession, parts: DataFrame, every: int = 10) -> st
     p = (parts.where("p_partkey % 10 = 3") if every > 1 else parts).select((F.col("p_partkey") % 200).cast("string").alias("upload"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, ".gpx").otherwise(".jpg")).alias("name"), F.concat("p_name", F.lit("\n")).alias("body"))
 
     def run(batches):
-        import os
-
         import pyarrow as pa
         from pyarrow import fs
 

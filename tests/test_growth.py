@@ -14,6 +14,7 @@ from fieldstrata.functions import noding as nd
 from fieldstrata.functions import noding_batches as nb
 from fieldstrata.operators import long_lines, spatial
 from fieldstrata.plans import registry
+from fieldstrata.sources import stores
 from fieldstrata.streaming import ingest
 from test_relations import box, line, metres, points, polygon, star
 
@@ -202,3 +203,17 @@ def test_small_and_large_geometries_give_the_same_distances_and_crossings(spark,
 def test_small_geometries_are_shuffled_once_a_vertex_not_once_a_cell(spark):
     v = spark.createDataFrame([(g, 0, n, float(n * 37 % 100), float(n * 53 % 100)) for g in range(20) for n in range(30)], "geom int, ring int, seq int, x double, y double")
     assert "Generate" not in spatial.crossing_counts(v)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_manifest_is_listed_in_tasks(spark, tmp_path):
+    files = {"1/a+b.jpg": 3, "1/empty.gpx": 0, "2/c d%20.mp4": 5, "3/deep/e.txt": 1, "_SUCCESS": 1, "2/.hidden": 4}
+    for name, size in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    (tmp_path / "none").mkdir()
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        m = stores.manifest(spark, folder)
+        got = {(r.upload, r.name): (r.type, r.size) for r in m.collect()}
+        assert got == {("1", "a+b.jpg"): ("photo", 3), ("1", "empty.gpx"): ("track", 0), ("2", "c d%20.mp4"): ("video", 5), ("deep", "e.txt"): ("other", 1)}
+        assert all(abs(r.modified.timestamp() - time.time()) < 600 for r in m.select(F.expr("modified")).collect()) and m.where("id is null").count() == 0
+    assert stores.manifest(spark, str(tmp_path / "none")).count() == 0
