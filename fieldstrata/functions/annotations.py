@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,26 @@ def _number(text: str | None) -> float | None:
         return None
 
 
-def _vertex(node) -> dict:
-    index = node.get("index")
-    return {k: _number(node.get(k)) for k in AXES} | {"index": int(index) if index and index.lstrip("-").isdigit() else None}
+def _index(text: str | None) -> int | None:
+    try:
+        found = int(text) if text and text.lstrip("-").isdigit() else None
+    except ValueError:
+        return None
+    return found if found is not None and -(2**31) <= found < 2**31 else None
+
+
+def _object_batch(rows: list[tuple]):
+    """An Arrow batch of ``SCHEMA``; of each row vertices are tuples of ``AXES`` and index."""
+    import pyarrow as pa
+
+    doc, path, depth, kind, name, tags, found = zip(*rows, strict=True)
+    ends = lambda lists: pa.array([0, *itertools.accumulate(map(len, lists))], pa.int32())
+    columns = list(zip(*itertools.chain.from_iterable(found), strict=True)) or [[]] * 6
+    vertices = pa.StructArray.from_arrays([pa.array(c, pa.int32() if n == "index" else pa.float64(), from_pandas=True) for c, n in zip(columns, (*AXES, "index"), strict=True)], names=[*AXES, "index"])
+    keys, values = (pa.array(list(itertools.chain.from_iterable(v)), pa.string()) for v in (tags, (t.values() for t in tags)))
+    plain = [pa.array(v, t) for v, t in ((doc, pa.int64()), (path, pa.string()), (depth, pa.int32()), (kind, pa.string()), (name, pa.string()))]
+    nested = [pa.MapArray.from_arrays(ends(tags), keys, values), pa.ListArray.from_arrays(ends(found), vertices)]
+    return pa.RecordBatch.from_arrays([*plain, *nested], names=["doc", "path", "depth", "type", "name", "tags", "vertices"])
 
 
 def flatten_annotations(docs: DataFrame) -> DataFrame:
@@ -35,12 +51,12 @@ def flatten_annotations(docs: DataFrame) -> DataFrame:
     rows (``malformed`` tells them).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         import xml.etree.ElementTree as ET
 
         for b in batches:
             rows = []
-            for doc, xml in zip(b["doc"], b["xml"], strict=True):
+            for doc, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     todo = [(ET.fromstring(xml), "", 0)]
                 except (ET.ParseError, TypeError):
@@ -48,14 +64,25 @@ def flatten_annotations(docs: DataFrame) -> DataFrame:
                 while todo:
                     node, path, depth = todo.pop()
                     for i, c in enumerate(x for x in node if x.tag not in ("vertex", "tag")):
-                        at = f"{path}/{i}"
-                        todo.append((c, at, depth + 1))
-                        found = sorted((_vertex(v) for v in c if v.tag == "vertex"), key=lambda v: (v["index"] is None, v["index"] or 0))
-                        tags = {t.get("name") or "": t.get("value") or "" for t in c if t.tag == "tag"}
+                        at, tags, found, inner = f"{path}/{i}", {}, [], False
+                        for v in c:
+                            if v.tag == "vertex":
+                                found.append((*[_number(v.get(k)) for k in AXES], _index(v.get("index"))))
+                            elif v.tag == "tag":
+                                tags[v.get("name") or ""] = v.get("value") or ""
+                            else:
+                                inner = True
+                        if inner:
+                            todo.append((c, at, depth + 1))
+                        found.sort(key=lambda v: (v[5] is None, v[5] or 0))
                         rows.append((doc, at, depth, c.get("type") or c.tag, c.get("name"), tags, found))
-            yield pd.DataFrame(rows, columns=["doc", "path", "depth", "type", "name", "tags", "vertices"])
+                if len(rows) >= 10_000:
+                    yield _object_batch(rows)
+                    rows = []
+            if rows:
+                yield _object_batch(rows)
 
-    return docs.select(F.col("doc").cast("long").alias("doc"), "xml").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc").cast("long").alias("doc"), "xml").mapInArrow(run, SCHEMA)
 
 
 def malformed(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fieldstrata.functions import images
+from fieldstrata.functions import annotations, images
 from fieldstrata.functions import noding as nd
 from fieldstrata.functions import noding_batches as nb
 from fieldstrata.operators import long_lines, spatial
@@ -217,3 +217,11 @@ def test_manifest_is_listed_in_tasks(spark, tmp_path):
         assert got == {("1", "a+b.jpg"): ("photo", 3), ("1", "empty.gpx"): ("track", 0), ("2", "c d%20.mp4"): ("video", 5), ("deep", "e.txt"): ("other", 1)}
         assert all(abs(r.modified.timestamp() - time.time()) < 600 for r in m.select(F.expr("modified")).collect()) and m.where("id is null").count() == 0
     assert stores.manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_annotations_are_flattened_into_columns(spark):
+    texts = ["<a", None, "<a><o type='r' name='n'><vertex x='1' y='z' index='2'/><vertex x='nan' index='--1'/><vertex y='2' index='99999999999'/><tag name='p' value='q'/><tag name='p' value='r'/><i/></o><k/></a>"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "<a><b/></a>")], "doc long, xml string")
+    got = {(r.doc, r.path): (r.depth, r.type, r.name, r.tags, [(v.x, v.y, v.index) for v in r.vertices]) for r in annotations.flatten_annotations(docs).collect()}
+    vertices = [(1.0, None, 2), (None, None, None), (None, 2.0, None)]
+    assert got == {(2, "/0"): (0, "r", "n", {"p": "r"}, vertices), (2, "/0/0"): (1, "i", None, {}, []), (2, "/1"): (0, "k", None, {}, []), (None, "/0"): (0, "b", None, {}, [])}
