@@ -222,6 +222,6 @@ def test_manifest_is_listed_in_tasks(spark, tmp_path):
 def test_annotations_are_flattened_into_columns(spark):
     texts = ["<a", None, "<a><o type='r' name='n'><vertex x='1' y='z' index='2'/><vertex x='nan' index='--1'/><vertex y='2' index='99999999999'/><tag name='p' value='q'/><tag name='p' value='r'/><i/></o><k/></a>"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "<a><b/></a>")], "doc long, xml string")
-    got = {(r.doc, r.path): (r.depth, r.type, r.name, r.tags, [(v.x, v.y, v.index) for v in r.vertices]) for r in annotations.flatten_annotations(docs).collect()}
+    got = {(r.doc, r.path): (r.depth, r.type, r.name, r.tags, [(v.x, v.y, v["index"]) for v in r.vertices]) for r in annotations.flatten_annotations(docs).collect()}
     vertices = [(1.0, None, 2), (None, None, None), (None, 2.0, None)]
     assert got == {(2, "/0"): (0, "r", "n", {"p": "r"}, vertices), (2, "/0/0"): (1, "i", None, {}, []), (2, "/1"): (0, "k", None, {}, []), (None, "/0"): (0, "b", None, {}, [])}
