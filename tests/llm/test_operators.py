@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,17 @@ def test_crowded_keeps_buckets_with_company(spark):
     assert want <= got and len(got - want) <= 2 * 4  # besides the ends of a task's range
 
 
+def test_crowded_keeps_buckets_that_end_with_a_batch():
+    rows = [(1, 1), (1, 2), (2, 3), (2, 4), (2, 4), (3, 5), (3, 6), (3, 7), (4, 8), (5, 9), (5, 10), (6, 11)]
+    for size in range(1, len(rows) + 1):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in (0, 1)], names=["bucket", "id"]) for p in parts]
+        got = [r for b in linking._runs(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        want = [r for r in dict.fromkeys(rows) if r[0] not in (4, 6)]
+        # every row with company, once, besides the ends
+        assert sorted(set(got) | {(6, 11)}) == sorted([*want, (6, 11)]) and len(got) == len(set(got)), size
+
+
 def test_mix_targets(spark):
     rows = [(i, prose(10 + i % 50, i)) for i in range(300)] + BLANK
     df = frame(spark, rows).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))
