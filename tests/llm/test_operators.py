@@ -625,3 +625,56 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(held) > 50 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) >= 0.95
     assert sum(r.predicted for r in held if not labels[r.doc_id]) <= 0.02 * len(held)
+
+
+def test_keys_met_by_another_id(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = [mixed.tolist() for mixed in common.mix(rng.integers(0, 4000, (1500, 4)).astype(np.uint64)).view(np.int64)]
+    hot = int(common.mix(np.array([1 << 40], np.uint64)).view(np.int64)[0])
+    rows = [(i % 1200, sorted({*keys[i % 1200], *([hot] if i % 1200 < 700 else [])})) for i in range(1500)]
+    holders: dict[int, set[int]] = {}
+    for i, ks in rows:
+        for k in ks:
+            holders.setdefault((k % (1 << 64)) >> 23, set()).add(i)
+    want = {(k, i) for k, ids in holders.items() if len(ids) > 1 for i in ids}
+    df = spark.createDataFrame(rows, "id long, keys array<long>").repartition(5)
+    got = linking.met(df).collect()
+    assert {(r.bucket, r.id) for r in got} == want
+    assert {r.n for r in got if r.bucket == (hot % (1 << 64)) >> 23} <= set(range(linking.PART_IDS, 701))
+    # in one process with many packs: no group holds more of the frequent bucket than each pack may send
+    monkeypatch.setattr(linking, "PACK", 500)
+    packs = list(linking._packs(pa.RecordBatch.from_pydict({"id": [i for i, _ in rows[a : a + 200]], "keys": pa.array([k for _, k in rows[a : a + 200]], pa.list_(pa.int64()))}) for a in range(0, 1500, 200)))
+    assert len(packs) == 8
+    t = pa.Table.from_batches(packs)
+    groups: dict[tuple, list[int]] = {}
+    for n, (part, salt) in enumerate(zip(t["part"].to_pylist(), t["salt"].to_pylist(), strict=True)):
+        groups.setdefault((part, salt), []).append(n)
+    got = [{(r["bucket"], r["id"]) for r in linking._unpacked(t.take(g)).to_pylist()} for g in groups.values()]
+    assert set().union(*got) == want
+    most = max(sum(b == (hot % (1 << 64)) >> 23 for b, _ in g) for g in got)
+    assert most <= 8 * linking.PART_IDS < 700
+
+
+def test_only_texts_of_lines_that_share_a_key_move(spark):
+    rows = [(i, "\n".join(f"line {i} {k} of text" for k in range(20))) for i in range(500)]
+    wanted = [(i, k) for i in range(0, 500, 7) for k in (3, 19)]
+    sketch = lines.line_sketch(spark.createDataFrame(wanted, "doc_id long, line int"), len(wanted))
+
+    class Value:
+        value = sketch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    got = [x for b in lines._line_texts(Value)(iter([batch])) for x in b.column(1).to_pylist()]
+    assert {lines.normalise(f"line {i} {k} of text") for i, k in wanted} <= set(got)
+    assert len(got) < len(wanted) + 0.05 * 10_000
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    t = common.stored(spark, spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count().repartition(3), "no-shuffle-left")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and t.count() == 100  # counting has a shuffle of its own
