@@ -225,3 +225,21 @@ def test_annotations_are_flattened_into_columns(spark):
     got = {(r.doc, r.path): (r.depth, r.type, r.name, r.tags, [(v.x, v.y, v["index"]) for v in r.vertices]) for r in annotations.flatten_annotations(docs).collect()}
     vertices = [(1.0, None, 2), (None, None, None), (None, 2.0, None)]
     assert got == {(2, "/0"): (0, "r", "n", {"p": "r"}, vertices), (2, "/0/0"): (1, "i", None, {}, []), (2, "/1"): (0, "k", None, {}, []), (None, "/0"): (0, "b", None, {}, [])}
+
+
+def test_credits_of_odd_keys_and_in_small_files(spark, tmp_path):
+    from fieldstrata.plans.joins import j03_credits
+
+    odd = [(-7, 1), (-1, 1), (0, 1), (2, None), (None, 1), (2, 1), (2, 1), (90_001, 2), (5, 3)]
+    people = [(-2, 1, "a"), (1, 1, "b"), (1, 1, "b"), (None, 1, "c"), (4, None, "d"), (5, 2, None)]
+    spark.createDataFrame(odd, "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/odd/customer.parquet")
+    spark.createDataFrame(people, "s_suppkey long, s_nationkey long, s_name string").write.parquet(f"{tmp_path}/odd/supplier.parquet")
+    want = sorted(((c, s, x) for c, n in odd for s, m, x in people if None not in (c, n, s, m) and n == m and (c + s) % 3 == 0), key=repr)
+    assert sorted(map(tuple, j03_credits(spark, f"{tmp_path}/odd").collect()), key=repr) == want and len(want) == 13
+    # the pairs of a nation are many, but what is written of them is little
+    spark.range(6000).select((F.col("id") * 5).alias("c_custkey"), F.lit(4).alias("c_nationkey")).write.parquet(f"{tmp_path}/large/customer.parquet")
+    spark.range(1500).select(F.col("id").alias("s_suppkey"), F.lit(4).alias("s_nationkey"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("s_name")).write.parquet(f"{tmp_path}/large/supplier.parquet")
+    j03_credits(spark, f"{tmp_path}/large").write.parquet(f"{tmp_path}/large/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "large" / "out").glob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/large/out").distinct().count() == 3_000_000
+    assert size < 0.3 * 3_000_000
