@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,34 @@ def test_noise_below_many_levels_goes(spark):
     pages = spark.createDataFrame([(n, "https://a.example/" + str(n), page(n)) for n in range(8)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in st.main_texts(pages).collect()}
     assert got == {n: f"Story {n} tells of {n * n} things." for n in range(8)}
+
+
+def test_what_stands_in_lines_and_custom_elements_is_judged(spark):
+    page = lambda n: f"<body><app-root><span><b><div class='menu'>Home</div></b><div class=x>Call us</div></span><div class=y><p>Story {n} tells of <b>{n * n}</b> <i>things</i>.</p><p>It ends <a href=/>here</a></p></div></app-root></body>"
+    got = texts(spark, [(n, f"https://a.example/{n}", page(n)) for n in range(8)])
+    assert got == [(n, f"Story {n} tells of {n * n} things.\nIt ends here") for n in range(8)]
+
+
+def test_deep_branches_are_judged_by_all_their_blocks(spark):
+    inner = "<div class=s><p>Story {0} of {1}</p></div><div class=t>" + "".join(f"<p>Room {k} has a view" for k in range(24)) + "<p class=e>Visit {0}</p></div>"
+    for depth in (2, 20, 300):
+        page = "<body>" + "<div>" * depth + inner + "</div>" * depth
+        assert texts(spark, [(n, f"https://a.example/{n}", page.format(n, n * n)) for n in range(8)]) == [(n, f"Story {n} of {n * n}") for n in range(8)], depth
+
+
+def test_marked_articles_stay_and_all_beside_them_goes(spark):
+    # near copies of one page, an article in a form laid around all, bare text and lines beside it, a menu without an end
+    page = "<body><form id=aspnet><input>Skip <b>to</b> <a href=#c>content</a><div class=w><span>Log in</span><article><h1>One title</h1><p>The same <b>story</b> on all pages.</p><p>{}</p></article></div>More</form></body>"
+    assert texts(spark, [(n, f"https://a.example/{n}", page.format(n % 2)) for n in range(4)] + [(9, "https://a.example/9", page.format(5))]) == [(n, f"One title\nThe same story on all pages.\n{n % 2 if n < 9 else 5}") for n in (0, 1, 2, 3, 9)]
+    page = "<body><nav><ul><li>Home<li>About</ul><div class='layout-with-sidebar'><main><p>Text {}</p><section id=comments><article>Reader</article></section></main><aside>More</aside></div></body>"
+    assert texts(spark, [(n, f"https://b.example/{n}", page.format(n)) for n in range(3)]) == [(n, f"Text {n}") for n in range(3)]
+
+
+def test_a_deep_page_is_given_out_in_parts():
+    page = "".join(f"<div id=x{'abcdefgh'[i % 8]}>" + "".join(f"<p>{i} {k}" for k in range(10)) for i in range(500))
+    rows = list(styletree._nodes(iter([pa.RecordBatch.from_pydict({"page": ["p"], "host": ["h"], "text": [page]})])))
+    features = [f for b in rows for f in b.column(6).to_pylist()]
+    assert len(rows) > 1 and sorted(map(len, features), reverse=True)[:3] == [5000, 4990, 4980]
+    # beyond what browsers nest, one hash a branch below the first levels
+    deep = list(styletree._nodes(iter([pa.RecordBatch.from_pydict({"page": ["p"], "host": ["h"], "text": ["<div>a" * 3000]})])))
+    assert sum(b.num_rows for b in deep) == 3000
